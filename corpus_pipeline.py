@@ -1,8 +1,55 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: toxicity, near-duplicates, benchmark decontamination, mixing and sharding, in this order.
 
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; its rows are written and read again before the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skerry.llm import common, decontaminate, jaccard, mixing, sharding, toxicity
+from skerry.llm.queries import source_tree
+
+#: None: a trained classifier, hashed shards and groups are beyond SQL; tests/llm/test_pipeline.py has a brute-force twin.
 ORACLE_SQL = None
-STAGES: list = []
+SHARDS = 16
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that a classifier of all labelled ones finds toxic."""
+    model = toxicity.fit(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, out=("_score", "_toxic")).where("_toxic = 0").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with a Jaccard similarity of 0.8 or more on 5-word shingles, that with the least doc_id stays."""
+    groups = jaccard.jaccard_groups(docs, width=5, percent=80)
+    gone = common.stored(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    return docs.join(common.small_side(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold ten words in a row of a benchmark item."""
+    return decontaminate.clean(docs, common.read(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixed to 1.5 times the tokens with flattened weights: rows of favoured leaves are repeated in further epochs."""
+    return mixing.mix(docs, source_tree()).select(*docs.columns)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """With the shard (0 to 15) of each document."""
+    return sharding.assign_shards(docs, SHARDS)
+
+
+STAGES = [("toxicity", drop_toxic), ("near copies", drop_near_copies), ("decontamination", drop_contaminated), ("mixing", mix_sources), ("sharding", shard)]
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    docs = common.read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)

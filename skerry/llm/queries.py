@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import katz, langid, sharding, toxicity
+from . import decontaminate, jaccard, katz, langid, licences, lines, mixing, sharding, toxicity, vectors
 from .common import read, text_crc
 
 
@@ -37,10 +37,108 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all vectors of a label at a cosine of 0.98 or more."""
+    return vectors.near_vectors(read(spark, sf_dir, "embeddings"), 0.98)
+
+
+def op9_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of 4-word shingles have a Jaccard similarity of 0.85 or more."""
+    return jaccard.jaccard_groups(read(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+def source_tree() -> dict:
+    """Domains are families of sources: the number in the source's name modulo 4."""
+    number = F.regexp_extract(F.col("source"), "([0-9]+)$", 1)
+    return {"domain": F.when(number != "", F.concat(F.lit("domain"), (number.cast("long") % 4).cast("string"))), "lang": F.col("lang"), "source": F.col("source")}
+
+
+def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to 1.5 times their tokens with weights flattened at each level of the tree."""
+    out = mixing.mix(read(spark, sf_dir, "documents"), source_tree())
+    return out.select("doc_id", "_mix.domain", "_mix.lang", "_mix.source", "_mix.tokens", "_mix.epoch", "_mix.order", "_mix.leaf_budget")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duplicate lines of all documents: per document how many lines it has, how many go, and the checksum of the rest."""
+    out = lines.without_duplicate_lines(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", text_crc(F.col("text")).alias("text_crc32"))
+
+
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents as files source/lang/doc_id."""
+    return licences.scan(read(spark, sf_dir, "documents"), F.concat_ws("/", "source", "lang", "doc_id"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in all documents."""
+    out = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 QUERIES = {
     "op1_katz_scores": op1_katz_scores,
+    "op2_mixture": op2_mixture,
     "op3_jump_shards": op3_jump_shards,
     "op4_language_id": op4_language_id,
+    "op5_line_dedup": op5_line_dedup,
     "op6_toxicity": op6_toxicity,
+    "op7_near_vectors": op7_near_vectors,
+    "op8_licence_scan": op8_licence_scan,
+    "op9_jaccard_groups": op9_jaccard_groups,
+    "op10_decontaminate": op10_decontaminate,
 }
-ORACLES: dict[str, str] = {}
+
+_FILL = """
+{name}_n AS (SELECT {path}, {budget} AS budget, sum(cap) AS cap, pow(sum(tokens)::DOUBLE, 0.8) AS w FROM {source} GROUP BY ALL),
+{name}_l AS (SELECT *, cap / w AS lv, coalesce(sum(cap) OVER (PARTITION BY {parent} ORDER BY cap / w, {path} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+  sum(w) OVER (PARTITION BY {parent} ORDER BY cap / w, {path} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM {name}_n),
+{name}_p AS (SELECT *, greatest(budget - used, 0) / rest AS pour FROM {name}_l),
+{name}_m AS (SELECT *, arg_min(CASE WHEN pour < lv THEN pour END, CASE WHEN pour < lv THEN lv END) OVER (PARTITION BY {parent}) AS p FROM {name}_p),
+{name} AS (SELECT {path}, CASE WHEN p IS NULL THEN cap ELSE least(cap, w * p) END AS share FROM {name}_m)"""
+
+_KEY = "(('0x' || substr(md5('7|' || {epoch} || '|' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT >> 3)"
+
+MIXTURE_SQL = (
+    """WITH docs AS (SELECT doc_id, coalesce('domain' || nullif(regexp_extract(source, '([0-9]+)$', 1), '')::BIGINT % 4, 'null') AS domain, coalesce(lang, 'null') AS lang,
+  coalesce(source, 'null') AS source, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+'))::BIGINT AS tokens FROM documents),
+leaves AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens, 4.0::DOUBLE * sum(tokens) AS cap FROM docs GROUP BY ALL HAVING sum(tokens) > 0),
+root AS (SELECT 1.5::DOUBLE * sum(tokens) AS total FROM docs),"""
+    + _FILL.format(name="a", path="domain", budget="(SELECT total FROM root)", source="leaves", parent="1")
+    + ","
+    + _FILL.format(name="b", path="domain, lang", budget="any_value(share)", source="leaves JOIN a USING (domain)", parent="domain")
+    + ","
+    + _FILL.format(name="c", path="domain, lang, source", budget="any_value(share)", source="leaves JOIN b USING (domain, lang)", parent="domain, lang")
+    + """,
+plan AS (SELECT domain, lang, source, floor(share + 1e-6)::BIGINT AS leaf_budget, leaf_budget // tokens AS whole, leaf_budget % tokens AS rest FROM leaves JOIN c USING (domain, lang, source)),
+placed AS (SELECT docs.*, leaf_budget, whole, rest, """
+    + _KEY.format(epoch="whole")
+    + """ AS key FROM docs JOIN plan USING (domain, lang, source)),
+cut AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM placed),
+taken AS (SELECT *, whole + (rest > 0 AND used < rest)::INT AS epochs FROM cut),
+spread AS (SELECT *, unnest(range(0, epochs)) AS e FROM taken)
+SELECT doc_id, domain, lang, source, tokens, e::INT AS epoch, """
+    + _KEY.format(epoch="e")
+    + """ AS "order", leaf_budget FROM spread"""
+)
+
+DECONTAMINATE_SQL = r"""WITH low AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+starts AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM items WHERE len(w) > 0),
+wins AS (SELECT DISTINCT item_id, w[s:least(s + 9, len(w))] AS win FROM starts),
+sizes AS (SELECT DISTINCT len(win) AS n FROM wins),
+cells AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM low, sizes WHERE len(w) >= n),
+met AS (SELECT doc_id, s, n, item_id FROM (SELECT doc_id, s, n, w[s:s + n - 1] AS win FROM cells) JOIN wins USING (win)),
+places AS (SELECT DISTINCT doc_id, unnest(range(s, s + n)) AS p FROM met),
+hits AS (SELECT doc_id, count(*) AS n_hit FROM places GROUP BY ALL),
+names AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS all_items FROM (SELECT DISTINCT doc_id, item_id FROM met) GROUP BY ALL)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(all_items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM low LEFT JOIN hits USING (doc_id) LEFT JOIN names USING (doc_id)"""
+
+NEAR_VECTORS_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y),
+least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT vec_id, (SELECT count(*) FROM links WHERE x = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN least ON x = vec_id"""
+
+ORACLES: dict[str, str] = {"op2_mixture": MIXTURE_SQL, "op7_near_vectors": NEAR_VECTORS_SQL, "op10_decontaminate": DECONTAMINATE_SQL}
