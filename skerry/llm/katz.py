@@ -2,7 +2,8 @@
 
 Texts are cut into blocks of a few MB that stay together in one bucketed table. For each order n every block sends its
 distinct n-grams, once, to the bucket of their history; the bucket merges the counts of all blocks, writes its part of
-the model table and answers each block. So an n-gram crosses the network once per block and not once per occurrence,
+the model table and answers each block; its answer numbers the n-grams, and longer ones are sent as pairs of such
+numbers (the (n-1)-grams that end before and at the last word). So an n-gram crosses the network once per block and not once per occurrence,
 and neither the model nor the texts pass through the driver or a broadcast. Histories with more than an even share of
 the corpus ("hot": their number is bounded by twice the number of buckets) are dealt over all buckets by whole n-gram
 and their sums are added up afterwards.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from . import common
 from .tokens import chunks, mix, pair, words
 
-END, START, EMPTY = (mix(np.array([x], np.uint64))[0] for x in (11, 12, 13))
+END = mix(np.array([11], np.uint64))[0]
 #: Bytes of text in a block and, about, behind a bucket of the model.
 BLOCK_BYTES, BUCKET_BYTES = 12 << 20, 12 << 20
 _CODEC = "zstd"
@@ -103,22 +104,21 @@ class _Block:
         self.doc = np.repeat(np.arange(len(sizes)), self.sizes)
         self.at = np.arange(len(self.word)) - self.first[self.doc]
 
-    def context(self, n: int) -> np.ndarray:
-        """The key of the n-1 words before each token."""
-        out = np.full(len(self.word), EMPTY, np.uint64)
-        for back in range(1, n):
-            before = np.roll(self.word, back)
-            before[self.at < back] = START
-            out = pair(out, before)
-        return out
+    def keys(self, shorter: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """History and suffix of the n-gram that ends at each token: the numbers of the (n-1)-grams that end before and
+        at it; 0 is the start of a text. Of a unigram: 0 and the word's hash."""
+        if shorter is None:
+            return np.zeros(len(self.word), np.uint64), self.word
+        before = np.roll(shorter, 1)
+        before[self.at == 0] = 0
+        return before, shorter
 
 
 class _Entries:
     """The distinct n-grams of a block, sorted by bucket, history and suffix."""
 
-    def __init__(self, block: _Block, n: int, buckets: int, hot_token: np.ndarray, lower: np.ndarray):
-        history = block.context(n)
-        suffix = block.word if n == 1 else pair(block.context(n - 1), block.word)
+    def __init__(self, block: _Block, shorter: np.ndarray | None, buckets: int, hot_token: np.ndarray, lower: np.ndarray):
+        history, suffix = block.keys(shorter)
         key = pair(history, suffix)
         _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
         history, suffix, key, hot = history[first], suffix[first], key[first], hot_token[first]
@@ -145,17 +145,22 @@ def _encode(history, suffix, count, lower, hot) -> bytes:
     start = _starts(history)
     names, at, index = np.unique(suffix, return_index=True, return_inverse=True)
     steps = lambda x: np.diff(x, prepend=np.uint64(0))
-    return _pack(steps(history[start]), np.diff(start, append=len(history)), hot[start], steps(names), lower[at], index, count)
+    values, value = np.unique(lower[at], return_inverse=True)
+    return _pack(steps(history[start]), np.diff(start, append=len(history)), hot[start], steps(names), values, value, index, count)
 
 
 def _decode(data: bytes) -> tuple[np.ndarray, ...]:
-    histories, runs, hot, names, lower, index, count = _unpack(data)
+    histories, runs, hot, names, values, value, index, count = _unpack(data)
+    lower = values[value]
     histories, names, runs = np.cumsum(histories.astype(np.uint64)), np.cumsum(names.astype(np.uint64)), runs.astype(np.int64)
     return np.repeat(histories, runs), names[index], count.astype(np.int64), lower[index], np.repeat(hot, runs)
 
 
-def _merge(k: int):
-    """Merge the n-grams of a bucket and answer each block in the order in which it sent them."""
+def _merge(k: int, last: bool):
+    """Merge the n-grams of a bucket and answer each block in the order in which it sent them.
+
+    Unless the order is the last, answers number the n-grams: next orders name them by these small numbers.
+    """
 
     def run(key, table):
         sent = [(b.as_py(), _decode(d.as_py())) for b, d in zip(table["block"], table["data"], strict=True)]
@@ -178,7 +183,7 @@ def _merge(k: int):
             own = inverse[at : at + len(cell[0])]
             at += len(own)
             g = group[own][_starts(cell[0])]
-            rows.append(("answer", block, 0, 0, 0.0, [], _pack(total[own], mass[g], freed[g], *low[g].T)))
+            rows.append(("answer", block, 0, 0, 0.0, [], _pack(own[:0] if last else np.diff(own, prepend=0), total[own], mass[g], freed[g], *low[g].T)))
         if seen.any():
             rows.append(("model", None, 0, int(seen.sum()), 0.0, [], _encode(history[seen], suffix[seen], total[seen], lower[seen], hot[seen])))
         exact = [int((total == r).sum()) for r in range(1, k + 2)]
@@ -195,12 +200,15 @@ def _merge(k: int):
 
 def _probabilities(block: _Block, answers: pa.Table, levels: list[Level], buckets: int, k: int):
     """Of each token, by all orders known so far: probability, training count of its n-gram, and whether that is hot."""
-    lower, hot, seen = np.ones(len(block.word)), np.ones(len(block.word), bool), []
+    lower, hot, seen, shorter = np.ones(len(block.word)), np.ones(len(block.word), bool), [], None
     by = {(o.as_py(), b.as_py()): d.as_py() for o, b, d in zip(answers["order"], answers["bucket"], answers["data"], strict=True)}
     for n, level in enumerate(levels, 1):
-        own = _Entries(block, n, buckets, hot, lower)
+        own = _Entries(block, shorter, buckets, hot, lower)
         parts = [_unpack(by[n, b]) for b, _, _ in own.spans()]
-        total, mass, freed, *low = (np.concatenate([p[i] for p in parts]) for i in range(3 + k))
+        total, mass, freed, *low = (np.concatenate([p[i] for p in parts]) for i in range(1, 4 + k))
+        rank = np.concatenate([np.cumsum(p[0].astype(np.uint64)) for p in parts])
+        if len(rank):
+            shorter = (rank * np.uint64(buckets) + own.bucket.astype(np.uint64) + np.uint64(1))[own.inverse]
         start = np.flatnonzero((np.diff(own.history, prepend=~own.history[:1]) != 0) | (np.diff(own.bucket, prepend=-1) != 0))
         group = np.repeat(np.arange(len(start)), np.diff(start, append=len(own.history)))
         mass, low = mass.astype(np.int64), np.stack(low, 1).astype(np.int64)
@@ -218,16 +226,16 @@ def _probabilities(block: _Block, answers: pa.Table, levels: list[Level], bucket
         lower = np.where(total > 0, found, back[group] * own.lower)[own.inverse]
         seen.append(total[own.inverse])
         hot = (block.at == 0) | (np.roll(seen[-1], 1) >= levels[0].tokens / (2 * buckets))
-    return lower, seen, hot
+    return lower, seen, hot, shorter
 
 
-def _send(n: int, levels: list[Level], buckets: int, k: int):
+def _send(levels: list[Level], buckets: int, k: int):
     def run(key, texts, answers):
         if not texts.num_rows:
             return pa.table({"block": pa.array([], pa.int64()), "bucket": pa.array([], pa.int32()), "data": pa.array([], pa.binary())})
         block = _Block(texts)
-        lower, _, hot = _probabilities(block, answers, levels, buckets, k)
-        own = _Entries(block, n, buckets, hot, lower)
+        lower, _, hot, shorter = _probabilities(block, answers, levels, buckets, k)
+        own = _Entries(block, shorter, buckets, hot, lower)
         name = key[0].as_py()
         rows = [(name, b, _encode(own.history[x:y], own.suffix[x:y], own.count[x:y], own.lower[x:y], own.hot[x:y])) for b, x, y in own.spans()]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["block", "bucket", "data"])
@@ -241,7 +249,7 @@ def _score(levels: list[Level], buckets: int, k: int):
         if block is None:
             sums = [np.zeros(0)] * 3
         else:
-            p, seen, _ = _probabilities(block, answers, levels, buckets, k)
+            p, seen, *_ = _probabilities(block, answers, levels, buckets, k)
             per = lambda x: np.add.reduceat(x, block.first)
             base = np.log10((seen[0] + 0.5) / (levels[0].tokens + 0.5 * (levels[0].types + 1)))
             sums = [per((seen[0] > 0).astype(np.int64)), per(base), per(np.log10(p))]
@@ -262,7 +270,7 @@ class KatzScores:
     levels: list[Level]
 
     def model(self, spark, order: int) -> DataFrame:
-        """The n-grams of an order: history and suffix as hashes, training count, lower-order probability of the suffix."""
+        """The n-grams of an order: history and suffix as numbers (a unigram's suffix: the word's hash), training count, lower-order probability of the suffix."""
 
         def rows(batches):
             for batch in batches:
@@ -300,8 +308,8 @@ def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         return spark.read.schema(f"{MERGED}, order int").parquet(kept).where("kind = 'answer'").select("order", "block", "bucket", "data")
 
     for n in range(1, order + 1):
-        cells = texts.cogroup(answers().groupBy("block")).applyInArrow(_send(n, levels, buckets, k), CELL)
-        cells.groupBy("bucket").applyInArrow(_merge(k), MERGED).write.partitionBy("kind").parquet(f"{kept}/order={n}")
+        cells = texts.cogroup(answers().groupBy("block")).applyInArrow(_send(levels, buckets, k), CELL)
+        cells.groupBy("bucket").applyInArrow(_merge(k, n == order), MERGED).write.partitionBy("kind").parquet(f"{kept}/order={n}")
         table = spark.read.schema(MERGED).parquet(f"{kept}/order={n}")
         sums = table.where("kind = 'total'").agg(F.sum("mass"), *(F.sum(F.col("low")[i]) for i in range(k + 2))).first()
         mass, *counts, types = (x or 0 for x in sums)
