@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chargrams import batches, grams
+from .common import stored
 
 #: Orders of the character n-grams and number of hashed features.
 ORDERS, FEATURES = (1, 2, 3), 1 << 16
@@ -47,6 +48,7 @@ def fit(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str =
 
     rows = docs.where(F.coalesce(train, F.lit(False))).select(F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).where("t is not null and l is not null")
     counts = rows.mapInArrow(count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
+    counts = stored(counts, "language-counts")
     if (n := counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()) > MAX_LANGUAGES:
         raise ValueError(f"{n} languages or more; the broadcast model is sized for {MAX_LANGUAGES}")
     table = counts.toPandas()
