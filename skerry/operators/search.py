@@ -32,12 +32,19 @@ def top(scores: DataFrame, limit: int, by: str = "query_id", id_col: str = "id")
     return scores.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
+def substrings(text: Column, most: Column) -> Column:
+    """The distinct substrings of two to `most` characters: "contains" becomes an equality join."""
+    n = F.length(text)
+    at = lambda i: F.transform(F.sequence(F.lit(2), F.least(most, n - i + 1)), lambda w: F.substr(text, i, w))
+    return F.when(n < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n - 1), at))))
+
+
 def search(docs: DataFrame, queries: DataFrame, limit: int = 10, min_score: float = 0.0, where: Column | None = None, filter_first: bool = True, partial: bool = True, id_col: str = "id", text_col: str = "content", query_id: str = "query_id", query_text: str = "query") -> DataFrame:
     """(query_id, id, score, rank) for all queries.
 
     A query term in the document scores (1 / terms of the document) * (ln(N / df) + 1); one that is not scores 0.1 for
     each document term that holds it or is held by it. Scores above min_score count. Terms are matched within the
-    vocabulary first, so only matching postings are joined. filter_first=False applies `where` after the limit.
+    vocabulary first, by equality of substrings, so only matching postings are joined and nothing is compared in pairs. filter_first=False applies `where` after the limit.
     """
     total = docs.agg(F.count("*").alias("total"))
     post = postings(docs, id_col, text_col)
@@ -49,7 +56,10 @@ def search(docs: DataFrame, queries: DataFrame, limit: int = 10, min_score: floa
     scored = exact
     if partial:
         distinct = asked.select("q").distinct()
-        like = df.select("term").join(F.broadcast(distinct), (F.col("term") != F.col("q")) & (F.col("term").contains(F.col("q")) | F.col("q").contains(F.col("term"))))
+        longest = distinct.agg(F.max(F.length("q")).alias("most"))
+        inside = df.select("term").crossJoin(F.broadcast(longest)).select("term", F.explode(substrings(F.col("term"), F.col("most"))).alias("q")).join(distinct, "q", "left_semi")
+        around = distinct.select("q", F.explode(substrings(F.col("q"), F.length("q"))).alias("term")).join(df.select("term"), "term", "left_semi")
+        like = inside.select("term", "q").unionByName(around.select("term", "q")).where("term <> q").distinct()
         near = post.join(like, "term").groupBy("id", "q").agg(F.count("*").alias("n"))
         lone = near.join(post.select("id", F.col("term").alias("q")), ["id", "q"], "left_anti")
         bonus = lone.join(asked, "q").select("query_id", "q", "id", (F.col("n") * 0.1).alias("score"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skerry.functions.text import STOP_WORDS, tokens
+from skerry.functions.text import STOP_WORDS
 from skerry.operators import changes, chunking, classify, evaluate, graph, iterate, metrics, repositories, search
 from skerry.streaming import metrics as stream
 
@@ -33,7 +33,7 @@ _TOKENS = "list_filter(string_split_regex(regexp_replace(lower(coalesce({0}, '')
 _SEARCH = (
     "WITH post AS (SELECT doc_id AS id, unnest(list_distinct(t)) AS term, len(list_distinct(t)) AS n FROM (SELECT doc_id, "
     + _TOKENS.format("text")
-    + " AS t FROM documents)), df AS (SELECT term, count(*) AS df FROM post GROUP BY 1), asked AS (SELECT item_id AS query_id, unnest(list_distinct(t[1:5])) AS q FROM (SELECT item_id, "
+    + " AS t FROM documents)), df AS (SELECT term, count(*) AS df FROM post GROUP BY 1), asked AS (SELECT item_id AS query_id, unnest(list_distinct(t)) AS q FROM (SELECT item_id, "
     + _TOKENS.format("text")
     + """ AS t FROM benchmark)),
 exact AS (SELECT query_id, id, (ln((SELECT count(*) FROM documents) / df::DOUBLE) + 1) / n AS score FROM asked JOIN df ON q = df.term JOIN post ON post.term = q),
@@ -46,7 +46,7 @@ sums AS (SELECT query_id, id, round(sum(score), 6) AS score FROM (FROM exact UNI
 
 
 def _asked(spark, d):
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(tokens(F.col("text")), 1, 5), " ").alias("query"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def _ranked(spark, d, limit, **more):
@@ -340,26 +340,26 @@ def coupling(spark, d):
     return graph.coupling(nodes, edges.withColumn("type", F.lit("imports"))).withColumn("instability", F.round("instability", 6))
 
 
-_STARTS = "WITH RECURSIVE {0}, r AS (SELECT p_partkey AS start, p_partkey AS node, 0 AS distance FROM part WHERE p_partkey % 20 = 1 UNION ALL SELECT start, {2}, distance + 1 FROM r JOIN calls ON {1} = node WHERE distance < {3}) SELECT start, node, min(distance)::INT AS distance FROM r GROUP BY ALL HAVING min(distance) > 0"
+_STARTS = "WITH RECURSIVE {0}, r AS (SELECT p_partkey AS start, p_partkey AS node, 0 AS distance FROM part UNION ALL SELECT start, {2}, distance + 1 FROM r JOIN calls ON {1} = node WHERE distance < {3}) SELECT start, node, min(distance)::INT AS distance FROM r GROUP BY ALL HAVING min(distance) > 0"
 
 
 @query(_STARTS.format(_CALLS, "source", "target", 4))
 def reach_callees(spark, d):
     nodes, edges = _parts(spark, d)
-    return graph.transitive_callees(edges, nodes.where("id % 20 = 1"), 3)
+    return graph.transitive_callees(edges, nodes, 3)
 
 
 @query(_STARTS.format(_TREE, "target", "source", 3))
 def reach_callers(spark, d):
     nodes, edges = _parts(spark, d, True)
-    return graph.transitive_callers(edges, nodes.where("id % 20 = 1"), 4)
+    return graph.transitive_callers(edges, nodes, 4)
 
 
-@query(f"WITH RECURSIVE {_TREE}, r AS (SELECT p_partkey AS f, p_partkey AS node, [p_partkey] AS path FROM part WHERE p_partkey % 10 = 7 UNION ALL SELECT f, target, list_append(path, target) FROM r JOIN calls ON source = node WHERE len(path) < 8) SELECT f AS \"from\", 1::BIGINT AS \"to\", array_to_string(path, '>') AS path FROM r WHERE node = 1")
+@query(f"WITH RECURSIVE {_TREE}, r AS (SELECT p_partkey AS f, p_partkey AS node, [p_partkey] AS path FROM part UNION ALL SELECT f, target, list_append(path, target) FROM r JOIN calls ON source = node WHERE len(path) < 20) SELECT f AS \"from\", 1::BIGINT AS \"to\", array_to_string(path, '>') AS path FROM r WHERE node = 1")
 def shortest_path(spark, d):
     nodes, edges = _parts(spark, d, True)
-    pairs = nodes.where("id % 10 = 7").select(F.col("id").alias("from"), F.lit(1).cast("long").alias("to"))
-    return iterate.shortest_paths(edges, pairs, 8).withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), ">"))
+    pairs = nodes.select(F.col("id").alias("from"), F.lit(1).cast("long").alias("to"))
+    return iterate.shortest_paths(edges, pairs, 20).withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), ">"))
 
 
 @query(f"WITH RECURSIVE {_TREE}, r AS (SELECT p_partkey AS id, p_partkey AS node, 0 AS depth FROM part UNION ALL SELECT id, target, depth + 1 FROM r JOIN calls ON source = node) SELECT id, max(depth)::INT AS depth FROM r GROUP BY 1")
@@ -375,7 +375,7 @@ def strong_components(spark, d):
 
 # Repository dependencies: a supplier is a repository, the brands it ships are its dependencies
 
-_DEPS = "deps AS (SELECT DISTINCT 'supplier' || l_suppkey AS repo, p_brand AS dep, '~> ' || (p_size // 10) || '.0' AS version FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 5 = 0 OR true)"
+_DEPS = "deps AS (SELECT DISTINCT 'supplier' || l_suppkey AS repo, p_brand AS dep, '~> ' || (p_size // 10) || '.0' AS version FROM lineitem JOIN part ON l_partkey = p_partkey)"
 
 
 def _deps(spark, d):
