@@ -7,9 +7,10 @@ lists of its single members (l = 1), as do the light sets near enough in size to
 size with the least estimated cost on the histogram of sizes. The order puts members that many documents of a task
 share last, by how many, so that lists of common passages are rarely in a prefix; it affects cost, not results.
 
-Groups, not pairs, are wanted, so candidates are verified in two rounds: first every member of a list against the
-list's first set, then, for lists that still hold several groups, the pairs between different groups. A group of many
-near-copies costs one verification for each member. Verification computes the exact overlap of the whole texts.
+Groups, not pairs, are wanted, so candidates are verified in rounds: first every member of a list against the list's
+first set; then, in a share of the lists that still hold several groups, against a leader that differs by list; last,
+for all lists that still hold several groups, all pairs between different groups. So a group of many near-copies costs
+a few verifications for each member, and no link between groups is left untested. Verification computes the exact overlap of the whole texts.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .tokens import chunks, pair, shingles, words
 #: Members that at least this many documents of a task share are counted over all tasks; the most frequent are ordered last.
 SHARED_IN_TASK, MAX_COMMON = 8, 200_000
 MAX_LIGHT = 60
+#: Rounds of leaders before all pairs of groups are met; from the second on, each takes one in so many lists.
+LEADER_ROUNDS, KEY_SHARES = 4, 8
 
 
 def _sets(texts, width):
@@ -157,17 +160,14 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: s
 
     tried = only(base.select("row", "text"), heads.where("n > 1").select(F.col("head").alias("row"))) if rows.count() > heads.count() else base.select("row", "text")
     postings = tried.mapInArrow(_prefixes(width, percent, light, names, rank), "key long, row long, n int, at int")
-    first = F.min(F.struct("n", "row", "at"))
-    lists = postings.groupBy("key").agg(first.alias("first"), F.max("row").alias("most"), F.min("row").alias("fewest")).where("most <> fewest").select("key", "first")
-    entries = stored(postings.join(lists, "key").select("key", "row", "n", "at", "first"), "lists")
+    lists = postings.groupBy("key").agg(F.min("row").alias("first"), F.max("row").alias("most")).where("first <> most").select("key", "first")
+    entries = stored(postings.join(lists, "key"), "lists")
 
     def near(na, nb, ia, ib):
         """Size bound, and position bound for the key of the first common members: no more can be shared than follows."""
         most = F.lit(1) + F.least(na - ia, nb - ib)
         return (F.lit(100) * F.least(na, nb) >= F.lit(percent) * F.greatest(na, nb)) & (F.lit(100 + percent) * most >= F.lit(percent) * (na + nb))
 
-    stars = entries.where(F.col("row") != F.col("first.row")).where(F.lit(100) * F.col("first.n") >= F.lit(percent) * F.col("n"))
-    stars = stars.select(F.greatest("row", "first.row").alias("a"), F.least("row", "first.row").alias("b")).distinct()
     texts = stored(only(base.select("row", "text"), stored(entries.select("row").distinct(), "rows")).dropDuplicates(["row"]), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -175,12 +175,30 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: s
         both = with_a.join(texts.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b")
         return stored(both.mapInArrow(_verify(width, percent), "a long, b long, linked boolean"), "pairs")
 
-    tested = verified(stored(stars, "stars"))
+    tested = spark.createDataFrame([], "a long, b long, linked boolean")
+    groups = spark.createDataFrame([], "id long, component long")
+
+    def open_lists(some: DataFrame) -> DataFrame:
+        """The entries, with their groups, of lists that hold more than one group."""
+        placed = some.join(groups, F.col("row") == F.col("id"), "left").select("key", "row", "n", "at", F.coalesce("component", "row").alias("part"))
+        split = placed.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
+        return stored(placed.join(split, "key"), "open")
+
+    for turn in range(LEADER_ROUNDS):
+        some = entries if turn == 0 else open_lists(entries.where(F.pmod(F.xxhash64("key"), F.lit(KEY_SHARES)) == turn))
+        if turn == 0:
+            met = some.select("row", F.col("first").alias("leader"))
+        else:
+            leaders = some.groupBy("key").agg(F.min(F.struct(F.xxhash64("row", "key").alias("h"), "row", "part")).alias("l"))
+            met = some.join(leaders, "key").where("part <> l.part").select("row", F.col("l.row").alias("leader"))
+        pairs = met.where("row <> leader").select(F.greatest("row", "leader").alias("a"), F.least("row", "leader").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        sizes = heads.select("head", F.col("n").alias("size"))
+        pairs = pairs.join(sizes.withColumnRenamed("size", "na"), F.col("a") == F.col("head")).drop("head").join(sizes.withColumnRenamed("size", "nb"), F.col("b") == F.col("head"))
+        pairs = pairs.where(F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")).select("a", "b")
+        tested = tested.union(verified(stored(pairs, "pairs")))
+        groups = components(tested.where("linked").select("a", "b"))
     links = tested.where("linked").select("a", "b")
-    groups = components(links)
-    placed = entries.join(groups, F.col("row") == F.col("id"), "left").select("key", "row", "n", "at", F.coalesce("component", "row").alias("part"))
-    split = placed.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
-    placed = stored(placed.join(split, "key"), "open")
+    placed = open_lists(entries)
     x, y = placed.alias("x"), placed.alias("y")
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part")) & near(F.col("x.n"), F.col("y.n"), F.col("x.at"), F.col("y.at")))
     met = met.select(F.greatest("x.row", "y.row").alias("a"), F.least("x.row", "y.row").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
