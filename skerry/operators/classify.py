@@ -66,14 +66,17 @@ def diff_files(diffs: DataFrame) -> DataFrame:
     """diffs (diff_id, diff): (diff_id, file, added, removed, added_content) for each file; + and - lines, headers too."""
     parts = F.explode(F.filter(F.split("diff", r"(?m)^diff --git "), lambda p: p.rlike(r"^a/")))
     rows = diffs.select("diff_id", parts.alias("p")).withColumn("_l", F.split("p", "\n"))
-    plus, minus = (F.filter("_l", lambda x, s=s: x.startswith(s)) for s in ("+", "-"))
+    plus, minus = F.filter("_l", lambda x: x.startswith("+")), F.filter("_l", lambda x: x.startswith("-"))
     return rows.select("diff_id", F.regexp_extract("p", r"a/(.+?) b/", 1).alias("file"), F.size(plus).alias("added"), F.size(minus).alias("removed"), F.array_join(F.transform(plus, lambda x: F.substr(x, F.lit(2))), "\n").alias("added_content"))
 
 
 def nesting(content: Column) -> Column:
     lines = F.split(content, "\n")
-    counts = [F.size(F.filter(lines, lambda x, k=k: x.contains(k))) for k in NESTING]
-    return F.floor(sum(counts[1:], counts[0]) / 2)
+
+    def holding(word: str) -> Column:
+        return F.size(F.filter(lines, lambda x: x.contains(word)))
+
+    return F.floor(sum((holding(k) for k in NESTING[1:]), holding(NESTING[0])) / 2)
 
 
 def review(diffs: DataFrame, max_lines: int = 500, max_length: int = 120) -> DataFrame:

@@ -12,7 +12,7 @@ def modules(files: DataFrame) -> DataFrame:
     """files (path, content) that define a module: name, documented, description, counts and completeness (0 to 1)."""
     c = F.coalesce(F.col("content"), F.lit(""))
     rows = files.where(c.rlike(MODULE)).withColumns({"module": F.regexp_extract(c, MODULE, 1), "_c": c})
-    text = F.trim(F.coalesce(F.nullif(F.regexp_extract("_c", r"@moduledoc\s+(?:~[sS])?\"{3}([\s\S]*?)\"{3}", 1), F.lit("")), F.regexp_extract("_c", r"@moduledoc\s+\"([^\"]+)\"", 1)))
+    text = F.regexp_replace(F.coalesce(F.nullif(F.regexp_extract("_c", r"@moduledoc\s+(?:~[sS])?\"{3}([\s\S]*?)\"{3}", 1), F.lit("")), F.regexp_extract("_c", r"@moduledoc\s+\"([^\"]+)\"", 1)), r"^\s+|\s+$", "")
     count = lambda p: F.regexp_count("_c", F.lit(p))
     rows = rows.withColumns({
         "documented": F.col("_c").contains("@moduledoc") & ~F.col("_c").contains("@moduledoc false"), "description": F.element_at(F.split(text, "\n"), 1),
