@@ -50,7 +50,7 @@ def scan(files: DataFrame, path: Column, templates: DataFrame | None = None, thr
     spark = files.sparkSession
     if templates is None:
         templates = spark.createDataFrame(TEMPLATES, "licence string, text string")
-    templates = stored(templates.select("licence", F.monotonically_increasing_id().alias("t"), F.explode(_terms(F.col("text"))).alias("term")).groupBy("licence", "t", "term").agg(F.count("*").alias("tf")), "templates")
+    templates = stored(templates.select("licence", F.xxhash64("licence", "text").alias("t"), F.explode(_terms(F.col("text"))).alias("term")).groupBy("licence", "t", "term").agg(F.count("*").alias("tf")), "templates")
     size = templates.select("t").distinct().count()
     if size > MAX_TEMPLATES:
         raise ValueError(f"{size} templates; at most {MAX_TEMPLATES}")
