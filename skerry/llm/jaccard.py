@@ -10,7 +10,10 @@ share last, by how many, so that lists of common passages are rarely in a prefix
 Groups, not pairs, are wanted, so candidates are verified in rounds: first every member of a list against the list's
 first set; then, in a share of the lists that still hold several groups, against a leader that differs by list; last,
 for all lists that still hold several groups, all pairs between different groups. So a group of many near-copies costs
-a few verifications for each member, and no link between groups is left untested. Verification computes the exact overlap of the whole texts.
+a few verifications for each member, and no link between groups is left untested. Before texts are fetched, pairs meet by
+sketch: how many members of a set fall in each of BUCKETS buckets. The sum of the differences of two sketches is at most
+the number of members that one set has and the other lacks, so pairs for which that is too large cannot be linked.
+Verification of the others computes the exact overlap of the whole texts.
 """
 
 from __future__ import annotations
@@ -25,7 +28,9 @@ from .components import components
 from .tokens import chunks, pair, shingles, words
 
 #: Members that at least this many documents of a task share are counted over all tasks; the most frequent are ordered last.
-SHARED_IN_TASK, MAX_COMMON = 8, 200_000
+SHARED_IN_TASK, MAX_COMMON = 3, 200_000
+#: Buckets of a sketch; counts stop at 255, which keeps differences lower bounds.
+BUCKETS = 256
 MAX_LIGHT = 60
 #: Rounds of leaders before all pairs of groups are met; from the second on, each takes one in so many lists.
 LEADER_ROUNDS, KEY_SHARES = 4, 8
@@ -42,7 +47,7 @@ def _sets(texts, width):
 
 
 def _profile(width: int):
-    """For each row its set's size and two sums that identify the set; and for each task, members that many rows share."""
+    """For each row its set's size, two sums that identify the set, and its sketch; and for each task, members that many rows share."""
 
     def run(parts):
         held, seen = [], 0
@@ -50,21 +55,22 @@ def _profile(width: int):
         def common():
             names, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, int))
             names, n = names[n >= SHARED_IN_TASK], n[n >= SHARED_IN_TASK]
-            return pa.RecordBatch.from_arrays([pa.nulls(len(names), pa.int64()), pa.nulls(len(names), pa.int64()), pa.array(n.astype(np.int64)), pa.array(names.view(np.int64)), pa.nulls(len(names), pa.int64())], names=["id", "row", "n", "h1", "h2"])
+            return pa.RecordBatch.from_arrays([pa.nulls(len(names), pa.int64()), pa.nulls(len(names), pa.int64()), pa.array(n.astype(np.int64)), pa.array(names.view(np.int64)), pa.nulls(len(names), pa.int64()), pa.nulls(len(names), pa.binary())], names=["id", "row", "n", "h1", "h2", "sketch"])
 
         for part in parts:
-            n, h1, h2 = [], [], []
+            n, h1, h2, sketches = [], [], [], []
             for s in _sets((t.as_py() for t in part["text"]), width):
                 n.append(len(s))
                 h1.append(s.sum(dtype=np.uint64))
                 h2.append(pair(s, s).sum(dtype=np.uint64))
+                sketches.append(np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes())
                 held.append(s)
                 seen += len(s)
                 if seen > 4_000_000:
                     yield common()
                     held, seen = [], 0
             ints = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([part["id"], part["row"], pa.array(n, pa.int64()), ints(h1), ints(h2)], names=["id", "row", "n", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([part["id"], part["row"], pa.array(n, pa.int64()), ints(h1), ints(h2), pa.array(sketches, pa.binary())], names=["id", "row", "n", "h1", "h2", "sketch"])
         yield common()
 
     return run
@@ -119,6 +125,19 @@ def _verify(width: int, percent: int):
     return run
 
 
+def _near(percent: int):
+    """Which pairs can still be linked, by their sketches: 100 (S - d) >= percent (S + d), S the sizes' sum, d the difference."""
+
+    def run(parts):
+        for part in parts:
+            x, y = (np.frombuffer(b"".join(part[c].to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for c in ("sketch_a", "sketch_b"))
+            apart = np.abs(x - y).sum(1, dtype=np.int64)
+            both = part["sizes"].to_numpy()
+            yield pa.RecordBatch.from_arrays([part["a"], part["b"], pa.array((100 + percent) * apart <= (100 - percent) * both)], names=["a", "b", "near"])
+
+    return run
+
+
 def boundary(histogram: list[tuple[int, int]], percent: int, repeats: float) -> int:
     """The light size with the least cost: keys of light sets plus keys, and list entries met, of sets that scan lists."""
 
@@ -143,7 +162,7 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: s
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).cast("string").alias("text"))
-    profile = stored(base.mapInArrow(_profile(width), "id long, row long, n long, h1 long, h2 long"), "profile")
+    profile = stored(base.mapInArrow(_profile(width), "id long, row long, n long, h1 long, h2 long, sketch binary"), "profile")
     rows, shared = profile.where("row is not null"), profile.where("row is null")
     heads = stored(rows.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("row").alias("head"), F.min("id").alias("least")), "heads")
     common = shared.groupBy("h1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h1").limit(MAX_COMMON).toPandas()
@@ -159,7 +178,7 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: s
         return table.join(small_side(ids), "row", "left_semi")
 
     tried = only(base.select("row", "text"), heads.where("n > 1").select(F.col("head").alias("row"))) if rows.count() > heads.count() else base.select("row", "text")
-    postings = tried.mapInArrow(_prefixes(width, percent, light, names, rank), "key long, row long, n int, at int")
+    postings = stored(tried.mapInArrow(_prefixes(width, percent, light, names, rank), "key long, row long, n int, at int"), "postings")
     lists = postings.groupBy("key").agg(F.min("row").alias("first"), F.max("row").alias("most")).where("first <> most").select("key", "first")
     entries = stored(postings.join(lists, "key"), "lists")
 
@@ -168,12 +187,21 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: s
         most = F.lit(1) + F.least(na - ia, nb - ib)
         return (F.lit(100) * F.least(na, nb) >= F.lit(percent) * F.greatest(na, nb)) & (F.lit(100 + percent) * most >= F.lit(percent) * (na + nb))
 
-    texts = stored(only(base.select("row", "text"), stored(entries.select("row").distinct(), "rows")).dropDuplicates(["row"]), "texts")
+    met_rows = stored(entries.select("row").distinct(), "rows")
+    sketches = stored(only(rows.select("row", F.col("n").alias("size"), "sketch"), met_rows).dropDuplicates(["row"]), "sketches")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        with_a = pairs.join(sketches.select(F.col("row").alias("a"), F.col("size").alias("na"), F.col("sketch").alias("sketch_a")), "a")
+        both = with_a.join(sketches.select(F.col("row").alias("b"), F.col("size").alias("nb"), F.col("sketch").alias("sketch_b")), "b")
+        both = both.where(F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb"))
+        sifted = stored(both.select("a", "b", (F.col("na") + F.col("nb")).alias("sizes"), "sketch_a", "sketch_b").mapInArrow(_near(percent), "a long, b long, near boolean"), "sifted")
+        pairs = sifted.where("near").select("a", "b")
+        ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "ends")
+        texts = only(base.select("row", "text"), ends).dropDuplicates(["row"])
         with_a = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a")
         both = with_a.join(texts.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b")
-        return stored(both.mapInArrow(_verify(width, percent), "a long, b long, linked boolean"), "pairs")
+        sure = stored(both.mapInArrow(_verify(width, percent), "a long, b long, linked boolean"), "pairs")
+        return sure.union(sifted.where("not near").select("a", "b", F.lit(False).alias("linked")))
 
     tested = spark.createDataFrame([], "a long, b long, linked boolean")
     groups = spark.createDataFrame([], "id long, component long")
@@ -192,9 +220,6 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: s
             leaders = some.groupBy("key").agg(F.min(F.struct(F.xxhash64("row", "key").alias("h"), "row", "part")).alias("l"))
             met = some.join(leaders, "key").where("part <> l.part").select("row", F.col("l.row").alias("leader"))
         pairs = met.where("row <> leader").select(F.greatest("row", "leader").alias("a"), F.least("row", "leader").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        sizes = heads.select("head", F.col("n").alias("size"))
-        pairs = pairs.join(sizes.withColumnRenamed("size", "na"), F.col("a") == F.col("head")).drop("head").join(sizes.withColumnRenamed("size", "nb"), F.col("b") == F.col("head"))
-        pairs = pairs.where(F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")).select("a", "b")
         tested = tested.union(verified(stored(pairs, "pairs")))
         groups = components(tested.where("linked").select("a", "b"))
     links = tested.where("linked").select("a", "b")
