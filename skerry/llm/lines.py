@@ -3,8 +3,12 @@
 Two lines within one edit have equal deletion variants: the one minus a character equals the other (insertion or
 deletion), or both minus the character at one place are equal (substitution). All variants are hashed keys that hold the
 kind, and for substitutions length and place, so lines that share one are within the bound of each other and a group
-needs its earliest line only, never its pairs. Equal lines are merged first. Before variants are made, lines that share
-neither a leading nor a trailing part with any other line are set aside: one edit leaves one of the two parts as it was.
+needs its earliest line only, never its pairs. Equal lines are merged first.
+
+Before variants are made, lines that cannot have a partner are set aside. With m the length of the shorter of two lines
+within one edit, and m + 1 places cut into k equal blocks, the edit lies in one block, and what stands before and behind
+it is equal. So partners share (m, block, hash of the rest) for m their own length or one less: 2 k keys a line. First
+two blocks are tried on all lines, then FINE blocks on those that are left.
 """
 
 from __future__ import annotations
@@ -15,9 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_side, stored
-from .tokens import _INVERSE, mix, pair, prefix_hashes
+from .tokens import _INVERSE, CHUNK, mix, pair, prefix_hashes
 
-LINE = "id long, row long, line int, n int, h1 long, h2 long, parts array<long>"
+COARSE, FINE = 2, 16
+#: Characters whose variants are made at a time; a longer line is handled alone.
+VARIANT_CHARS = 1 << 18
+#: Code points under this are looked up; the others are hashed one by one.
+TABLE = 1 << 14
+_POINT = mix(np.arange(1, TABLE + 1, dtype=np.uint64))
+PARTS = [f"part{i}" for i in range(2 * COARSE)]
 
 
 def _normal(line: str) -> str:
@@ -25,47 +35,68 @@ def _normal(line: str) -> str:
 
 
 def _points(text: str) -> np.ndarray:
-    return mix(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1))
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = _POINT[np.minimum(code, TABLE - 1)]
+    rare = np.flatnonzero(code >= TABLE)
+    out[rare] = mix(code[rare].astype(np.uint64) + np.uint64(1))
+    return out
 
 
-def _span(h, back, a, b) -> np.ndarray:
-    return mix((h[b] - h[a]) * back[a] + np.uint64(1))
+def _hashed(lines: list[str]):
+    """Of lines as one sequence: where each starts and ends, the characters' values, prefix hashes, inverse powers."""
+    v = _points("".join(lines))
+    ends = np.cumsum([len(x) for x in lines])
+    return ends - np.array([len(x) for x in lines]), ends, v, *prefix_hashes(v)
 
 
-def _describe(parts):
-    """Every line with a letter or sign: length, two hashes, and hashes of its leading and trailing parts.
+def _blocks(s, e, h, back, k: int) -> np.ndarray:
+    """2 k keys of each line: the hash of what stands before and behind each block, with the length and the block."""
+    out = []
+    for m in (e - s, e - s - 1):
+        b = -(-(m + 1) // k)
+        for i in range(k):
+            p, q = np.minimum(i * b, m), e - np.maximum(m - (i + 1) * b, 0)
+            rest = pair((h[s + p] - h[s]) * back[s], (h[e] - h[q]) * back[q])
+            out.append(pair(rest, (m * 64 + i).astype(np.uint64)))
+    return np.stack(out, 1)
 
-    The parts' length is the greatest power of two of at most half the line's, and that of the line one longer, so that
-    lines of neighbouring lengths have parts of a common length.
-    """
+
+def _grouped(items, size: int):
+    """Items (..., line) in lists of about `size` characters."""
+    held, n = [], 0
+    for item in items:
+        if held and n + len(item[-1]) > size:
+            yield held
+            held, n = [], 0
+        held.append(item)
+        n += len(item[-1])
+    if held:
+        yield held
+
+
+def _ints(x) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x, np.uint64).view(np.int64))
+
+
+def _describe(parts):
+    """Every line that is not blank: its text's id, row and number of lines, its place, two hashes, and coarse block keys."""
     for part in parts:
-        ids, rows, places, sizes, h1, h2, keys = [], [], [], [], [], [], []
-        for id_, row, text in zip(*(part[c].to_pylist() for c in ("id", "row", "text")), strict=True):
-            for i, line in enumerate((text or "").split("\n")):
-                line = _normal(line)
-                if not line:
-                    continue
-                v = _points(line)
-                n = len(v)
-                h, back = prefix_hashes(v)
-                whole = _span(h, back, np.array([0]), np.array([n]))
-                own = []
-                for half in sorted({n // 2, (n - 1) // 2, (n + 1) // 2}):
-                    p = 1 << (half.bit_length() - 1) if half else 0
-                    if p <= n:
-                        own += [(0, p, 0), (n - p, n, 1)]
-                own = sorted(set(own))
-                a, b, side = (np.array(x) for x in zip(*own, strict=True))
-                tags = (side * 2 + 5).astype(np.uint64) + (b - a).astype(np.uint64) * np.uint64(8)
-                keys.append(pair(_span(h, back, a, b), tags).view(np.int64).tolist())
-                ids.append(id_)
-                rows.append(row)
-                places.append(i)
-                sizes.append(n)
-                h1.append(whole[0])
-                h2.append(pair(whole, (v * np.arange(1, n + 1, dtype=np.uint64)).sum(keepdims=True))[0])
-        ints = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(places, pa.int32()), pa.array(sizes, pa.int32()), ints(h1), ints(h2), pa.array(keys, pa.list_(pa.int64()))], names=["id", "row", "line", "n", "h1", "h2", "parts"])
+
+        def found(part=part):
+            for at, text in enumerate(part["text"]):
+                lines = [(i, x) for i, line in enumerate((text.as_py() or "").split("\n")) if (x := _normal(line))]
+                for i, x in lines:
+                    yield at, len(lines), i, x
+
+        for some in _grouped(found(), CHUNK):
+            at, of, place = (pa.array([x[c] for x in some], t) for c, t in ((0, pa.int64()), (1, pa.int32()), (2, pa.int32())))
+            s, e, v, h, back = _hashed([x[-1] for x in some])
+            sums, by_place = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)]) for x in (v, v * np.arange(len(v), dtype=np.uint64)))
+            whole = mix((h[e] - h[s]) * back[s] + np.uint64(1))
+            second = pair(whole, by_place[e] - by_place[s] - s.astype(np.uint64) * (sums[e] - sums[s]))
+            keys = _blocks(s, e, h, back, COARSE)
+            own = [part["id"].take(at), part["row"].take(at), of, place, _ints(whole), _ints(second)]
+            yield pa.RecordBatch.from_arrays([*own, *(_ints(k) for k in keys.T)], names=["id", "row", "of", "line", "h1", "h2", *PARTS])
 
 
 def _wanted(parts):
@@ -75,20 +106,35 @@ def _wanted(parts):
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string())], names=["h1", "text"])
 
 
+def _fine(parts):
+    """Fine block keys of lines."""
+    for part in parts:
+        for some in _grouped(zip(part["h1"].to_pylist(), part["text"].to_pylist(), strict=True), CHUNK):
+            s, e, _, h, back = _hashed([x[1] for x in some])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat([x[0] for x in some], 2 * FINE), pa.int64()), _ints(_blocks(s, e, h, back, FINE).ravel())], names=["h1", "part"])
+
+
 def _variants(parts):
     """Keys of lines: substitution variants (role 0), shorter variants (role 1) and the line itself (role 2)."""
     one = np.array([1], np.uint64)
     for part in parts:
-        for row in part.to_pylist():
-            v = _points(row["text"])
-            n = len(v)
-            h, _ = prefix_hashes(v)
-            shorter = mix(h[:-1] + (h[-1] - h[1:]) * _INVERSE)
-            place = np.arange(n, dtype=np.uint64) * np.uint64(4) + np.uint64(n) * np.uint64(1 << 32)
-            keys = np.concatenate([pair(shorter, place + np.uint64(2)), np.unique(pair(shorter, one)), pair(mix(h[-1:]), one)])
-            role = np.repeat([0, 1, 2], [n, len(keys) - n - 1, 1]).astype(np.int8)
-            same = [pa.array([row[c]] * len(keys), pa.int64()) for c in ("h1", "id", "row")]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(role), *same, pa.array([row["line"]] * len(keys), pa.int32())], names=["key", "role", "h1", "id", "row", "line"])
+        for some in _grouped(enumerate(part["text"].to_pylist()), VARIANT_CHARS):
+            s, e, v, h, back = _hashed([x[1] for x in some])
+            i, line = np.arange(len(v)), np.repeat(np.arange(len(some)), e - s)
+            shorter = mix(((h[i] - h[s[line]]) + (h[e[line]] - h[i + 1]) * _INVERSE) * back[s[line]])
+            place = (i - s[line]).astype(np.uint64) * np.uint64(4) + (e - s)[line].astype(np.uint64) * np.uint64(1 << 32)
+            new = np.ones(len(v), bool)  # of a run of one character any one may go, with the same result
+            new[:-1] = (v[:-1] != v[1:]) | (line[:-1] != line[1:])
+            keys = np.concatenate([pair(shorter, place + np.uint64(2)), pair(shorter[new], one), pair(mix((h[e] - h[s]) * back[s]), one)])
+            role = np.repeat(np.arange(3), [len(v), new.sum(), len(some)]).astype(np.int8)
+            owner = pa.array(np.concatenate([line, line[new], np.arange(len(some))]) + some[0][0])
+            yield pa.RecordBatch.from_arrays([_ints(keys), pa.array(role), *(part[c].take(owner) for c in ("h1", "id", "row", "line"))], names=["key", "role", "h1", "id", "row", "line"])
+
+
+def _met(keys: DataFrame, name: str) -> DataFrame:
+    """The lines (h1) of keys (h1, part) that share a part with another line."""
+    shared = stored(keys.groupBy("part").count().where("count > 1").select("part"), name)
+    return keys.join(small_side(shared), "part", "left_semi").select("h1").distinct()
 
 
 def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,27 +146,28 @@ def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).cast("string").alias("text"))
     at = F.struct("id", "row", "line")
-    lines = base.mapInArrow(_describe, LINE)
-    lines = stored(lines.dropDuplicates(["row", "line"]), "lines")
-    heads = stored(lines.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.min_by("parts", at).alias("parts")), "heads")
-    keys = heads.select("h1", F.explode("parts").alias("part"))
-    shared = keys.groupBy("part").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("part")
-    near = keys.join(shared, "part", "left_semi").select("h1").distinct()
-    asked = stored(heads.join(near, "h1").select("h1", "first.id", "first.row", "first.line"), "asked")
+    lines = stored(base.mapInArrow(_describe, "id long, row long, of int, line int, h1 long, h2 long, " + ", ".join(f"{p} long" for p in PARTS)), "lines")
+    heads = stored(lines.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count("*").alias("copies"), *(F.min(p).alias(p) for p in PARTS)), "heads")
+    near = _met(heads.select("h1", F.explode(F.array(*PARTS)).alias("part")), "parts")
+    asked = stored(heads.join(small_side(stored(near, "near")), "h1").select("h1", "first.id", "first.row", "first.line"), "asked")
     wanted = stored(asked.groupBy("row").agg(F.collect_list(F.struct("line", "h1")).alias("wanted")), "wanted")
     texts = base.select("row", "text").join(small_side(wanted), "row").mapInArrow(_wanted, "h1 long, text string").dropDuplicates(["h1"])
     texts = stored(texts, "line-texts")
+    texts = stored(texts.join(_met(stored(texts.mapInArrow(_fine, "h1 long, part long"), "fine"), "fine-parts"), "h1", "left_semi"), "near-texts")
     variants = asked.join(texts, "h1").mapInArrow(_variants, "key long, role byte, h1 long, id long, row long, line int")
     mine = F.struct("id", "row", "line", "h1")
     group = variants.groupBy("key").agg(*(F.min(F.when(F.col("role") == i, mine)).alias(f"m{i}") for i in range(3)), F.count("*").alias("size")).where("size > 1").drop("size")
+    group = small_side(stored(group, "groups"))
     partner = F.when(F.col("role") == 0, F.col("m0")).when(F.col("role") == 1, F.col("m2")).otherwise(F.col("m1"))
     pairs = variants.join(group, "key").select("h1", mine.alias("own"), partner.alias("other")).where("other.h1 <> h1 and other < own").select("h1", F.col("other.h1").alias("other")).distinct()
     pairs = pairs.join(texts, "h1").join(texts.select(F.col("h1").alias("other"), F.col("text").alias("other_text")), "other")
     gone = pairs.where(F.levenshtein("text", "other_text", 1) >= 0).select("h1").distinct().withColumn("gone", F.lit(True))
-    marked = stored(heads.select("h1", "h2", "first").join(stored(gone, "gone"), "h1", "left"), "marked")
-    out = lines.join(marked, ["h1", "h2"]).withColumn("out", F.col("gone").isNotNull() | (at != F.col("first")))
-    out = out.groupBy("row").agg(F.count("*").alias("n_lines"), F.array_sort(F.collect_list(F.when(F.col("out"), F.col("line")))).alias("removed"))
-    return stored(out, "removed")
+    marked = heads.select("h1", "h2", "first", "copies").join(small_side(stored(gone, "gone")), "h1", "left").where("copies > 1 or gone").drop("copies")
+    out = lines.select("h1", "h2", *("id", "row", "line")).join(small_side(stored(marked, "marked")), ["h1", "h2"])
+    out = out.where(F.col("gone").isNotNull() | (at != F.col("first"))).groupBy("row").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    sizes = lines.groupBy("row").agg(F.min("of").cast("long").alias("n_lines"))
+    found = sizes.join(out, "row", "left").select("row", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    return stored(found, "removed")
 
 
 def without_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
