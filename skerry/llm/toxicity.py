@@ -1,8 +1,9 @@
 """Toxicity: a linear classifier of binary character n-grams scaled by naive Bayes log-count ratios (NB-SVM's features,
 logistic loss), trained on labelled text.
 
-The classifier is fitted in one task on a bounded sample of the labelled rows: at most `rows_per_class` rows of either
-label, those with the least hashes, and at most `max_bytes` of text. Scoring covers every whole text.
+The classifier is fitted on a bounded sample of the labelled rows: at most `rows_per_class` rows of either label, those
+with the least hashes, and at most `max_bytes` of text. N-grams are counted and the features chosen by many tasks; one
+task then solves the regression on the sample's feature numbers. Scoring covers every whole text.
 """
 
 from __future__ import annotations
@@ -16,10 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chargrams import batches, grams
+from .common import stored
 
 ORDERS = (4, 5, 6)
 #: Bounds of the sample and of the model.
 ROWS_PER_CLASS, MAX_BYTES, MAX_FEATURES = 4000, 32 << 20, 60_000
+#: Tasks that count the sample's n-grams, and n-grams that such a task holds before it sends their counts.
+SAMPLE_PARTS, HELD = 16, 4_000_000
 
 
 @dataclass(frozen=True)
@@ -40,19 +44,47 @@ def _distinct(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h[new], number[new]
 
 
-def _train(rows: list[np.ndarray], y: np.ndarray, features: int, least: int, penalty: float) -> ToxicityModel:
-    """Ratios and logistic regression by Newton steps with conjugate gradients. rows: the distinct n-grams of each text."""
-    flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    names, index = np.unique(flat, return_inverse=True)
-    pos = np.bincount(index, weights=y[owner], minlength=len(names))
-    all_ = np.bincount(index, minlength=len(names))
-    ratio = np.log((pos + 1) / (y.sum() + 2)) - np.log((all_ - pos + 1) / (len(y) - y.sum() + 2))
-    kept = np.flatnonzero(all_ >= least)
-    kept = np.sort(kept[np.lexsort((names[kept], -np.abs(ratio[kept]) * np.sqrt(all_[kept])))[:features]])
-    place = np.full(len(names), -1)
-    place[kept] = np.arange(len(kept))
-    at = place[index]
-    owner, at, r = owner[at >= 0], at[at >= 0], ratio[kept]
+def _count(parts):
+    """How many texts, and how many of label 1, have each n-gram: counts of some texts at a time."""
+    names, ones, size = [], [], 0
+
+    def counted():
+        flat, index = np.unique(np.concatenate(names), return_inverse=True)
+        n, pos = np.bincount(index), np.bincount(index, weights=np.concatenate(ones))
+        return pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(pos.astype(np.int64))], names=["feature", "n", "pos"])
+
+    for part in parts:
+        y, at = part["_y"].to_numpy(), 0
+        for some in batches(part["_text"].to_pylist()):
+            h, number = _distinct(some)
+            names.append(h)
+            ones.append(y[at + number].astype(np.int8))
+            at, size = at + len(some), size + len(h)
+            if size > HELD:
+                yield counted()
+                names, ones, size = [], [], 0
+    if names:
+        yield counted()
+
+
+def _index(features: np.ndarray):
+    """The numbers of the features that each text has."""
+
+    def run(parts):
+        for part in parts:
+            places = []
+            for some in batches(part["_text"].to_pylist()):
+                h, number = _distinct(some)
+                at = np.minimum(np.searchsorted(features, h), len(features) - 1)
+                hit = features[at] == h
+                places += np.split(at[hit].astype(np.int32), np.searchsorted(number[hit], np.arange(1, len(some))))
+            yield pa.RecordBatch.from_arrays([part["_h"], part["_y"], pa.array(places, pa.list_(pa.int32()))], names=["_h", "_y", "at"])
+
+    return run
+
+
+def _regression(owner: np.ndarray, at: np.ndarray, y: np.ndarray, r: np.ndarray, penalty: float) -> tuple[np.ndarray, float]:
+    """Logistic regression by Newton steps with conjugate gradients. Text owner[i] has feature at[i]; r: the ratios."""
     times = lambda w: np.bincount(owner, weights=(r * w[:-1])[at], minlength=len(y)) + w[-1]
     back = lambda u: np.append(np.bincount(at, weights=u[owner], minlength=len(r)) * r, u.sum())
     w, hold = np.zeros(len(r) + 1), np.append(np.full(len(r), penalty), 1e-6)
@@ -77,7 +109,7 @@ def _train(rows: list[np.ndarray], y: np.ndarray, features: int, least: int, pen
         while scale > 1e-4 and loss(w + scale * step) > now:
             scale /= 2
         w = w + scale * step
-    return ToxicityModel(names[kept], r * w[:-1], float(w[-1]))
+    return r * w[:-1], float(w[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_class: int = ROWS_PER_CLASS, max_bytes: int = MAX_BYTES, max_features: int = MAX_FEATURES, least: int = 4, penalty: float = 2.0) -> ToxicityModel:
@@ -89,35 +121,39 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     by = F.xxhash64("_id")
     picked = labels.where("_y = 1").orderBy(by, "_id").limit(rows_per_class).union(labels.where("_y = 0").orderBy(by, "_id").limit(rows_per_class))
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).join(F.broadcast(picked), "_id")
-    sizes = rows.select("_id", F.xxhash64("_id", "_text").alias("_h"), F.octet_length("_text").alias("_n")).distinct().orderBy("_h").limit(2 * rows_per_class)
+    rows = stored(rows.withColumn("_h", F.xxhash64("_id", "_text")), "labelled")
+    sizes = rows.select("_id", "_h", F.octet_length("_text").alias("_n")).where(F.col("_n") <= max_bytes).distinct().orderBy("_h").limit(2 * rows_per_class)
     within = sizes.withColumn("_sum", F.sum("_n").over(Window.orderBy("_h", "_id").rowsBetween(Window.unboundedPreceding, 0))).where(F.col("_sum") <= max_bytes).select("_h")
-    rows = rows.withColumn("_h", F.xxhash64("_id", "_text")).join(F.broadcast(within), "_h").dropDuplicates(["_h"])
+    sample = stored(rows.join(F.broadcast(within), "_h").dropDuplicates(["_h"]).repartition(SAMPLE_PARTS, "_h").select("_h", "_text", "_y"), "sample")
+    total, ones = (int(x or 0) for x in sample.agg(F.count("*"), F.sum("_y")).first())
+    if not 0 < ones < total:
+        return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), 30.0 if ones else -30.0)
+    counts = sample.mapInArrow(_count, "feature long, n long, pos long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where(F.col("n") >= least)
+    ratio = F.log((F.col("pos") + 1) / (ones + 2)) - F.log((F.col("n") - F.col("pos") + 1) / (total - ones + 2))
+    weight = F.abs("ratio") * F.sqrt("n")
+    chosen = counts.select("feature", "n", ratio.alias("ratio")).orderBy(weight.desc(), "feature").limit(max_features).select("feature", "ratio").toPandas()
+    names, ratios = chosen["feature"].to_numpy(np.int64).view(np.uint64), chosen["ratio"].to_numpy(float)
+    order = np.argsort(names)
+    names, ratios = names[order], ratios[order]
+    if not len(names):
+        return ToxicityModel(names, ratios, float(np.log(ones / (total - ones))))
 
     def train(parts):
-        texts, y = [], []
+        keys, y, sizes, places = ([np.zeros(0, t)] for t in (np.int64, np.int32, np.int64, np.int32))
         for part in parts:
-            texts += part["_text"].to_pylist()
-            y += part["_y"].to_pylist()
-        order = sorted(range(len(y)), key=lambda i: (y[i], texts[i]))
-        texts, y = [texts[i] for i in order], np.array([y[i] for i in order], float)
-        if 0 < y.sum() < len(y):
-            sets = []
-            for some in batches(texts):
-                h, number = _distinct(some)
-                sets += np.split(h, np.searchsorted(number, np.arange(1, len(some))))
-            model = _train(sets, y, max_features, least, penalty)
-        else:
-            share = float(y.mean()) if len(y) else 0.0
-            model = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), 30.0 if share else -30.0)
-        yield pa.RecordBatch.from_arrays([pa.array(model.features.view(np.int64)), pa.array(model.weights), pa.array([True] * len(model.weights), pa.bool_())], names=["feature", "weight", "is_feature"])
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([model.bias]), pa.array([False])], names=["feature", "weight", "is_feature"])
-
-    table = rows.select("_text", "_y").coalesce(1).repartition(1).mapInArrow(train, "feature long, weight double, is_feature boolean").toPandas()
-    own = table[table["is_feature"]]
-    names = own["feature"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(names)
-    bias = table[~table["is_feature"]]["weight"]
-    return ToxicityModel(names[order], own["weight"].to_numpy(float)[order], float(bias.iloc[0]) if len(bias) else -30.0)
+            keys.append(part["_h"].to_numpy())
+            y.append(part["_y"].to_numpy())
+            sizes.append(np.diff(part["at"].offsets.to_numpy()))
+            places.append(part["at"].flatten().to_numpy())
+        keys, y, sizes, places = (np.concatenate(x) for x in (keys, y, sizes, places))
+        number = np.argsort(np.argsort(keys))  # texts in one order, however tasks end
+        owner = np.repeat(number, sizes)
+        order = np.argsort(owner, kind="stable")
+        weights, bias = _regression(owner[order], places[order].astype(np.int64), y[np.argsort(keys)].astype(float), ratios, penalty)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(weights)), -1)), pa.array(np.append(weights, bias))], names=["place", "weight"])
+
+    found = sample.mapInArrow(_index(names), "_h long, _y int, at array<int>").repartition(1).mapInArrow(train, "place long, weight double").toPandas().sort_values("place")["weight"].to_numpy(float)
+    return ToxicityModel(names, found[1:], float(found[0]))
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: tuple[str, str] = ("score", "predicted"), threshold: float = 0.5) -> DataFrame:
