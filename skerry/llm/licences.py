@@ -1,10 +1,14 @@
-"""License scans: sparse TF-IDF cosine of lines and whole texts to templates, then inheritance from the nearest ancestor
+"""License scans: sparse TF-IDF cosine of lines, runs of lines and whole texts to templates, then inheritance from the nearest ancestor
 directory by path joins. DataFrame functions only.
 
 Weights: term frequency times ln((T + 1) / (df + 1)) + 1 over the T templates; a term of no template has df 0. A text
 can only reach the threshold if it has one of a template's necessary terms: those that remain when terms are left out,
 most frequent in the corpus first, while the squared weights left out stay below threshold**2 of the template's. Lines
-without any are skipped, which loses nothing.
+and runs without any are skipped, which loses nothing.
+
+A run of lines is as long as a text can be that reaches the threshold and has no term of a template more often than the
+template has it: the others' squared weights must stay below (1 / threshold**2 - 1) of the template's. A run that starts
+or ends with a line without a template's term is skipped: without that line its cosine is greater.
 """
 
 from __future__ import annotations
@@ -38,11 +42,29 @@ def _terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda t: t != "")
 
 
+def _runs(hit: DataFrame, pattern: str, known: list[str], most: int) -> DataFrame:
+    """(row, line, last, u): each run of two or more consecutive lines, blank ones left out, with at most `most` terms,
+    one of them necessary, whose first and last lines have terms of a template."""
+    lines = hit.select("row", F.posexplode(F.split("text", "\n")).alias("line", "u")).withColumn("terms", _terms(F.col("u")))
+    lines = lines.withColumns({"n": F.size("terms"), "edge": F.arrays_overlap("terms", F.array(*[F.lit(k) for k in known])), "needed": F.col("u").rlike(pattern)}).where("n > 0")
+    lines = lines.withColumn("end", F.sum("n").over(Window.partitionBy("row").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)))
+    lines = lines.select("row", "line", "edge", "needed", (F.col("end") - F.col("n")).alias("at"), "end", F.when(F.col("n") <= most, F.array_join("terms", " ")).alias("u"))
+    by = Window.partitionBy("row").orderBy("at")
+    lines = lines.withColumn("close", F.max("needed").over(by.rangeBetween(-most, most))).where("close and u is not null")
+    ahead = F.collect_list(F.struct("line", "edge", "needed", "at", "end", "u")).over(by.rangeBetween(0, most - 1))
+    starts = lines.withColumn("ahead", ahead).where(F.col("edge") & (F.size("ahead") > 1)).select("row", "line", "at", "ahead")
+    runs = starts.select("row", "line", "at", F.explode(F.sequence(F.lit(2), F.size("ahead"))).alias("m"), "ahead").withColumn("stop", F.element_at("ahead", F.col("m")))
+    runs = runs.where((F.col("stop.end") - F.col("at") <= most) & F.col("stop.edge")).withColumn("run", F.slice("ahead", F.lit(1), F.col("m")))
+    whole = F.aggregate("run", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["at"]) == F.col("stop.end") - F.col("at")
+    return runs.where(F.exists("run", lambda x: x["needed"]) & whole).select("row", "line", F.col("stop.line").alias("last"), F.array_join(F.transform("run", lambda x: x["u"]), " ").alias("u"))
+
+
 def scan(files: DataFrame, path: Column, templates: DataFrame | None = None, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row of files: id, path, licence, how (`file`: its whole text or, in a file named as a licence, a line is
-    one; `line`; `inherited`), cosine, from_dir.
+    or a run of lines is one; `line`: such a line or run elsewhere; `inherited`), cosine, from_dir.
 
-    The best licence has the greatest cosine, ties by name. Every line and the whole text count. A row without one of
+    The best licence has the greatest cosine, ties by name. Every line, every run of consecutive lines up to
+    the length told above, and the whole text count. A row without one of
     its own inherits that of the licence file in the nearest directory at or above its own (ties: greatest cosine, then
     path); otherwise licence is null. A null text has no terms, a null path no directory. Repeated rows get the same
     result each; equal (id, path, text) count as one licence file.
@@ -65,17 +87,21 @@ def scan(files: DataFrame, path: Column, templates: DataFrame | None = None, thr
     ranked = ranked.withColumns({"out": F.sum(F.col("w") * F.col("w")).over(left), "all": F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("t"))})
     needed = sorted(r[0] for r in ranked.where(F.col("out") >= F.lit(threshold**2 - 1e-9) * F.col("all")).select("term").distinct().collect())
     pattern = r"(?i)(?<![a-z0-9])(" + "|".join(needed) + r")(?![a-z0-9])" if needed else "(?!)"
-    hit = base.where(F.col("text").rlike(pattern)).dropDuplicates(["row"])
-    units = F.concat(F.array(F.struct(F.lit(-1).alias("line"), F.col("text").alias("u"))), F.transform(F.split("text", "\n"), lambda u, i: F.struct(i.alias("line"), u.alias("u"))))
-    lines = hit.select("row", F.explode(units).alias("x")).select("row", "x.line", "x.u").where(F.col("u").rlike(pattern))
-    tf = lines.select("row", "line", F.explode(_terms(F.col("u"))).alias("term")).groupBy("row", "line", "term").agg(F.count("*").alias("n"))
+    hit = stored(base.where(F.col("text").rlike(pattern)).select("row", "text").dropDuplicates(["row"]), "hit")
+    squares = weighed.groupBy("t").agg(F.sum("tf").alias("n"), F.sum(F.col("w") * F.col("w")).alias("sq")).crossJoin(weighed.agg(F.min("idf").alias("least")))
+    most = squares.agg(F.max(F.col("n") + F.floor((1 / threshold**2 - 1) * F.col("sq") / (F.col("least") * F.col("least"))))).first()[0] or 0
+    known = sorted(r[0] for r in weighed.select("term").distinct().collect())
+    units = F.concat(F.array(F.struct(F.lit(-1).alias("line"), F.lit(-1).alias("last"), F.col("text").alias("u"))), F.transform(F.split("text", "\n"), lambda u, i: F.struct(i.alias("line"), i.alias("last"), u.alias("u"))))
+    lines = hit.select("row", F.explode(units).alias("x")).select("row", "x.line", "x.last", "x.u").where(F.col("u").rlike(pattern))
+    lines = lines.unionByName(_runs(hit, pattern, known, most))
+    tf = lines.select("row", "line", "last", F.explode(_terms(F.col("u"))).alias("term")).groupBy("row", "line", "last", "term").agg(F.count("*").alias("n"))
     per_term = weighed.groupBy("term").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("licence", "t", "w")).alias("in"))
     tf = tf.join(F.broadcast(per_term), "term", "left").withColumn("v", F.col("n") * F.coalesce("idf", unseen))
-    tf = stored(tf.select("row", "line", "v", "in"), "terms")
-    norms = tf.groupBy("row", "line").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    dots = tf.select("row", "line", "v", F.explode("in").alias("x")).groupBy("row", "line", "x.licence", "x.t").agg(F.sum(F.col("v") * F.col("x.w")).alias("dot"))
+    tf = stored(tf.select("row", "line", "last", "v", "in"), "terms")
+    norms = tf.groupBy("row", "line", "last").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    dots = tf.select("row", "line", "last", "v", F.explode("in").alias("x")).groupBy("row", "line", "last", "x.licence", "x.t").agg(F.sum(F.col("v") * F.col("x.w")).alias("dot"))
     lengths = weighed.groupBy("t").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    close = dots.join(norms, ["row", "line"]).join(F.broadcast(lengths), "t").withColumn("cosine", F.round(F.col("dot") / (F.col("norm") * F.col("length")), 9)).where(F.col("cosine") >= threshold)
+    close = dots.join(norms, ["row", "line", "last"]).join(F.broadcast(lengths), "t").withColumn("cosine", F.round(F.col("dot") / (F.col("norm") * F.col("length")), 9)).where(F.col("cosine") >= threshold)
     by_name = close.groupBy("row", "licence").agg(F.min(-F.col("cosine")).alias("far"), F.max(F.col("line") < 0).alias("whole"))
     own = by_name.groupBy("row").agg(F.min(F.struct("far", "licence", "whole")).alias("x"))
     own = stored(own.select("row", "x.licence", (-F.col("x.far")).alias("cosine"), "x.whole"), "own")

@@ -137,3 +137,18 @@ def test_licences(spark):
     assert got == {0: ("MIT", "file", "a"), 1: ("MIT", "inherited", "a"), 2: ("Apache-2.0", "file", "a/b"), 3: (None, None, None), 4: (None, None, None), 5: ("MIT", "inherited", "a"), 6: ("MIT", "inherited", "a"), 7: ("CC-BY-NC-4.0", "line", None)} or got[1] == ("Apache-2.0", "inherited", "a/b")
     assert got[7] == ("CC-BY-NC-4.0", "line", None) and got[0] == ("MIT", "file", "a") and got[3][0] is None and got[5] == ("MIT", "inherited", "a")
     assert licences.scan(files.where("false"), F.col("p")).count() == 0
+
+
+def test_wrapped_licences(spark):
+    gpl = "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n    the Free Software Foundation, either version 3 of the License, or\n    (at your option) any later version.\n"
+    bsd = "# Redistribution and use in source and binary forms, with or without\n#\n# modification, are permitted provided that the following conditions\r\n# are met:\n"
+    narrow = "\n".join(licences.TEMPLATES[7][1].split())
+    code = "\n".join(f"def f{i}(x):\n    return x + alpha{i} * beta{i} - gamma{i}" for i in range(60))
+    apart = gpl.replace("\n", "\n" + code + "\n")
+    texts = [gpl + code, bsd + code, code + "\n" + narrow + "\n" + code, code + "\n" + gpl, apart, code, code + "\n" + gpl + code + "\n" + gpl]
+    files = spark.createDataFrame([(i, f"d{i}/x.py", t) for i, t in enumerate(texts)], "doc_id int, p string, text string")
+    got = {r.doc_id: (r.licence, r.how) for r in licences.scan(files, F.col("p")).collect()}
+    wrapped = ("GPL-3.0", "line")
+    assert got == {0: wrapped, 1: ("BSD-3-Clause", "line"), 2: wrapped, 3: wrapped, 4: (None, None), 5: (None, None), 6: wrapped}
+    kept = licences.scan(files.where("doc_id = 2"), F.col("p")).first()
+    assert kept.cosine == 1.0
