@@ -23,10 +23,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with a Jaccard similarity of 0.8 or more on 5-word shingles, that with the least doc_id stays."""
-    groups = jaccard.jaccard_groups(docs, width=5, percent=80)
-    gone = common.stored(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(common.small_side(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """Of documents with a Jaccard similarity of 0.8 or more on 5-word shingles, one row of each group stays: that with the least doc_id (null last).
+
+    Ties: the least hash of doc_id and text; of rows equal in both, the least other columns. Texts without a word all stay.
+    """
+    groups = common.stored(jaccard.jaccard_groups(docs, width=5, percent=80, with_rows=True).where("part is not null"), "groups")
+    best = groups.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("b")).select(F.col("b.row").alias("_row"))
+    best = common.stored(best, "best")
+    rows = groups.groupBy(F.col("row").alias("_row")).count()
+    gone = common.stored(rows.join(common.small_side(best), "_row", "left_anti").select("_row"), "gone")
+    repeated = common.stored(rows.where("count > 1").join(common.small_side(best), "_row", "left_semi").select("_row"), "repeated")
+    kept = docs.withColumn("_row", jaccard.row_hash()).join(common.small_side(gone), "_row", "left_anti")
+    if repeated.isEmpty():
+        return kept.select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.to_json(F.struct(*others)) if others else F.lit("")
+    one = kept.join(common.small_side(repeated), "_row", "left_semi").groupBy("_row").agg(F.min_by(F.struct(*docs.columns), order).alias("d")).select("d.*")
+    return kept.join(common.small_side(repeated), "_row", "left_anti").select(*docs.columns).unionByName(one)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

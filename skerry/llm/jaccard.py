@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_side, stored
@@ -152,16 +152,22 @@ def boundary(histogram: list[tuple[int, int]], percent: int, repeats: float) ->
     return min(cost, key=lambda s: (cost[s], s))
 
 
-def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def row_hash(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
+def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", with_rows: bool = False) -> DataFrame:
     """For each row of docs: id, n_shingles, component_id (the least id reachable by links, its own included).
 
     Words: maximal runs of bytes other than space and 0x09-0x0D, A-Z lowered. A row's set: its distinct width-word
     shingles; with fewer words, all of them as one; no word or a null text: the empty set, which links with nothing. Two
     rows link when 100 |A and B| >= percent |A or B|. Repeated rows link with each other. Rows with a null id are grouped
     too, but name a component only where it has no other id (component_id is then null). Other columns are ignored.
+    with_rows adds row (row_hash of id and text) and part, which names the component also where it has no id; null for
+    the empty set.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), row_hash(id_col, text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
     profile = stored(base.mapInArrow(_profile(width), "id long, row long, n long, h1 long, h2 long, sketch binary"), "profile")
     rows, shared = profile.where("row is not null"), profile.where("row is null")
     heads = stored(rows.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("row").alias("head"), F.min("id").alias("least")), "heads")
@@ -231,6 +237,6 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: s
     groups = components(links.union(more))
     named = heads.join(groups, F.col("head") == F.col("id"), "left").select("n", "h1", "h2", "least", F.coalesce("component", "head").alias("part"))
     least = named.groupBy("part").agg(F.min("least").alias("component_id"))
-    named = stored(named.join(least, "part").select("n", "h1", "h2", "component_id"), "named")
+    named = stored(named.join(least, "part").select("n", "h1", "h2", "component_id", "part"), "named")
     out = rows.join(small_side(named), ["n", "h1", "h2"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), *(["row", "part"] if with_rows else []))

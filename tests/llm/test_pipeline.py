@@ -34,3 +34,20 @@ def test_stages_and_run(spark, tmp_path):
     final = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in final} <= kept and all(0 <= r["shard"] < corpus_pipeline.SHARDS for r in final)
     assert len(final) > len(kept) * 0.9
+
+
+def test_copies_with_null_repeated_and_shared_ids(spark, tmp_path):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(30))
+    rows = [
+        (1, text("a"), "en", "y"), (1, text("a"), "en", "x"), (1, text("a"), None, "z"),
+        (None, text("b"), "en", "x"), (None, text("b") + " more", "en", "x"), (None, text("b"), "fr", "x"),
+        (7, text("c"), "en", "x"), (9, text("c"), "en", "x"), (9, text("d"), "en", "x"),
+        (None, text("e"), "en", "x"), (4, text("e") + " more", "en", "x"),
+        (5, None, "en", "x"), (5, None, "en", "x"), (None, "", "en", "x"), (6, text("f"), "en", "x"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    got = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    kept = sorted(((r.doc_id, (r.text or "")[:2], r.source) for r in got.collect()), key=str)
+    assert [k for k in kept if k[1] != "b0"] == sorted([(1, "a0", "x"), (7, "c0", "x"), (9, "d0", "x"), (4, "e0", "x"), (5, "", "x"), (5, "", "x"), (None, "", "x"), (6, "f0", "x")], key=str)
+    assert [k for k in kept if k[1] == "b0"] == [(None, "b0", "x")]
