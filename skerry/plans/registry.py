@@ -114,6 +114,22 @@ def ir_metrics(spark, d):
     return out.select("query_id", *[F.round(c, 6).alias(c) for c in out.columns if c != "query_id"])
 
 
+@query(_RUNS + """, qrels AS (SELECT DISTINCT query_id, doc_id, quality::DOUBLE AS grade FROM (SELECT query_id, id AS doc_id FROM sums WHERE score > 0) JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) USING (doc_id)),
+j AS (SELECT r.query_id, rank, coalesce(grade, 0) AS grade, (coalesce(grade, 0) > 0)::INT AS rel FROM ranked r LEFT JOIN qrels q ON r.query_id = q.query_id AND r.id = q.doc_id),
+k AS (SELECT *, sum(rel) OVER (PARTITION BY query_id ORDER BY rank) AS sofar FROM j),
+m AS (SELECT query_id, sum(rel) AS hits, count(*) AS n, min(CASE WHEN rel = 1 THEN rank END) AS f, sum(CASE WHEN rel = 1 THEN sofar / rank END) AS ap, sum((2 ** grade - 1) / log2(rank + 1)) AS dcg FROM k GROUP BY 1),
+i AS (SELECT query_id, sum((2 ** grade - 1) / log2(r + 1)) FILTER (WHERE r <= 10) AS idcg, sum((grade > 0)::INT) AS relevant FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_id) AS r FROM qrels) GROUP BY 1),
+e AS (SELECT m.*, CASE WHEN relevant > 0 THEN hits / relevant ELSE 0 END AS recall, hits / least(10, n) AS precision, idcg, relevant FROM m LEFT JOIN i USING (query_id))
+SELECT query_id, round(recall, 6) AS recall, round(precision, 6) AS precision, round(CASE WHEN recall + precision > 0 THEN 2 * recall * precision / (recall + precision) ELSE 0 END, 6) AS f1, round(coalesce(1.0 / f, 0), 6) AS mrr, CASE WHEN f IS NULL THEN 0.0 ELSE 1.0 END AS hit_rate, round(CASE WHEN relevant > 0 THEN coalesce(ap, 0) / relevant ELSE 0 END, 6) AS average_precision, round(CASE WHEN idcg > 0 THEN coalesce(dcg, 0) / idcg ELSE 0 END, 6) AS ndcg FROM e""")
+def ir_metrics_judged(spark, d):
+    """As ir_metrics, but all scored documents with a label are judged, so relevant ones that the top 10 miss count."""
+    scored = search.search(table(spark, d, "documents"), _asked(spark, d), limit=(1 << 31) - 1, id_col="doc_id", text_col="text").withColumn("score", F.round("score", 6)).drop("rank")
+    grades = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("grade"))
+    qrels = scored.select("query_id", F.col("id").alias("doc_id")).join(grades, "doc_id")
+    out = evaluate.retrieval_metrics(search.top(scored, 10).select("query_id", F.col("id").alias("doc_id"), "rank"), qrels)
+    return out.select("query_id", *[F.round(c, 6).alias(c) for c in out.columns if c != "query_id"])
+
+
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 _CONTENT = "list_filter(" + _TOKENS + ", lambda w: NOT list_contains([" + _STOP + "], w))"
 _CASES = """WITH turns AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, lead(role) OVER w AS nr, lead(text) OVER w AS nt, string_agg(text, ' ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),

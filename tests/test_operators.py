@@ -116,3 +116,13 @@ def test_metric_percentile_and_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert rows(spark.table("live_metrics")) == rows(stream.windowed(s))
+
+
+def test_judged_documents_beyond_the_top_ten_count(spark, tmp_path):
+    from skerry.plans import registry
+
+    spark.createDataFrame([(i, "needle " + "hay " * i, "en", "s") for i in range(1, 21)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i in (1, 20)), 0) for i in range(1, 21)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "needle")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    r = registry.QUERIES["ir_metrics_judged"](spark, str(tmp_path)).first()
+    assert (r.recall, r.average_precision, r.ndcg) == (0.5, 0.5, pytest.approx(1 / (1 + 1 / math.log2(3)), abs=1e-6))
