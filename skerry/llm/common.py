@@ -2,25 +2,40 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side of a join with at most this many narrow rows is broadcast; larger sides are shuffled.
-BROADCAST_ROWS = 500_000
+#: A side of a join with at most so many bytes, as counted, is broadcast; larger sides are shuffled.
+BROADCAST_BYTES = 32 << 20
+#: Bytes that a row takes in a broadcast besides its values.
+ROW_BYTES = 48
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one only where the setting is absent."""
+    """The folder that all executors share (spark.checkpoint.dir). Where the setting is absent: an own one if Spark runs on this
+    machine only, as in tests, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """names, all with so many underscores before them that none is (in any case) among the columns."""
+    taken, mark = {c.lower() for c in columns}, "_"
+    while any((mark + n).lower() in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -33,9 +48,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast when its counted size allows it. df should be a stored table, so that counting is cheap."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def row_bytes(schema: T.StructType) -> Column:
+    """About how many bytes a row takes in a broadcast: 8 for each number, the length of texts, arrays by their text form."""
+    wide = [F.octet_length(f.name) if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.octet_length(F.to_json(F.struct(f.name))) for f in schema if isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType))]
+    fixed = F.lit(ROW_BYTES + 8 * len(schema)).cast("long")
+    return sum((F.coalesce(w, F.lit(0)) for w in wide), fixed)
+
+
+def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast when its counted bytes allow it. df should be a stored table, so that counting is cheap."""
+    return F.broadcast(df) if is_small(df, limit) else df
+
+
+def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    return (df.agg(F.sum(row_bytes(df.schema))).first()[0] or 0) <= limit
 
 
 def text_crc(column: str | Column) -> Column:

@@ -7,13 +7,16 @@ lists of its single members (l = 1), as do the light sets near enough in size to
 size with the least estimated cost on the histogram of sizes. The order puts members that many documents of a task
 share last, by how many, so that lists of common passages are rarely in a prefix; it affects cost, not results.
 
-Groups, not pairs, are wanted, so candidates are verified in rounds: first every member of a list against the list's
-first set; then, in a share of the lists that still hold several groups, against a leader that differs by list; last,
-for all lists that still hold several groups, all pairs between different groups. So a group of many near-copies costs
-a few verifications for each member, and no link between groups is left untested. Before texts are fetched, pairs meet by
-sketch: how many members of a set fall in each of BUCKETS buckets. The sum of the differences of two sketches is at most
-the number of members that one set has and the other lacks, so pairs for which that is too large cannot be linked.
-Verification of the others computes the exact overlap of the whole texts.
+Groups, not pairs, are wanted, so candidates are verified in two rounds. A round meets the members of each list inside
+tasks and sends on only pairs that can still be linked: by size, by the place of the common member in both prefixes, and
+by sketch. Members without a partner by size and place are set aside before sketches are fetched. A sketch holds, for
+each of BITS buckets, whether the set has an odd number of members in it; the number of buckets in which two sketches
+differ is at most the number of members that one set has and the other lacks. First, lists are dealt into blocks of about
+BLOCK members; each block is met for itself, and a task sends a spanning forest of its nearest pairs, so a large family
+of near-copies costs a few verifications for each member. Then the lists that still hold several groups are met whole, in
+pairs of blocks: the members outside of a list's largest group against each other and against that group. So no link
+between groups is left untested, and members of one group are not compared again. Verification computes the exact overlap
+of the whole texts.
 """
 
 from __future__ import annotations
@@ -29,11 +32,11 @@ from .tokens import chunks, pair, shingles, words
 
 #: Members that at least this many documents of a task share are counted over all tasks; the most frequent are ordered last.
 SHARED_IN_TASK, MAX_COMMON = 3, 200_000
-#: Buckets of a sketch; counts stop at 255, which keeps differences lower bounds.
-BUCKETS = 256
+#: Buckets of a sketch, one bit each.
+BITS = 1024
 MAX_LIGHT = 60
-#: Rounds of leaders before all pairs of groups are met; from the second on, each takes one in so many lists.
-LEADER_ROUNDS, KEY_SHARES = 4, 8
+#: Members of a block of a list; lists up to SHORT members are met many at a time; pairs compared at a time.
+BLOCK, SHORT, SLAB = 2048, 32, 1 << 18
 
 
 def _sets(texts, width):
@@ -63,7 +66,8 @@ def _profile(width: int):
                 n.append(len(s))
                 h1.append(s.sum(dtype=np.uint64))
                 h2.append(pair(s, s).sum(dtype=np.uint64))
-                sketches.append(np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes())
+                odd = np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=BITS) & 1
+                sketches.append(np.packbits(odd.astype(np.uint8)).tobytes())
                 held.append(s)
                 seen += len(s)
                 if seen > 4_000_000:
@@ -77,15 +81,17 @@ def _profile(width: int):
 
 
 def _prefixes(width: int, percent: int, light: int, names: np.ndarray, rank: np.ndarray):
-    """Keys of each set: (key, row, n, at). Pairs of members for light sets, single members for those that meet a heavy one."""
+    """Keys of each set: (key, row, n, at). Pairs of members for light sets, single members for those that meet a heavy one,
+    or one of so few members that a link with it may need no more than one common member (at 50 percent or less)."""
+    few = 100 // percent if percent <= 50 else 0
 
     def run(parts):
         for part in parts:
             rows, sizes, keys, places = [], [], [], []
             for row, s in zip(part["row"].to_numpy(), _sets((t.as_py() for t in part["text"]), width), strict=True):
                 n = len(s)
-                if n < 2:
-                    continue  # a set of one links with equal sets only
+                if n < (1 if few else 2):
+                    continue
                 spare = n - -(-percent * n // 100)
                 late = np.zeros(n, np.int64)
                 if len(names):
@@ -98,7 +104,7 @@ def _prefixes(width: int, percent: int, light: int, names: np.ndarray, rank: np.
                     sizes.append(np.full(len(i), n))
                     keys.append(pair(pair(first[i], first[j]), np.uint64(2)))
                     places.append(np.maximum(i, j))
-                if n * 100 >= percent * (light + 1):
+                if n * 100 >= percent * (light + 1) or n * percent <= 100 * few:
                     own = first[: spare + 1]
                     rows.append(np.full(len(own), row))
                     sizes.append(np.full(len(own), n))
@@ -112,28 +118,138 @@ def _prefixes(width: int, percent: int, light: int, names: np.ndarray, rank: np.
 
 
 def _verify(width: int, percent: int):
+    """Rows (a, b, side, text), sorted: the left and then the right text of each pair."""
+
     def run(parts):
+        left, sides = None, []
         for part in parts:
-            same = []
-            left = _sets((t.as_py() for t in part["text_a"]), width)
-            right = _sets((t.as_py() for t in part["text_b"]), width)
-            for x, y in zip(left, right, strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                same.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([part["a"], part["b"], pa.array(same, pa.bool_())], names=["a", "b", "linked"])
+            out = []
+            sets = _sets((t.as_py() for t in part["text"]), width)
+            for a, b, side, own in zip(part["a"].to_pylist(), part["b"].to_pylist(), part["side"].to_pylist(), sets, strict=True):
+                if side == 0:
+                    left, sides = own, (a, b)
+                elif sides == (a, b):
+                    both = len(np.intersect1d(left, own, assume_unique=True))
+                    out.append((a, b, both > 0 and 100 * both >= percent * (len(left) + len(own) - both)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "linked"])
 
     return run
 
 
-def _near(percent: int):
-    """Which pairs can still be linked, by their sketches: 100 (S - d) >= percent (S + d), S the sizes' sum, d the difference."""
+def _forest(a: np.ndarray, b: np.ndarray, apart: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Which pairs (a[i], b[i]) form a spanning forest of the nearest ones over the parts of their ends."""
+    order = np.argsort(apart, kind="stable")
+    _, group = np.unique(part, return_inverse=True)
+    taken = []
+    while len(order):
+        x, y = group[a[order]], group[b[order]]
+        order, x, y = order[x != y], x[x != y], y[x != y]
+        if not len(order):
+            break
+        names, first = np.unique(np.stack([x, y], 1).ravel(), return_index=True)  # each group's nearest pair
+        first = np.unique(first // 2)
+        taken.append(order[first])
+        root = np.arange(len(group) and group.max() + 1)
+        x, y = x[first], y[first]
+        while (root[x] != root[y]).any():  # the least name goes along the taken pairs
+            low = np.minimum(root[x], root[y])
+            np.minimum.at(root, root[x], low)
+            np.minimum.at(root, root[y], low)
+            root = root[root]
+        group = root[group]
+    return np.concatenate(taken) if taken else np.zeros(0, np.int64)
+
+
+GROUP = ("key", "x", "y")
+
+
+def _pairs(g: dict[str, np.ndarray], percent: int):
+    """Pairs of rows of different parts that meet in a group (blocks x and y of a list) and are near by size and place."""
+    n, at, part = g["n"].astype(np.int64), g["at"].astype(np.int64), g["part"]
+
+    def near(i, j):
+        ok = (part[i] != part[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        most = 1 + np.minimum(n[i] - at[i], n[j] - at[j])  # no more can be shared than follows
+        return ok & ((100 + percent) * most >= percent * (n[i] + n[j]))
+
+    new = np.logical_or.reduce([np.diff(g[c], prepend=~g[c][:1]) != 0 for c in GROUP])
+    start = np.flatnonzero(new)
+    size = np.diff(start, append=len(n))
+    small = np.repeat(size <= SHORT, size) & (g["x"] == g["y"])
+    rows, group = np.flatnonzero(small), np.cumsum(new)[small]
+    for d in range(1, SHORT):
+        i = np.flatnonzero(group[:-d] == group[d:])
+        if not len(i):
+            break
+        i, j = rows[i], rows[i + d]
+        ok = near(i, j)
+        yield i[ok], j[ok]
+    for s, e in zip(start, start + size, strict=True):
+        if small[s]:
+            continue
+        one = g["x"][s] == g["y"][s]
+        left = np.arange(s, e) if one else s + np.flatnonzero(g["block"][s:e] == g["x"][s])
+        right = left if one else s + np.flatnonzero(g["block"][s:e] == g["y"][s])
+        for some in np.array_split(left, max(1, -(-len(left) * len(right) // SLAB))):
+            i, j = np.nonzero(near(some[:, None], right[None]))
+            i, j = some[i], right[j]
+            yield (i[i < j], j[i < j]) if one else (i, j)
+
+
+def _close(percent: int):
+    """Which entries have a partner that is near by size and place."""
+
+    def met(table: pa.Table):
+        g = {c: table[c].to_numpy() for c in (*GROUP, "part", "n", "at", "block")}
+        hit = np.zeros(len(g["n"]), bool)
+        for i, j in _pairs(g, percent):
+            hit[i] = hit[j] = True
+        return table.filter(pa.array(hit))
+
+    return _whole_groups(met)
+
+
+def _meet(percent: int, forest: bool):
+    """Pairs (a, b), a > b, of different parts that can be linked; forest: only those of a spanning forest of the parts."""
+
+    def met(table: pa.Table):
+        g = {c: table[c].to_numpy() for c in (*GROUP, "row", "part", "n", "at", "block")}
+        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        n, found = g["n"].astype(np.int64), [(np.zeros(0, np.int64),) * 3]
+        for i, j in _pairs(g, percent):
+            for k in range(0, len(i), SLAB // 8):
+                a, b = i[k : k + SLAB // 8], j[k : k + SLAB // 8]
+                apart = np.bitwise_count(sketch[a] ^ sketch[b]).sum(1, dtype=np.int64)
+                ok = (100 + percent) * apart <= (100 - percent) * (n[a] + n[b])
+                found.append((a[ok], b[ok], apart[ok]))
+        a, b, apart = (np.concatenate([f[i] for f in found]) for i in range(3))
+        if forest:
+            kept = _forest(a, b, apart, g["part"])
+            a, b = a[kept], b[kept]
+        a, b = g["row"][a], g["row"][b]
+        return pa.table({"a": pa.array(np.maximum(a, b), pa.int64()), "b": pa.array(np.minimum(a, b), pa.int64())})
+
+    return _whole_groups(met)
+
+
+def _whole_groups(met):
+    """met, applied to tables of whole groups; rows come sorted by group, and a group may go on in the next batch."""
 
     def run(parts):
+        held: list[pa.RecordBatch] = []
         for part in parts:
-            x, y = (np.frombuffer(b"".join(part[c].to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for c in ("sketch_a", "sketch_b"))
-            apart = np.abs(x - y).sum(1, dtype=np.int64)
-            both = part["sizes"].to_numpy()
-            yield pa.RecordBatch.from_arrays([part["a"], part["b"], pa.array((100 + percent) * apart <= (100 - percent) * both)], names=["a", "b", "near"])
+            if not part.num_rows:
+                continue
+            last = [part[c][-1].as_py() for c in GROUP]
+            same = np.logical_and.reduce([part[c].to_numpy() == v for c, v in zip(GROUP, last, strict=True)])
+            start = 0 if same.all() else int(np.flatnonzero(~same)[-1]) + 1
+            if start or held and [held[-1][c][-1].as_py() for c in GROUP] != last:
+                held.append(part.slice(0, start))
+                yield from met(pa.Table.from_batches([h for h in held if h.num_rows])).to_batches()
+                held = []
+            held.append(part.slice(start))
+        if held:
+            yield from met(pa.Table.from_batches(held)).to_batches()
 
     return run
 
@@ -166,7 +282,7 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: s
     with_rows adds row (row_hash of id and text) and part, which names the component also where it has no id; null for
     the empty set.
     """
-    spark = docs.sparkSession
+    least_size = 2 if percent > 50 else 1  # beyond half, a set of one links with equal sets only
     base = docs.select(F.col(id_col).cast("long").alias("id"), row_hash(id_col, text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
     profile = stored(base.mapInArrow(_profile(width), "id long, row long, n long, h1 long, h2 long, sketch binary"), "profile")
     rows, shared = profile.where("row is not null"), profile.where("row is null")
@@ -176,66 +292,67 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: s
     order = np.argsort(names)
     names, rank = names[order], common["n"].to_numpy(np.int64)[order]
     size = F.when(F.col("n") <= 2 * MAX_LIGHT, F.col("n")).otherwise(F.lit(2 * MAX_LIGHT + 1))
-    histogram = [(int(n), int(c)) for n, c in heads.where("n > 1").groupBy(size).count().collect()]
+    histogram = [(int(n), int(c)) for n, c in heads.where(F.col("n") >= least_size).groupBy(size).count().collect()]
     copies = float(common["n"].sum()) / max(1, sum(n * c for n, c in histogram))
     light = boundary(histogram, percent, min(1.0, copies))
 
     def only(table: DataFrame, ids: DataFrame) -> DataFrame:
         return table.join(small_side(ids), "row", "left_semi")
 
-    tried = only(base.select("row", "text"), heads.where("n > 1").select(F.col("head").alias("row"))) if rows.count() > heads.count() else base.select("row", "text")
+    total, distinct = rows.agg(F.count("*"), F.countDistinct("row")).first()
+    tried = base.select("row", "text")
+    if total > heads.count():
+        tried = only(tried, heads.where(F.col("n") >= least_size).select(F.col("head").alias("row")))
+    if total > distinct:
+        tried = tried.dropDuplicates(["row"])
     postings = stored(tried.mapInArrow(_prefixes(width, percent, light, names, rank), "key long, row long, n int, at int"), "postings")
-    lists = postings.groupBy("key").agg(F.min("row").alias("first"), F.max("row").alias("most")).where("first <> most").select("key", "first")
+    lists = postings.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     entries = stored(postings.join(lists, "key"), "lists")
 
-    def near(na, nb, ia, ib):
-        """Size bound, and position bound for the key of the first common members: no more can be shared than follows."""
-        most = F.lit(1) + F.least(na - ia, nb - ib)
-        return (F.lit(100) * F.least(na, nb) >= F.lit(percent) * F.greatest(na, nb)) & (F.lit(100 + percent) * most >= F.lit(percent) * (na + nb))
-
-    met_rows = stored(entries.select("row").distinct(), "rows")
-    sketches = stored(only(rows.select("row", F.col("n").alias("size"), "sketch"), met_rows).dropDuplicates(["row"]), "sketches")
-
     def verified(pairs: DataFrame) -> DataFrame:
-        with_a = pairs.join(sketches.select(F.col("row").alias("a"), F.col("size").alias("na"), F.col("sketch").alias("sketch_a")), "a")
-        both = with_a.join(sketches.select(F.col("row").alias("b"), F.col("size").alias("nb"), F.col("sketch").alias("sketch_b")), "b")
-        both = both.where(F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb"))
-        sifted = stored(both.select("a", "b", (F.col("na") + F.col("nb")).alias("sizes"), "sketch_a", "sketch_b").mapInArrow(_near(percent), "a long, b long, near boolean"), "sifted")
-        pairs = sifted.where("near").select("a", "b")
-        ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "ends")
-        texts = only(base.select("row", "text"), ends).dropDuplicates(["row"])
-        with_a = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a")
-        both = with_a.join(texts.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b")
-        sure = stored(both.mapInArrow(_verify(width, percent), "a long, b long, linked boolean"), "pairs")
-        return sure.union(sifted.where("not near").select("a", "b", F.lit(False).alias("linked")))
-
-    tested = spark.createDataFrame([], "a long, b long, linked boolean")
-    groups = spark.createDataFrame([], "id long, component long")
-
-    def open_lists(some: DataFrame) -> DataFrame:
-        """The entries, with their groups, of lists that hold more than one group."""
-        placed = some.join(groups, F.col("row") == F.col("id"), "left").select("key", "row", "n", "at", F.coalesce("component", "row").alias("part"))
-        split = placed.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
-        return stored(placed.join(split, "key"), "open")
-
-    for turn in range(LEADER_ROUNDS):
-        some = entries if turn == 0 else open_lists(entries.where(F.pmod(F.xxhash64("key"), F.lit(KEY_SHARES)) == turn))
-        if turn == 0:
-            met = some.select("row", F.col("first").alias("leader"))
-        else:
-            leaders = some.groupBy("key").agg(F.min(F.struct(F.xxhash64("row", "key").alias("h"), "row", "part")).alias("l"))
-            met = some.join(leaders, "key").where("part <> l.part").select("row", F.col("l.row").alias("leader"))
-        pairs = met.where("row <> leader").select(F.greatest("row", "leader").alias("a"), F.least("row", "leader").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        tested = tested.union(verified(stored(pairs, "pairs")))
-        groups = components(tested.where("linked").select("a", "b"))
+        """Of distinct pairs (a, b): linked or not. Pairs go to the texts, so that a text moves once for each of its pairs."""
+        end = lambda c, side: F.struct(F.col(c).alias("row"), "a", "b", F.lit(side).alias("side"))
+        ends = stored(pairs.select(F.explode(F.array(end("a", 0), end("b", 1))).alias("e")).select("e.*"), "ends")
+        found = base.select("row", "text").join(small_side(ends), "row").select("a", "b", "side", "text")
+        if total > distinct:
+            found = found.dropDuplicates(["a", "b", "side"])
+        found = found.repartition("a", "b").sortWithinPartitions("a", "b", "side")
+        return stored(found.mapInArrow(_verify(width, percent), "a long, b long, linked boolean"), "tested")
+
+    def grouped(dealt: DataFrame, *more: str) -> DataFrame:
+        return dealt.select(*GROUP, "row", "part", "n", "at", "block", *more).repartition(*GROUP).sortWithinPartitions(*GROUP)
+
+    def close(dealt: DataFrame) -> DataFrame:
+        """Of entries with size, part, block, x and y: those with a near partner in their group."""
+        out = grouped(dealt, "size").mapInArrow(_close(percent), "key long, x int, y int, row long, part long, n int, at int, block int, size long")
+        return stored(out, "close")
+
+    def meet(near: DataFrame, forest: bool) -> DataFrame:
+        sketches = only(rows.select("row", "sketch"), stored(near.select("row").distinct(), "rows")).dropDuplicates(["row"])
+        with_sketch = near.join(small_side(stored(sketches, "sketches")), "row")
+        return grouped(with_sketch, "sketch").mapInArrow(_meet(percent, forest), "a long, b long").distinct()
+
+    def of(blocks: Column) -> Column:
+        return F.pmod(F.xxhash64("row"), blocks).cast("int")
+
+    def upto(n: Column) -> Column:
+        return F.ceil(n / F.lit(BLOCK)).cast("int")
+
+    alone = entries.withColumn("block", of(upto(F.col("size")))).withColumns({"x": F.col("block"), "y": F.col("block"), "part": F.col("row")})
+    near = close(alone)
+    tested = verified(stored(meet(near, True), "pairs"))
     links = tested.where("linked").select("a", "b")
-    placed = open_lists(entries)
-    x, y = placed.alias("x"), placed.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part")) & near(F.col("x.n"), F.col("y.n"), F.col("x.at"), F.col("y.at")))
-    met = met.select(F.greatest("x.row", "y.row").alias("a"), F.least("x.row", "y.row").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    more = verified(stored(met, "open-pairs")).where("linked").select("a", "b")
-    groups = components(links.union(more))
-    named = heads.join(groups, F.col("head") == F.col("id"), "left").select("n", "h1", "h2", "least", F.coalesce("component", "head").alias("part"))
+    groups = components(links)
+    entries = near.where(F.col("size") <= BLOCK).select(*entries.columns).unionByName(entries.where(F.col("size") > BLOCK))
+    placed = entries.join(small_side(groups), F.col("row") == F.col("id"), "left").withColumn("part", F.coalesce("component", "row"))
+    sizes = placed.groupBy("key", "part").agg(F.count("*").alias("own")).groupBy("key").agg(F.max(F.struct("own", "part")).alias("most"), F.count("*").alias("parts"), F.sum("own").alias("all"))
+    split = stored(sizes.where("parts > 1").select("key", F.col("most.part").alias("major"), upto(F.col("all") - F.col("most.own")).alias("few"), upto(F.col("most.own")).alias("many")), "split")
+    placed = placed.join(small_side(split), "key").withColumn("block", F.when(F.col("part") == F.col("major"), F.col("few") + of(F.col("many"))).otherwise(of(F.col("few"))))
+    others = F.sequence(F.lit(0), F.when(F.col("part") == F.col("major"), F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)
+    dealt = placed.withColumn("other", F.explode(others)).withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
+    more = verified(stored(meet(close(dealt), False).join(small_side(tested.select("a", "b")), ["a", "b"], "left_anti"), "more-pairs"))
+    groups = components(links.union(more.where("linked").select("a", "b")))
+    named = heads.join(small_side(groups), F.col("head") == F.col("id"), "left").select("n", "h1", "h2", "least", F.coalesce("component", "head").alias("part"))
     least = named.groupBy("part").agg(F.min("least").alias("component_id"))
     named = stored(named.join(least, "part").select("n", "h1", "h2", "component_id", "part"), "named")
     out = rows.join(small_side(named), ["n", "h1", "h2"], "left")
