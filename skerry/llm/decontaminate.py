@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, stored
+from .common import is_small, small_side, stored, unused
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word is a maximal run of other bytes than these (digits, a-z and all beyond ASCII remain).
@@ -45,7 +45,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     listed = stored(windows_of(items, window, item_col, item_text), "items")
     vocabulary = stored(listed.select(F.explode("w").alias("word")).distinct(), "vocabulary")
     spoken = base.select(F.explode(words_of(F.col("text"))).alias("word"))
-    if vocabulary.count() <= BROADCAST_ROWS:
+    if is_small(vocabulary):
         counts = spoken.join(F.broadcast(vocabulary), "word", "left_semi").groupBy("word").count()
     else:
         counts = spoken.groupBy("word").count().join(vocabulary, "word", "left_semi")
@@ -77,7 +77,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     named = spans.select("row", "win").distinct().join(listed.select(F.xxhash64("w").alias("win"), "item"), "win")
     items_of = named.groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
     found = stored(hits.join(items_of, "row", "left"), "hits")
-    found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+    found = small_side(found)
     items_or = F.coalesce("items", F.array().cast("array<string>"))
     return every.join(found, "row", "left").select("id", "row", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items_or).cast("long").alias("n_items"), items_or.alias("items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
@@ -85,6 +85,6 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
 def clean(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs without the rows that hold a window of an item; all columns are kept."""
     bad = stored(contamination(docs, items, window, id_col, text_col, item_col, item_text).where("contaminated").select("row").distinct(), "contaminated")
-    side = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
+    (mark,) = unused(docs.columns, "contaminated")
     key = F.xxhash64(docs[id_col], docs[text_col])
-    return docs.join(side.withColumnRenamed("row", "_contaminated"), key == F.col("_contaminated"), "left_anti")
+    return docs.join(small_side(bad.withColumnRenamed("row", mark)), key == F.col(mark), "left_anti")

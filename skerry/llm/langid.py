@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .chargrams import batches, grams
+from .chargrams import grams
 from .common import stored
 
 #: Orders of the character n-grams and number of hashed features.
@@ -31,17 +32,19 @@ def fit(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str =
     def count(parts):
         sums: dict[str, np.ndarray] = {}
         for part in parts:
-            langs = np.array(part["l"].to_pylist(), object)
-            at = 0
-            for texts in batches(t.as_py() for t in part["t"]):
-                found, _ = grams(texts, ORDERS)
-                names, lang = np.unique(langs[at : at + len(texts)].astype(str), return_inverse=True)
-                at += len(texts)
-                for i, name in enumerate(names.tolist()):
+            langs, first = np.array(part["l"].to_pylist(), object).astype(str), -1
+            for at, size, found, _ in grams((t.as_py() for t in part["t"]), ORDERS):
+                names, lang = np.unique(langs[at : at + size], return_inverse=True)
+                table = np.zeros((len(names), FEATURES), np.int64)
+                for h, number in found:
+                    cell = lang[number] * FEATURES + (h & np.uint64(FEATURES - 1)).astype(np.int64)
+                    table += np.bincount(cell, minlength=table.size).reshape(table.shape)
+                texts = np.bincount(lang) * (at != first)  # a long text comes in several pieces
+                first = at
+                for name, row, n in zip(names.tolist(), table, texts, strict=True):
                     own = sums.setdefault(name, np.zeros(FEATURES + 1, np.int64))
-                    own[-1] += int((lang == i).sum())
-                    for h, number in found:
-                        own[:-1] += np.bincount((h[lang[number] == i] & np.uint64(FEATURES - 1)).astype(np.int64), minlength=FEATURES)
+                    own[:-1] += row
+                    own[-1] += n
         for name, own in sums.items():
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at.astype(np.int32)), pa.array(own[at])], names=["lang", "feature", "n"])
@@ -68,32 +71,25 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", out:
     """
     docs = docs.drop(*out)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [f for f in docs.schema if f.name != "_"]
     column = docs.columns.index(text_col)
 
     def score(parts):
         m = shared.value
         names = np.array([*m.languages, "und"], object)
         for part in parts:
-            best, sure = [], []
-            for texts in batches(t.as_py() for t in part.column(column).cast(pa.string())):
-                found, lettered = grams(texts, ORDERS)
-                total = np.tile(m.prior, (len(texts), 1))
+            total, lettered = np.tile(m.prior, (part.num_rows, 1)), np.zeros(part.num_rows, bool)
+            for first, size, found, some in grams((t.as_py() for t in part.column(column).cast(pa.string())), ORDERS):
+                lettered[first : first + size] |= some
                 for h, number in found:
                     f = (h & np.uint64(FEATURES - 1)).astype(np.int64)
                     for i in range(len(m.languages)):
-                        total[:, i] += np.bincount(number, weights=m.log_prob[i][f], minlength=len(texts))
-                if m.languages:
-                    p = np.exp(total - total.max(1, keepdims=True))
-                    top = p.argmax(1)
-                    best.append(np.where(lettered, top, len(m.languages)))
-                    sure.append(np.where(lettered, 1 / p.sum(1), 0.0))
-                else:
-                    best.append(np.zeros(len(texts), int))
-                    sure.append(np.zeros(len(texts)))
-            cols = [pa.array(names[np.concatenate(best)] if best else [], pa.string()), pa.array(np.concatenate(sure) if sure else [], pa.float64())]
+                        total[first : first + size, i] += np.bincount(number, weights=m.log_prob[i][f], minlength=size)
+            if m.languages and part.num_rows:
+                p = np.exp(total - total.max(1, keepdims=True))
+                best, sure = np.where(lettered, p.argmax(1), len(m.languages)), np.where(lettered, 1 / p.sum(1), 0.0)
+            else:
+                best, sure = np.zeros(part.num_rows, int), np.zeros(part.num_rows)
+            cols = [pa.array(names[best], pa.string()), pa.array(sure, pa.float64())]
             yield pa.RecordBatch.from_arrays([*part.columns, *cols], names=[*part.schema.names, *out])
 
-    from pyspark.sql import types as T
-
-    return docs.mapInArrow(score, T.StructType([*fields, T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())]))
+    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())]))

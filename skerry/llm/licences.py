@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import small_side, stored
 
-#: Names and notice texts of widely used licences.
+#: Names, notice texts and tags of widely used licences; a caller may give a table of others, full texts too.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
@@ -31,6 +31,10 @@ TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    *((name, f"SPDX-License-Identifier: {name}") for name in ("Apache-2.0", "BSD-3-Clause", "CC-BY-4.0", "GPL-3.0", "ISC", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense")),
 ]
 #: Names of licence files.
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice|copyright)(\.[a-z]+)?$"

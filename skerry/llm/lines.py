@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_side, stored
+from .common import small_side, stored, unused
 from .tokens import _INVERSE, CHUNK, mix, pair, prefix_hashes
 
 COARSE, FINE = 2, 16
@@ -172,9 +172,18 @@ def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def without_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with duplicate lines cut out of the text, and the columns n_lines and n_removed (existing ones are replaced)."""
-    found = line_duplicates(docs, id_col, text_col).select(F.col("row").alias("_row"), F.col("n_lines").alias("_n"), F.col("removed").alias("_removed"))
     rows = docs.drop("n_lines", "n_removed")
-    rows = rows.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col))).join(small_side(found), F.col("_key") == F.col("_row"), "left")
-    cut = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("_removed", i)), "\n")
-    text = F.when(F.size("_removed") > 0, cut).otherwise(F.col(text_col))
-    return rows.withColumns({text_col: text, "n_lines": F.coalesce("_n", F.lit(0)), "n_removed": F.greatest(F.size("_removed"), F.lit(0)).cast("long")}).drop("_key", "_row", "_n", "_removed")
+    key, row, n, removed, cut = unused(rows.columns, "key", "row", "n", "removed", "cut")
+    found = line_duplicates(docs, id_col, text_col).select(F.col("row").alias(row), F.col("n_lines").alias(n), F.col("removed").alias(removed))
+    rows = rows.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col))).join(small_side(found), F.col(key) == F.col(row), "left")
+
+    def kept(x):
+        """What stands between removed lines; x.l and x.r are looked up, not made again, for each piece."""
+        start = lambda i: F.coalesce(F.get(x["r"], i - 1) + 1, F.lit(0))
+        end = lambda i: F.coalesce(F.get(x["r"], i), F.size(x["l"]))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(x["r"])), lambda i: F.slice(x["l"], start(i) + 1, end(i) - start(i))))
+
+    pieces = F.transform(F.array(F.struct(F.split(F.col(text_col), "\n").alias("l"), F.col(removed).alias("r"))), kept)
+    rows = rows.withColumn(cut, F.when(F.size(removed) > 0, F.array_join(F.get(pieces, F.lit(0)), "\n")).otherwise(F.col(text_col)))
+    rows = rows.withColumns({text_col: F.col(cut), "n_lines": F.coalesce(n, F.lit(0)), "n_removed": F.greatest(F.size(removed), F.lit(0)).cast("long")})
+    return rows.drop(key, row, n, removed, cut)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, stored
+from .common import is_small, stored, unused
 
 TREE = ("domain", "lang", "source")
 #: The order key has 45 bits; sums are kept for 2**12 ranges, then 2**12 ranges of the one with the cut, then rows.
@@ -50,9 +50,15 @@ def fill(nodes: DataFrame, parent: list[str]) -> DataFrame:
 def leaf_budgets(leaves: DataFrame, weights: dict[str, DataFrame], budget: float, max_epochs: int) -> DataFrame:
     """leaves: the tree columns and tokens. weights: for each level, its path columns and weight (absent: 0).
 
-    Returns the leaves with budget, a whole number of tokens of at most tokens * max_epochs.
+    Returns the leaves with budget, a whole number of tokens of at most tokens * max_epochs. A leaf of which any node on the path
+    has no weight over 0 gives nothing and counts in no node's capacity, so that its share goes to others.
     """
-    leaves = leaves.withColumn("capacity", (F.col("tokens") * F.lit(max_epochs)).cast("double"))
+    weighed = leaves.withColumn("_ok", F.lit(True))
+    for depth, level in enumerate(TREE, 1):
+        path = list(TREE[:depth])
+        own = weights[level].where(F.col("weight").cast("double") > 0).select(*path).distinct().withColumn("_has", F.lit(True))
+        weighed = weighed.join(own, path, "left").withColumn("_ok", F.col("_ok") & F.col("_has").isNotNull()).drop("_has")
+    leaves = weighed.withColumn("capacity", F.when(F.col("_ok"), F.col("tokens") * F.lit(max_epochs)).otherwise(0).cast("double")).drop("_ok")
     above = None
     for depth, level in enumerate(TREE, 1):
         path = list(TREE[:depth])
@@ -76,7 +82,8 @@ def mix(docs: DataFrame, tree: dict[str, Column], budget_ratio: float = 1.5, pow
     tree gives a column for domain, lang and source; nulls are the name "null". A document is taken in an epoch if the
     tokens of those before it fall short of what the leaf has left; documents of equal id share a place and are taken
     together, so repeated rows stay together. Documents without tokens are taken whenever their place comes before the
-    cut. A leaf without tokens or without weight gives nothing. An empty table gives an empty result.
+    cut. A leaf without tokens or without weight gives nothing. An empty table gives an empty result. A column `_mix` is
+    replaced; all other columns are kept, whatever their names.
     """
     names = {k: F.coalesce(v.cast("string"), F.lit("null")) for k, v in tree.items()}
     narrow = stored(docs.select(F.col(id_col).alias("_id"), token_count(F.col(text_col)).alias("n"), *[v.alias(k) for k, v in names.items()]), "mix")
@@ -85,7 +92,7 @@ def mix(docs: DataFrame, tree: dict[str, Column], budget_ratio: float = 1.5, pow
     plan = leaf_budgets(leaves, weights or flattened_weights(leaves.where("tokens > 0"), power), budget_ratio * total, max_epochs)
     plan = plan.withColumns({"whole": F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(0), "left": F.when(F.col("tokens") > 0, F.col("budget") % F.col("tokens")).otherwise(0)})
     plan = stored(plan, "plan")
-    few = F.broadcast if plan.count() <= BROADCAST_ROWS else (lambda df: df)
+    few = F.broadcast if is_small(plan) else (lambda df: df)
     last = narrow.join(few(plan.select(*TREE, "whole", "left")), list(TREE)).where("left > 0")
     last = last.select(*TREE, "left", order_key(seed, F.col("whole"), F.col("_id")).alias("key"), "n")
     before = Window.partitionBy(*TREE).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
@@ -100,9 +107,13 @@ def mix(docs: DataFrame, tree: dict[str, Column], budget_ratio: float = 1.5, pow
     keys = keys.withColumn("used", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("used") < F.col("left"))
     ends = keys.groupBy(*TREE).agg(F.max("at").alias("cut"))
     plan = stored(plan.join(ends, list(TREE), "left").select(*[F.col(c).alias(f"_{c}") for c in TREE], "whole", F.coalesce("cut", F.lit(-1)).alias("cut"), "budget"), "plan")
-    here = F.struct(*[names[c].alias(c) for c in TREE], token_count(F.col(text_col)).alias("tokens"), order_key(seed, F.lit(0), F.col(id_col)).alias("order"))
-    rows = docs.withColumn("_mix", here).join(few(plan), [F.col(f"_mix.{c}") == F.col(f"_{c}") for c in TREE])
-    taken = F.filter(F.sequence(F.lit(0), F.col("whole").cast("int")), lambda e: (e < F.col("whole")) | (order_key(seed, e, F.col(id_col)) <= F.col("cut")))
-    rows = rows.withColumn("_epoch", F.explode(taken))
-    made = F.struct("_mix.domain", "_mix.lang", "_mix.source", "_mix.tokens", F.col("_epoch").alias("epoch"), order_key(seed, F.col("_epoch"), F.col(id_col)).alias("order"), F.col("budget").alias("leaf_budget"))
-    return rows.select(*docs.columns, made.alias("_mix"))
+    docs = docs.drop("_mix")
+    h, e, *keys_ = unused(docs.columns, "h", "e", *TREE, "whole", "cut", "budget")
+    plan = plan.toDF(*keys_)
+    domain, lang, source, whole, end, budget = keys_
+    here = F.struct(*[names[c].alias(c) for c in TREE], token_count(F.col(text_col)).alias("tokens"))
+    rows = docs.withColumn(h, here).join(few(plan), [F.col(f"{h}.{c}") == F.col(k) for c, k in zip(TREE, (domain, lang, source), strict=True)])
+    taken = F.filter(F.sequence(F.lit(0), F.col(whole).cast("int")), lambda x: (x < F.col(whole)) | (order_key(seed, x, F.col(id_col)) <= F.col(end)))
+    rows = rows.withColumn(e, F.explode(taken))
+    made = F.struct(*[F.col(f"{h}.{c}").alias(c) for c in (*TREE, "tokens")], F.col(e).alias("epoch"), order_key(seed, F.col(e), F.col(id_col)).alias("order"), F.col(budget).alias("leaf_budget"))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], made.alias("_mix"))

@@ -11,7 +11,7 @@ import numpy as np
 
 #: Bytes that separate words: 0x20 and 0x09-0x0D.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
-#: Bytes of text handled at a time; a longer text is handled alone.
+#: Bytes of text handled at a time; a longer text is handled alone, so many bytes after another.
 CHUNK = 1 << 21
 
 
@@ -60,20 +60,48 @@ def prefix_hashes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, back
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased (A-Z) words of all texts in order, and for each text how many words it has."""
-    if not texts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+def _spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of bytes: where words start and end, and their hashes before the last mixing."""
     low = _LOWER[raw]
     inside = np.zeros(len(low) + 2, np.int8)
     inside[1:-1] = _IN_WORD[low]
     step = np.diff(inside)
     starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
     h, back = prefix_hashes(_VALUE[low])
-    hashes = mix((h[ends] - h[starts]) * back[starts])
+    return starts, ends, (h[ends] - h[starts]) * back[starts]
+
+
+def _long_words(text: bytes) -> np.ndarray:
+    """The words of one long text. A word that goes on in the next piece is summed over both."""
+    out, open_, length = [], 0, 0
+    for at in range(0, len(text), CHUNK):
+        raw = np.frombuffer(text, np.uint8, min(CHUNK, len(text) - at), at)
+        starts, ends, sums = _spans(raw)
+        if length:
+            if len(starts) and starts[0] == 0:
+                sums[0] = (int(sums[0]) * pow(int(_BASE), length, 1 << 64) + open_) % (1 << 64)
+            else:
+                out.append(np.array([open_], np.uint64))
+                length = 0
+        if len(ends) and ends[-1] == len(raw):
+            length = len(raw) - int(starts[-1]) + (length if len(starts) == 1 and starts[0] == 0 else 0)
+            open_, sums = int(sums[-1]), sums[:-1]
+        else:
+            length = 0
+        out.append(sums)
+    return mix(np.concatenate([*out, np.array([open_] * bool(length), np.uint64)]))
+
+
+def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased (A-Z) words of all texts in order, and for each text how many words it has."""
+    if not texts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if len(texts) == 1 and len(texts[0]) > CHUNK:
+        hashes = _long_words(texts[0])
+        return hashes, np.array([len(hashes)])
+    starts, _, sums = _spans(np.frombuffer(b"\n".join(texts) + b"\n", np.uint8))
     bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
-    return hashes, np.diff(np.searchsorted(starts, bounds))
+    return mix(sums), np.diff(np.searchsorted(starts, bounds))
 
 
 def chunks(texts: Iterable[str | None]) -> Iterator[list[bytes]]:

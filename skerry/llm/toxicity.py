@@ -2,7 +2,7 @@
 logistic loss), trained on labelled text.
 
 The classifier is fitted on a bounded sample of the labelled rows: at most `rows_per_class` rows of either label, those
-with the least hashes, and at most `max_bytes` of text. N-grams are counted and the features chosen by many tasks; one
+with the least hashes, none longer than LONGEST characters, and at most `max_bytes` of text. N-grams are counted and the features chosen by many tasks; one
 task then solves the regression on the sample's feature numbers. Scoring covers every whole text.
 """
 
@@ -16,14 +16,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chargrams import batches, grams
+from .chargrams import CHUNK, batches, grams
 from .common import stored
 
 ORDERS = (4, 5, 6)
 #: Bounds of the sample and of the model.
 ROWS_PER_CLASS, MAX_BYTES, MAX_FEATURES = 4000, 32 << 20, 60_000
 #: Tasks that count the sample's n-grams, and n-grams that such a task holds before it sends their counts.
-SAMPLE_PARTS, HELD = 16, 4_000_000
+SAMPLE_PARTS, HELD, LONGEST = 16, 1_000_000, CHUNK
+#: Feature numbers that the regression handles at a time.
+SLAB = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -33,15 +35,16 @@ class ToxicityModel:
     bias: float
 
 
-def _distinct(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-grams of each text: hashes and text numbers, by text."""
-    found, _ = grams(texts, ORDERS)
-    h, number = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
-    order = np.lexsort((h, number))
-    h, number = h[order], number[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (number[1:] != number[:-1])
-    return h[new], number[new]
+def _distinct(texts: list[str]):
+    """The distinct n-grams of each text, order by order: hashes and text numbers, by text."""
+    for _, _, found, _ in grams(texts, ORDERS):
+        while found:
+            h, number = found.pop()
+            order = np.lexsort((h, number))
+            h, number = h[order], number[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (number[1:] != number[:-1])
+            yield h[new], number[new]
 
 
 def _count(parts):
@@ -49,21 +52,25 @@ def _count(parts):
     names, ones, size = [], [], 0
 
     def counted():
-        flat, index = np.unique(np.concatenate(names), return_inverse=True)
-        n, pos = np.bincount(index), np.bincount(index, weights=np.concatenate(ones))
-        return pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(pos.astype(np.int64))], names=["feature", "n", "pos"])
+        flat, one = np.concatenate(names), np.concatenate(ones)
+        order = np.argsort(flat)
+        flat, one = flat[order], one[order]
+        first = np.flatnonzero(np.diff(flat, prepend=~flat[:1]))
+        n, pos = np.diff(first, append=len(flat)), np.add.reduceat(one, first, dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(flat[first].view(np.int64)), pa.array(n.astype(np.int64)), pa.array(pos)], names=["feature", "n", "pos"])
 
     for part in parts:
         y, at = part["_y"].to_numpy(), 0
-        for some in batches(part["_text"].to_pylist()):
-            h, number = _distinct(some)
-            names.append(h)
-            ones.append(y[at + number].astype(np.int8))
-            at, size = at + len(some), size + len(h)
-            if size > HELD:
-                yield counted()
-                names, ones, size = [], [], 0
-    if names:
+        for some in batches(t.as_py() for t in part["_text"]):
+            for h, number in _distinct(some):
+                names.append(h)
+                ones.append(y[at + number].astype(np.int8))
+                size += len(h)
+                if size > HELD:
+                    yield counted()
+                    names, ones, size = [], [], 0
+            at += len(some)
+    if size:
         yield counted()
 
 
@@ -72,26 +79,51 @@ def _index(features: np.ndarray):
 
     def run(parts):
         for part in parts:
-            places = []
-            for some in batches(part["_text"].to_pylist()):
-                h, number = _distinct(some)
-                at = np.minimum(np.searchsorted(features, h), len(features) - 1)
-                hit = features[at] == h
-                places += np.split(at[hit].astype(np.int32), np.searchsorted(number[hit], np.arange(1, len(some))))
-            yield pa.RecordBatch.from_arrays([part["_h"], part["_y"], pa.array(places, pa.list_(pa.int32()))], names=["_h", "_y", "at"])
+            first = 0
+            for some in batches(t.as_py() for t in part["_text"]):
+                at, number = [], []
+                for h, of in _distinct(some):
+                    place = np.minimum(np.searchsorted(features, h), len(features) - 1)
+                    hit = features[place] == h
+                    at.append(place[hit].astype(np.int32))
+                    number.append(of[hit])
+                at, number = np.concatenate(at), np.concatenate(number)
+                order = np.argsort(number, kind="stable")
+                places = np.split(at[order], np.searchsorted(number[order], np.arange(1, len(some))))
+                own = part.slice(first, len(some))
+                yield pa.RecordBatch.from_arrays([own["_h"], own["_y"], pa.array(places, pa.list_(pa.int32()))], names=["_h", "_y", "at"])
+                first += len(some)
 
     return run
 
 
-def _regression(owner: np.ndarray, at: np.ndarray, y: np.ndarray, r: np.ndarray, penalty: float) -> tuple[np.ndarray, float]:
-    """Logistic regression by Newton steps with conjugate gradients. Text owner[i] has feature at[i]; r: the ratios."""
-    times = lambda w: np.bincount(owner, weights=(r * w[:-1])[at], minlength=len(y)) + w[-1]
-    back = lambda u: np.append(np.bincount(at, weights=u[owner], minlength=len(r)) * r, u.sum())
-    w, hold = np.zeros(len(r) + 1), np.append(np.full(len(r), penalty), 1e-6)
+def _regression(sizes: np.ndarray, at: np.ndarray, y: np.ndarray, r: np.ndarray, penalty: float) -> tuple[np.ndarray, float]:
+    """Logistic regression by Newton steps with conjugate gradients. sizes[i] of the feature numbers `at`, one after
+    another, are text i's; r: the ratios. Feature numbers are handled in slabs, so memory is little more than theirs."""
+    ends = np.cumsum(sizes)
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(SLAB, int(ends[-1]) if len(ends) else 0, SLAB)), [len(sizes)]]))
+    slabs = [(a, b, at[ends[a] - sizes[a] : ends[b - 1]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def times(w):
+        by, out = r * w[:-1], np.full(len(y), w[-1])
+        for a, b, own in slabs:
+            some = np.flatnonzero(sizes[a:b])
+            if len(some):
+                out[a + some] += np.add.reduceat(by[own], (ends[a:b] - sizes[a:b] - (ends[a] - sizes[a]))[some])
+        return out
+
+    def back(u):
+        out = np.zeros(len(r))
+        for a, b, own in slabs:
+            out += np.bincount(own, weights=np.repeat(u[a:b], sizes[a:b]), minlength=len(r))
+        return np.append(out * r, u.sum())
+
+    w, hold, goal = np.zeros(len(r) + 1), np.append(np.full(len(r), penalty), 1e-6), None
     for _ in range(12):
         p = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
         gradient = back(p - y) + hold * w
-        if np.abs(gradient).max(initial=0) < 1e-3:
+        goal = max(1e-3, 1e-4 * np.abs(gradient).max(initial=0)) if goal is None else goal
+        if np.abs(gradient).max(initial=0) < goal:
             break
         curve = p * (1 - p) + 1e-9
         step, res = np.zeros_like(w), -gradient
@@ -122,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     picked = labels.where("_y = 1").orderBy(by, "_id").limit(rows_per_class).union(labels.where("_y = 0").orderBy(by, "_id").limit(rows_per_class))
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).join(F.broadcast(picked), "_id")
     rows = stored(rows.withColumn("_h", F.xxhash64("_id", "_text")), "labelled")
-    sizes = rows.select("_id", "_h", F.octet_length("_text").alias("_n")).where(F.col("_n") <= max_bytes).distinct().orderBy("_h").limit(2 * rows_per_class)
+    sizes = rows.select("_id", "_h", F.octet_length("_text").alias("_n")).where((F.col("_n") <= max_bytes) & (F.char_length("_text") <= LONGEST)).distinct().orderBy("_h").limit(2 * rows_per_class)
     within = sizes.withColumn("_sum", F.sum("_n").over(Window.orderBy("_h", "_id").rowsBetween(Window.unboundedPreceding, 0))).where(F.col("_sum") <= max_bytes).select("_h")
     sample = stored(rows.join(F.broadcast(within), "_h").dropDuplicates(["_h"]).repartition(SAMPLE_PARTS, "_h").select("_h", "_text", "_y"), "sample")
     total, ones = (int(x or 0) for x in sample.agg(F.count("*"), F.sum("_y")).first())
@@ -139,17 +171,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return ToxicityModel(names, ratios, float(np.log(ones / (total - ones))))
 
     def train(parts):
-        keys, y, sizes, places = ([np.zeros(0, t)] for t in (np.int64, np.int32, np.int64, np.int32))
+        held: list[tuple[int, int, np.ndarray]] = []
         for part in parts:
-            keys.append(part["_h"].to_numpy())
-            y.append(part["_y"].to_numpy())
-            sizes.append(np.diff(part["at"].offsets.to_numpy()))
-            places.append(part["at"].flatten().to_numpy())
-        keys, y, sizes, places = (np.concatenate(x) for x in (keys, y, sizes, places))
-        number = np.argsort(np.argsort(keys))  # texts in one order, however tasks end
-        owner = np.repeat(number, sizes)
-        order = np.argsort(owner, kind="stable")
-        weights, bias = _regression(owner[order], places[order].astype(np.int64), y[np.argsort(keys)].astype(float), ratios, penalty)
+            flat, ends = part["at"].flatten().to_numpy(), part["at"].offsets.to_numpy()
+            ends = ends - ends[0]
+            held += [(k, y, flat[a:b].copy()) for k, y, a, b in zip(part["_h"].to_pylist(), part["_y"].to_pylist(), ends[:-1], ends[1:], strict=True)]
+        held.sort(key=lambda t: t[0])  # texts in one order, however tasks end
+        sizes, y = np.array([len(t[2]) for t in held]), np.array([t[1] for t in held], float)
+        at = np.concatenate([t[2] for t in held])
+        held.clear()
+        weights, bias = _regression(sizes, at, y, ratios, penalty)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(weights)), -1)), pa.array(np.append(weights, bias))], names=["place", "weight"])
 
     found = sample.mapInArrow(_index(names), "_h long, _y int, at array<int>").repartition(1).mapInArrow(train, "place long, weight double").toPandas().sort_values("place")["weight"].to_numpy(float)
@@ -171,22 +202,25 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: tu
         may = np.zeros(bits, bool)
         may[(m.features & np.uint64(bits - 1)).astype(np.int64)] = True
         for part in parts:
-            sums = []
-            for texts in batches(t.as_py() for t in part.column(column).cast(pa.string())):
-                found, _ = grams(texts, ORDERS)
-                own = np.zeros(len(texts))
-                pairs = []
+            sums, open_ = np.full(part.num_rows, m.bias), (0, np.zeros(0, np.int64))
+
+            def close(first, pairs):
+                np.add.at(sums, first + pairs // max(1, len(m.features)), m.weights[pairs % max(1, len(m.features))])  # noqa: B023
+
+            for first, _, found, _ in grams((t.as_py() for t in part.column(column).cast(pa.string())), ORDERS):
+                if first != open_[0]:
+                    close(*open_)
+                    open_ = (first, np.zeros(0, np.int64))
+                pairs = [open_[1]]  # of a long text: also what its pieces so far have
                 for h, number in found:
                     hit = np.flatnonzero(may[(h & np.uint64(bits - 1)).astype(np.int64)])
                     if len(hit) and len(m.features):
                         at = np.minimum(np.searchsorted(m.features, h[hit]), len(m.features) - 1)
                         same = m.features[at] == h[hit]
                         pairs.append(number[hit][same] * len(m.features) + at[same])
-                if pairs:
-                    pairs = np.unique(np.concatenate(pairs))
-                    own += np.bincount(pairs // len(m.features), weights=m.weights[pairs % len(m.features)], minlength=len(texts))
-                sums.append(own + m.bias)
-            p = 1 / (1 + np.exp(-np.clip(np.concatenate(sums) if sums else np.zeros(0), -700, 700)))
+                open_ = (first, np.unique(np.concatenate(pairs)))
+            close(*open_)
+            p = 1 / (1 + np.exp(-np.clip(sums, -700, 700)))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*part.schema.names, *out])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out[0], T.DoubleType()), T.StructField(out[1], T.IntegerType())]))

@@ -19,10 +19,14 @@ from .components import components
 
 #: A pivot for about so many vectors; at most so many pivots, which bounds what is broadcast; rows of a block.
 PER_PIVOT, MAX_PIVOTS, BLOCK = 2000, 20_000, 2048
+#: Cells of a matrix of vectors and pivots at a time.
+CELLS = 1 << 22
 
 
 def _unit(vectors) -> np.ndarray:
+    """Unit vectors; each is first divided by its greatest component, so that no square over- or underflows."""
     x = np.stack(vectors).astype(np.float64) if len(vectors) else np.zeros((0, 1))
+    x = x / np.abs(x).max(axis=1, keepdims=True, initial=0)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -37,17 +41,21 @@ def _assign(pivots: dict[tuple, np.ndarray], radius: float):
                 if at is None:
                     out.append(own.assign(pivot=0, home=True))
                     continue
-                x = _unit(own["embedding"].to_list())
-                d2 = np.maximum(2 - 2 * x @ at.T, 0)
-                near = d2.argmin(1)
-                d, home = np.sqrt(d2), np.sqrt(d2[np.arange(len(x)), near])
-                apart = np.sqrt(np.maximum(2 - 2 * at @ at.T, 1e-18))[near]
-                # beyond the triangle inequality: the distance to the plane halfway between the two pivots
-                plane = (d2 - (home**2)[:, None]) / (2 * apart)
-                inside = (d - home[:, None] <= 2 * radius + 1e-9) & (plane <= radius + 1e-9)
-                inside[np.arange(len(x)), near] = True
-                rows, cells = np.nonzero(inside)
-                out.append(own.iloc[rows].assign(pivot=cells, home=cells == near[rows]))
+                between = np.sqrt(np.maximum(2 - 2 * at @ at.T, 1e-18)) if len(at) <= BLOCK else None
+                step = max(1, CELLS // len(at))
+                for first in range(0, len(own), step):
+                    some = own.iloc[first : first + step]
+                    x = _unit(some["embedding"].to_list())
+                    d2 = np.maximum(2 - 2 * x @ at.T, 0)
+                    near = d2.argmin(1)
+                    d, home = np.sqrt(d2), np.sqrt(d2[np.arange(len(x)), near])
+                    apart = between[near] if between is not None else np.sqrt(np.maximum(2 - 2 * at[near] @ at.T, 1e-18))
+                    # beyond the triangle inequality: the distance to the plane halfway between the two pivots
+                    plane = (d2 - (home**2)[:, None]) / (2 * apart)
+                    inside = (d - home[:, None] <= 2 * radius + 1e-9) & (plane <= radius + 1e-9)
+                    inside[np.arange(len(x)), near] = True
+                    rows, cells = np.nonzero(inside)
+                    out.append(some.iloc[rows].assign(pivot=cells, home=cells == near[rows]))
             if out:
                 yield pd.concat(out)[["label", "dim", "pivot", "home", "rep", "n", "embedding"]]
 
@@ -122,7 +130,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98, id_col: str = "vec_id
     cells = heads.select("label", "dim", "rep", "n", "embedding").mapInPandas(_assign(pivots, radius), "label string, dim int, pivot int, home boolean, rep long, n long, embedding array<double>")
     cells = stored(cells, "cells")
     blocks = cells.groupBy("label", "dim", "pivot").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    cells = cells.join(F.broadcast(blocks) if len(pivots) else blocks, ["label", "dim", "pivot"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    cells = cells.join(small_side(stored(blocks, "blocks")), ["label", "dim", "pivot"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     sides = cells.where("home").select("label", "dim", "pivot", F.lit(True).alias("role"), F.col("block").alias("x"), every.alias("y"), "rep", "n", "embedding").union(
         cells.select("label", "dim", "pivot", F.lit(False), every, "block", "rep", "n", "embedding")
