@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,20 +22,42 @@ def needs_reindex(files: DataFrame, state: DataFrame, key: str = "path") -> Data
     return files.join(state.select(key, F.col("hash").alias("_o")), key, "left").withColumn("needs_reindex", ~F.col("hash").eqNullSafe(F.col("_o"))).drop("_o")
 
 
+def snapshot(files: DataFrame) -> DataFrame:
+    """files (path, content, mtime, size): (path, hash, mtime, size); mtime in seconds since 1970."""
+    return with_hash(files).select("path", "hash", F.unix_timestamp("mtime").alias("mtime"), "size")
+
+
+def incremental_scan(files: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The changes since the state (all added without one), and the new state."""
+    new = snapshot(files)
+    old = new.limit(0) if state is None else state
+    return detect_changes(old, new), new
+
+
 def add_rows(table: DataFrame, new: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """The table with the new rows of unknown ids, and the rejected rows."""
-    known = table.select(key)
-    return table.unionByName(new.where(F.col(key).isNotNull()).join(known, key, "left_anti"), allowMissingColumns=True), new.join(known, key, "left_semi")
+    """The table with the new rows of unknown ids, and the rejected rows: those without an id, of a known id, and repeats of a
+    new one (of equal ids the least row by its fields as JSON stays)."""
+    known = table.select(key).distinct()
+    fresh = new.where(F.col(key).isNotNull()).join(known, key, "left_anti")
+    order = Window.partitionBy(key).orderBy(F.to_json(F.struct(*new.columns)))
+    ranked = fresh.withColumn("_n", F.row_number().over(order))
+    rejected = new.where(F.col(key).isNull()).unionByName(new.join(known, key, "left_semi")).unionByName(ranked.where("_n > 1").drop("_n").select(*new.columns))
+    return table.unionByName(ranked.where("_n = 1").drop("_n").select(*new.columns), allowMissingColumns=True), rejected
 
 
 def update_rows(table: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    """Non-null fields of the updates win."""
+    """Non-null fields of the updates win; of several updates of one id the greatest values. Unknown ids: see unknown_updates."""
     fields = [c for c in updates.columns if c != key]
-    renamed = updates.select(key, *[F.col(c).alias(f"_u_{c}") for c in fields])
+    renamed = updates.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.max(c).alias(f"_u_{c}") for c in fields])
     joined = table.join(renamed, key, "left")
     return joined.select(*[F.coalesce(f"_u_{c}", c).alias(c) if c in fields else F.col(c) for c in table.columns])
 
 
+def unknown_updates(table: DataFrame, updates: DataFrame, key: str) -> DataFrame:
+    """The updates that no row of the table takes: of unknown ids, or of none."""
+    return updates.join(table.select(key).distinct(), key, "left_anti")
+
+
 def remove_rows(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return table.join(ids.select(key), key, "left_anti")
 

@@ -40,8 +40,8 @@ def _jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
-def triad(cases: DataFrame) -> DataFrame:
-    """cases (question, context, answer): context_relevance, groundedness, answer_relevance, overall and passed (>= 0.5)."""
+def triad(cases: DataFrame, weights: tuple[float, float, float] = (1 / 3, 1 / 3, 1 / 3)) -> DataFrame:
+    """cases (question, context, answer): context_relevance, groundedness, answer_relevance, overall (weighed sum) and passed (>= 0.5)."""
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     rows = cases.withColumns({"_q": content_tokens(blank("question")), "_c": content_tokens(blank("context")), "_a": content_tokens(blank("answer"))})
     keys = F.slice(F.filter(F.split(F.lower(blank("question")), r"\s+"), lambda w: F.length(w) > 3), 1, 5)
@@ -58,7 +58,10 @@ def triad(cases: DataFrame) -> DataFrame:
     )
     answer = F.when(blank("answer") == "", 0.0).otherwise(0.6 * _jaccard(F.col("_q"), F.col("_a")) + 0.4 * kind)
     rows = rows.withColumns({"context_relevance": context, "groundedness": grounded, "answer_relevance": answer})
-    rows = rows.withColumn("overall", (F.col("context_relevance") + F.col("groundedness") + F.col("answer_relevance")) / 3)
+    parts = ("context_relevance", "groundedness", "answer_relevance")
+    equal = len(set(weights)) == 1 and abs(sum(weights) - 1) < 1e-12
+    overall = sum((F.col(p) for p in parts[1:]), F.col(parts[0])) / 3 if equal else sum((F.col(p) * w for p, w in zip(parts[1:], weights[1:], strict=True)), F.col(parts[0]) * weights[0])
+    rows = rows.withColumn("overall", overall)
     return rows.withColumn("passed", F.col("overall") >= 0.5).drop("_q", "_c", "_a")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import iterate
+from .common import small_side
 
 IMPORTS = ("imports", "uses", "alias")
 
@@ -19,6 +20,65 @@ def upsert_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
     return nodes.join(new.select("id"), "id", "left_anti").unionByName(new)
 
 
+def append_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
+    """Edges are appended; repeats are kept."""
+    return edges.unionByName(new)
+
+
+def of_ids(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """The nodes of the given ids."""
+    return nodes.join(ids.select("id").distinct(), "id", "left_semi")
+
+
+def nodes_of_type(nodes: DataFrame, type_: str) -> DataFrame:
+    return nodes.where(F.col("type") == type_)
+
+
+def outgoing(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """The edges from the given ids, repeats kept."""
+    return edges.join(ids.select(F.col("id").alias("source")).distinct(), "source", "left_semi").select(*edges.columns)
+
+
+def incoming(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """The edges to the given ids, repeats kept."""
+    return edges.join(ids.select(F.col("id").alias("target")).distinct(), "target", "left_semi").select(*edges.columns)
+
+
+def neighbourhood(edges: DataFrame, starts: DataFrame, depth: int = 1, incoming: bool = False) -> DataFrame:
+    """(start, node, distance): dependencies, or dependents, of any edge type within so many edges."""
+    return iterate.reach(edges.select(F.col("target").alias("source"), F.col("source").alias("target")) if incoming else edges, starts, depth)
+
+
+def function_cycles(edges: DataFrame, limit: int | None = 100) -> DataFrame:
+    """(first, length, path): cycles of calls, shortest first; the limit is the report's length (None: all)."""
+    found = iterate.cycles(of_type(edges, "calls"))
+    return found if limit is None else found.orderBy("length", "path").limit(limit)
+
+
+def top_importers(nodes: DataFrame, edges: DataFrame, limit: int = 10) -> DataFrame:
+    """(id, imports): the modules with most imports."""
+    counts = of_type(edges, *IMPORTS).groupBy(F.col("source").alias("id")).agg(F.count("*").alias("imports"))
+    return counts.join(nodes.where("type = 'module'").select("id"), "id", "left_semi").orderBy(F.desc("imports"), "id").limit(limit)
+
+
+def internal_dependencies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(module, dependencies, n): the modules that each module imports."""
+    modules = nodes.where("type = 'module'").select("id")
+    inner = of_type(edges, *IMPORTS).join(modules.withColumnRenamed("id", "source"), "source", "left_semi").join(modules.withColumnRenamed("id", "target"), "target", "left_semi")
+    g = inner.select("source", "target").distinct().groupBy(F.col("source").alias("module"))
+    return g.agg(F.array_sort(F.collect_list("target")).alias("dependencies"), F.count("*").cast("int").alias("n"))
+
+
+def external_usage(nodes: DataFrame, edges: DataFrame, rules: DataFrame, limit: int | None = 10) -> DataFrame:
+    """(id, importers, category): external nodes by how many import them; rules (prefix, category, rank): the first rule whose
+    prefix starts the id, else `other`. Rules are a short list and size-checked."""
+    outside = nodes.where("type = 'external'").select("id")
+    used = of_type(edges, *IMPORTS).groupBy(F.col("target").alias("id")).agg(F.countDistinct("source").alias("importers")).join(outside, "id", "left_semi")
+    met = used.join(small_side(rules), F.col("id").startswith(F.col("prefix")), "left").groupBy("id", "importers").agg(F.min_by("category", "rank").alias("category"))
+    out = met.withColumn("category", F.coalesce("category", F.lit("other")))
+    return out if limit is None else out.orderBy(F.desc("importers"), "id").limit(limit)
+
+
 def neighbours(edges: DataFrame, ids: DataFrame, types: tuple[str, ...] = ("calls",), incoming: bool = False) -> DataFrame:
     """(id, neighbour): callees, or callers if incoming; repeats kept. With IMPORTS: imports_of and imported_by."""
     a, b = ("target", "source") if incoming else ("source", "target")
@@ -80,6 +140,29 @@ def coupling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return d.withColumn("instability", F.when(total > 0, F.col("efferent") / total).otherwise(0.5))
 
 
+def coupling_summary(coupled: DataFrame) -> DataFrame:
+    """One row: modules, afferent and efferent sums, mean instability."""
+    return coupled.agg(F.count("*").alias("modules"), F.sum("afferent").alias("afferent"), F.sum("efferent").alias("efferent"), F.avg("instability").alias("mean_instability"))
+
+
+def coupling_report(coupled: DataFrame, few: int = 5, many: int = 10) -> DataFrame:
+    """(kind, rank, id): the most stable (with importers) and unstable (with imports) modules, and those with most coupling."""
+
+    def ranked(rows: DataFrame, kind: str, n: int, by: Column) -> DataFrame:
+        best = rows.select("id", by.alias("_by")).orderBy("_by", "id").limit(n)
+        return best.select(F.lit(kind).alias("kind"), F.row_number().over(Window.orderBy("_by", "id")).alias("rank"), "id")
+
+    stable = ranked(coupled.where("afferent > 0"), "stable", few, F.col("instability"))
+    loose = ranked(coupled.where("efferent > 0"), "unstable", few, -F.col("instability"))
+    return stable.unionByName(loose).unionByName(ranked(coupled, "coupled", many, -(F.col("afferent") + F.col("efferent"))))
+
+
+def dependency_issues(coupled: DataFrame, most: int = 10) -> DataFrame:
+    """(id, issue): many_imports (more than so many) and isolated (no imports and no importers)."""
+    issue = F.when(F.col("efferent") > most, "many_imports").when((F.col("efferent") == 0) & (F.col("afferent") == 0), "isolated")
+    return coupled.select("id", issue.alias("issue")).where("issue is not null")
+
+
 def transitive_callees(edges: DataFrame, starts: DataFrame, max_depth: int = 50) -> DataFrame:
     """Nodes within max_depth + 1 calls of each start."""
     return iterate.reach(of_type(edges, "calls"), starts, max_depth + 1)

@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write to the folder that executors share (spark.checkpoint.dir) and read back."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", "")
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/level-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from .common import stored
 
 
 def reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
@@ -70,9 +57,34 @@ def depths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         level += 1
 
 
+def cycles(edges: DataFrame, closed: bool = False, loops: bool = False) -> DataFrame:
+    """(first, length, path): for each node on a cycle its shortest one (ties by node names), each set of nodes once, from its least
+    node on; closed: the first node is repeated at the end; loops: edges from a node to itself count too."""
+    edges = stored(edges.select("source", "target").distinct())
+    part = strong_components(edges)
+    inner = edges.join(part.withColumnRenamed("id", "source").withColumnRenamed("component", "_a"), "source").join(part.withColumnRenamed("id", "target").withColumnRenamed("component", "_b"), "target")
+    inner = stored(inner.where("_a = _b and source <> target").select("source", "target"))
+    front = stored(inner.select(F.col("source").alias("start"), F.col("target").alias("node"), F.array("source", "target").alias("path")))
+    seen, done = front.select("start", "node"), None
+    while not front.isEmpty():
+        step = front.join(inner, F.col("node") == F.col("source")).select("start", F.col("target").alias("node"), "path")
+        back = stored(step.where("node = start").groupBy("start").agg(F.min("path").alias("path")))
+        done = back if done is None else done.union(back)
+        more = step.join(done.select("start"), "start", "left_anti").join(seen, ["start", "node"], "left_anti")
+        front = stored(more.groupBy("start", "node").agg(F.min(F.concat("path", F.array("node"))).alias("path")))
+        seen = seen.union(front.select("start", "node"))
+    found = edges.where("source = target" if loops else "false").select(F.col("source").alias("start"), F.array("source").alias("path"))
+    found = found if done is None else found.unionByName(done.select("start", "path"))
+    at = F.array_position("path", F.array_min("path")).cast("int")
+    turned = found.select(F.concat(F.slice("path", at, F.size("path")), F.slice("path", F.lit(1), at - 1)).alias("path"))
+    once = turned.groupBy(F.array_sort("path").alias("_k")).agg(F.min("path").alias("path"))
+    return once.select(F.get("path", F.lit(0)).alias("first"), F.size("path").alias("length"), (F.concat("path", F.slice("path", 1, 1)) if closed else F.col("path")).alias("path"))
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
-    """(id, component) of nodes in strongly connected components of two or more: trim, then the least label that
-    reaches each node, kept where the node reaches it too; the rest goes on."""
+    """(id, component) of nodes in strongly connected components of two or more, named by the least node: trim, then the least
+    label that reaches each node, kept where the node reaches it too; the rest goes on. Labels are in random order, so
+    that a chain of components takes few rounds."""
     spark = edges.sparkSession
     left = stored(edges.select("source", "target").where("source <> target").distinct())
     out = spark.createDataFrame([], left.select(F.col("source").alias("id"), F.col("source").alias("component")).schema)
@@ -84,26 +96,32 @@ def strong_components(edges: DataFrame) -> DataFrame:
             left = kept
         if left.isEmpty():
             break
-        color = _spread(left, None)
+        color = _spread(left)
         inner = left.join(color.withColumnRenamed("label", "a"), F.col("source") == F.col("id")).drop("id").join(color.withColumnRenamed("label", "b"), F.col("target") == F.col("id")).where("a = b").select("source", "target", "a")
         inner = stored(inner)
         back = _reaching(inner)
-        out = stored(out.union(back.select("id", F.col("a").alias("component"))))
+        names = back.groupBy("a").agg(F.min("id").alias("component"))
+        out = stored(out.union(back.join(names, "a").select("id", "component")))
         gone = out.select(F.col("id"))
         left = stored(left.join(gone.withColumnRenamed("id", "source"), "source", "left_anti").join(gone.withColumnRenamed("id", "target"), "target", "left_anti").select("source", "target"))
     sizes = out.groupBy("component").count().where("count > 1").select("component")
     return out.join(sizes, "component", "left_semi").select("id", "component")
 
 
-def _spread(edges: DataFrame, _none) -> DataFrame:
+def _spread(edges: DataFrame) -> DataFrame:
     """(id, label): the least node that reaches each node along edges."""
-    label = stored(edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct().withColumn("label", F.col("id")))
+    nodes = edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct()
+    label = stored(nodes.withColumn("label", F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("name"))))
+    mark = None
     while True:
-        come = edges.join(label, F.col("source") == F.col("id")).select(F.col("target").alias("id"), "label")
-        new = stored(label.union(come).groupBy("id").agg(F.min("label").alias("label")))
-        if new.join(label, ["id", "label"], "left_anti").isEmpty():
-            return new
-        label = new
+        for _ in range(3):  # steps in one stored table
+            come = edges.join(label, F.col("source") == F.col("id")).select(F.col("target").alias("id"), "label")
+            label = label.union(come).groupBy("id").agg(F.min("label").alias("label"))
+        label = stored(label)
+        now = label.agg(F.bit_xor(F.xxhash64("id", "label"))).first()[0]
+        if now == mark:
+            return label.select("id", F.col("label.name").alias("label"))
+        mark = now
 
 
 def _reaching(inner: DataFrame) -> DataFrame:

@@ -19,8 +19,17 @@ def repo_graph(repos: DataFrame, deps: DataFrame) -> tuple[DataFrame, DataFrame]
 
 def shared_dependencies(deps: DataFrame) -> DataFrame:
     """(dep, used_by, n): runtime dependencies that are listed at least twice."""
-    g = deps.where("scope = 'runtime'").groupBy("dep").agg(F.count("*").alias("_l"), F.array_sort(F.collect_set("repo")).alias("used_by"))
-    return g.where("_l >= 2").select("dep", "used_by", F.size("used_by").alias("n"))
+    runtime = deps.where("scope = 'runtime'")
+    often = runtime.groupBy("dep").agg(F.count("*").alias("_l")).where("_l >= 2").select("dep")
+    g = runtime.join(often, "dep", "left_semi").select("dep", "repo").distinct().groupBy("dep").agg(F.array_sort(F.collect_list("repo")).alias("used_by"))
+    return g.select("dep", "used_by", F.size("used_by").alias("n"))
+
+
+def dependency_users(deps: DataFrame) -> DataFrame:
+    """(dep, repo): the users of dependencies that are listed at least twice, as rows; for dependencies that nearly all repositories use."""
+    runtime = deps.where("scope = 'runtime'")
+    often = runtime.groupBy("dep").agg(F.count("*").alias("_l")).where("_l >= 2").select("dep")
+    return runtime.join(often, "dep", "left_semi").select("dep", "repo").distinct()
 
 
 def dependency_versions(deps: DataFrame) -> DataFrame:
@@ -49,6 +58,25 @@ def impact(nodes: DataFrame, edges: DataFrame, depth: int = 100, include_self: b
     return out.select(F.col("id").alias("repo"), "direct", "transitive", risk.alias("risk"))
 
 
+def all_dependents(edges: DataFrame, repos: DataFrame, depth: int = 100) -> DataFrame:
+    """(repo, dependent, distance): all that depend on each of repos (id) by any number of steps, itself left out."""
+    back = edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
+    return iterate.reach(back, repos, depth).where("start <> node").select(F.col("start").alias("repo"), F.col("node").alias("dependent"), "distance")
+
+
+def repo_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(first, length, path): cycles among repositories, the first one repeated at the end; a repository that depends on itself counts."""
+    repos = nodes.where("type = 'repo'").select("id")
+    inner = edges.join(repos.withColumnRenamed("id", "source"), "source", "left_semi").join(repos.withColumnRenamed("id", "target"), "target", "left_semi")
+    return iterate.cycles(inner, closed=True, loops=True)
+
+
+def related(relations: DataFrame, ids: DataFrame, dependents: bool = False) -> DataFrame:
+    """relations (type, from, to): (id, other) by one step of depends_on, backwards for dependents."""
+    a, b = ("to", "from") if dependents else ("from", "to")
+    return relations.where("type = 'depends_on'").join(ids.select("id").distinct(), F.col(a) == F.col("id")).select("id", F.col(b).alias("other"))
+
+
 def upgrade_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(repo, level): dependencies first; repos on or behind cycles are left out."""
     repos = nodes.where("type = 'repo'").select("id")

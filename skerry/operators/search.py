@@ -1,14 +1,23 @@
-"""Ranked keyword search, vector search and collection routing for many queries at once."""
+"""Ranked keyword search, vector search, routing and contexts for many queries at once.
+
+Queries come in blocks of a bounded size. A block is sent to all tasks; each task scores its documents by a matrix product
+and keeps the best of each query, so only these are shuffled.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skerry.functions.text import terms
 
-#: A side of this many rows or fewer may be broadcast.
-SMALL = 200_000
+from .common import is_small, small_side, stored
+
+#: Queries of a block; bytes of a block's term matches that may be sent to tasks; documents scored at a time.
+QUERY_BLOCK, MATCH_BYTES, DOC_BLOCK = 256, 256 << 20, 256
 
 
 def latest(docs: DataFrame, id_col: str, order_col: str) -> DataFrame:
@@ -39,49 +48,252 @@ def substrings(text: Column, most: Column) -> Column:
     return F.when(n < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n - 1), at))))
 
 
-def search(docs: DataFrame, queries: DataFrame, limit: int = 10, min_score: float = 0.0, where: Column | None = None, filter_first: bool = True, partial: bool = True, id_col: str = "id", text_col: str = "content", query_id: str = "query_id", query_text: str = "query") -> DataFrame:
+def _best(scores: np.ndarray, ids: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and place of the best `limit` columns of each row, ties by id; columns of -inf are none."""
+    if scores.shape[1] > 4 * limit:  # ties with the last of the best stay in
+        least = -np.partition(-scores, limit - 1, axis=1)[:, limit - 1 : limit]
+        rows, cols = np.nonzero((scores >= least) & (scores > -np.inf))
+    else:
+        rows, cols = np.nonzero(scores > -np.inf)
+    order = np.lexsort((ids[cols], -scores[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return rows[place < limit], cols[place < limit]
+
+
+def _scorer(match: dict[str, np.ndarray], queries: pa.Array, has: np.ndarray, limit: int | None, min_score: float, digits: int | None):
+    """match: sorted term hashes, and for each the query terms it meets (start, count; term, idf or nan). has: terms x queries."""
+    n_terms = has.shape[0]
+
+    def run(parts):
+        for part in parts:
+            lists, ids = part["h"], part["id"].to_numpy(zero_copy_only=False)
+            ids = ids.astype(str) if ids.dtype == object else ids
+            kept = []
+            for first in range(0, part.num_rows, DOC_BLOCK):
+                some = lists.slice(first, DOC_BLOCK)
+                sizes = np.diff(some.offsets.to_numpy())
+                doc, h = np.repeat(np.arange(len(sizes)), sizes), some.flatten().to_numpy()
+                at = np.minimum(np.searchsorted(match["hash"], h), max(0, len(match["hash"]) - 1))
+                hit = np.flatnonzero(match["hash"][at] == h) if len(match["hash"]) else np.zeros(0, np.int64)
+                count = match["count"][at[hit]]
+                place = np.repeat(match["start"][at[hit]] - np.cumsum(count) + count, count) + np.arange(count.sum())
+                cell, idf = np.repeat(doc[hit], count) * n_terms + match["term"][place], match["idf"][place]
+                whole = ~np.isnan(idf)
+                weight = np.bincount(cell[~whole], minlength=len(sizes) * n_terms) * 0.1
+                weight[cell[whole]] = (idf / np.repeat(sizes[doc[hit]], count))[whole]
+                scores = (weight.reshape(len(sizes), n_terms) @ has).T
+                scores = np.round(scores, digits) if digits is not None else scores
+                scores[~(scores > min_score)] = -np.inf
+                rows, cols = np.nonzero(scores > -np.inf) if limit is None else _best(scores, ids[first : first + len(sizes)], limit)
+                kept.append((rows, first + cols, scores[rows, cols]))
+            rows, cols, score = (np.concatenate([k[i] for k in kept]) for i in range(3)) if kept else (np.zeros(0, int),) * 2 + (np.zeros(0),)
+            if limit is not None and len(rows):
+                order = np.lexsort((ids[cols], -score, rows))
+                rows, cols, score = rows[order], cols[order], score[order]
+                near = np.arange(len(rows)) - np.searchsorted(rows, rows) < limit
+                rows, cols, score = rows[near], cols[near], score[near]
+            yield pa.RecordBatch.from_arrays([queries.take(pa.array(rows)), part["id"].take(pa.array(cols)), pa.array(score)], names=["query_id", "id", "score"])
+
+    return run
+
+
+def _matches(docs_terms: DataFrame, asked: DataFrame, partial: bool) -> DataFrame:
+    """(term, q, idf): vocabulary terms and the query terms they meet; idf only where they are equal."""
+    total = docs_terms.count()
+    df = stored(docs_terms.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "vocabulary")
+    distinct = stored(asked.select("q").distinct(), "query-terms")
+    idf = F.log(F.lit(float(total)) / F.greatest("df", F.lit(1))) + 1
+    same = df.join(small_side(distinct), F.col("term") == F.col("q")).select("term", "q", idf.alias("idf"))
+    if not partial:
+        return stored(same, "matches")
+    longest = distinct.agg(F.max(F.length("q"))).first()[0] or 0
+    inside = df.select("term", F.explode(substrings(F.col("term"), F.lit(longest))).alias("q")).join(small_side(distinct), "q", "left_semi")
+    around = distinct.select("q", F.explode(substrings(F.col("q"), F.length("q"))).alias("term")).join(df.select("term"), "term", "left_semi")
+    like = inside.select("term", "q").unionByName(around.select("term", "q")).where("term <> q").distinct()
+    return stored(same.unionByName(like.withColumn("idf", F.lit(None).cast("double"))), "matches")
+
+
+def scores(docs: DataFrame, queries: DataFrame, limit: int | None = None, min_score: float = 0.0, where: Column | None = None, partial: bool = True, digits: int | None = None, id_col: str = "id", text_col: str = "content", query_id: str = "query_id", query_text: str = "query") -> DataFrame:
+    """(query_id, id, score) of all documents (for which `where` holds) with a score above min_score; with a limit, at least
+    the best so many of each query. digits: scores are rounded before they are compared."""
+    spark = docs.sparkSession
+    of = terms(F.col(text_col))
+    kept = docs if where is None else docs.where(where)
+    rows = stored(docs.select(of.alias("t")), "terms")
+    asked = stored(queries.select(F.col(query_id).alias("query_id"), F.explode(terms(F.col(query_text))).alias("q")), "asked")
+    match = _matches(rows, asked, partial).withColumn("h", F.xxhash64("term"))
+    hashed = stored(kept.select(F.col(id_col).alias("id"), F.transform(of, lambda t: F.xxhash64(t)).alias("h")), "hashed")
+    n = asked.select("query_id").distinct().count()
+    blocks = max(1, -(-n // QUERY_BLOCK))
+    schema = T.StructType([T.StructField("query_id", asked.schema["query_id"].dataType), T.StructField("id", hashed.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    out = spark.createDataFrame([], schema)
+    for b in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        met = match.join(small_side(own.select("q").distinct()), "q", "left_semi")
+        if 24 * met.count() > MATCH_BYTES:
+            out = out.unionByName(_joined(kept, own, match, min_score, digits, of, id_col))
+            continue
+        pairs, words = own.toArrow(), met.select("h", "q", "idf").toArrow()
+        q_names = pa.compute.unique(pairs["q"].combine_chunks())
+        q_ids = pa.compute.unique(pairs["query_id"].combine_chunks())
+        has = np.zeros((len(q_names), len(q_ids)))
+        has[pa.compute.index_in(pairs["q"], q_names).to_numpy(), pa.compute.index_in(pairs["query_id"], q_ids).to_numpy()] = 1
+        h = words["h"].to_numpy()
+        order = np.argsort(h, kind="stable")
+        names, start, count = np.unique(h[order], return_index=True, return_counts=True)
+        table = {"hash": names, "start": start, "count": count, "term": pa.compute.index_in(words["q"], q_names).to_numpy()[order].astype(np.int64), "idf": words["idf"].to_numpy()[order].astype(float)}
+        out = out.unionByName(hashed.mapInArrow(_scorer(table, q_ids, has, limit, min_score, digits), schema))
+    return out
+
+
+def _joined(docs: DataFrame, asked: DataFrame, match: DataFrame, min_score: float, digits: int | None, of: Column, id_col: str) -> DataFrame:
+    """The same scores by joins only, for queries whose matches are too many to send to tasks."""
+    post = docs.select(F.col(id_col).alias("id"), of.alias("t")).select("id", F.size("t").alias("n"), F.explode("t").alias("term"))
+    per = post.join(match, "term").groupBy("id", "q").agg(F.max(F.col("idf") / F.col("n")).alias("w"), F.count_if(F.col("idf").isNull()).alias("k"))
+    out = per.select("id", "q", F.coalesce("w", F.col("k") * 0.1).alias("w")).join(asked, "q").groupBy("query_id", "id").agg(F.sum("w").alias("score"))
+    out = out.withColumn("score", F.round("score", digits)) if digits is not None else out
+    return out.where(F.col("score") > min_score).select("query_id", "id", "score")
+
+
+def search(docs: DataFrame, queries: DataFrame, limit: int = 10, min_score: float = 0.0, where: Column | None = None, filter_first: bool = True, partial: bool = True, digits: int | None = None, id_col: str = "id", text_col: str = "content", query_id: str = "query_id", query_text: str = "query") -> DataFrame:
     """(query_id, id, score, rank) for all queries.
 
     A query term in the document scores (1 / terms of the document) * (ln(N / df) + 1); one that is not scores 0.1 for
     each document term that holds it or is held by it. Scores above min_score count. Terms are matched within the
-    vocabulary first, by equality of substrings, so only matching postings are joined and nothing is compared in pairs. filter_first=False applies `where` after the limit.
+    vocabulary first, by equality of substrings. filter_first=False applies `where` after the limit.
     """
-    total = docs.agg(F.count("*").alias("total"))
-    post = postings(docs, id_col, text_col)
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(terms(F.col(query_text))).alias("q"))
-    idf = F.log(F.col("total") / F.greatest("df", F.lit(1))) + 1
-    hits = asked.join(df, F.col("q") == F.col("term")).crossJoin(F.broadcast(total)).select("query_id", "q", "term", idf.alias("idf"))
-    exact = post.join(hits, "term").select("query_id", "q", "id", (F.col("idf") / F.col("n_terms")).alias("score"))
-    scored = exact
-    if partial:
-        distinct = asked.select("q").distinct()
-        longest = distinct.agg(F.max(F.length("q")).alias("most"))
-        inside = df.select("term").crossJoin(F.broadcast(longest)).select("term", F.explode(substrings(F.col("term"), F.col("most"))).alias("q")).join(distinct, "q", "left_semi")
-        around = distinct.select("q", F.explode(substrings(F.col("q"), F.length("q"))).alias("term")).join(df.select("term"), "term", "left_semi")
-        like = inside.select("term", "q").unionByName(around.select("term", "q")).where("term <> q").distinct()
-        near = post.join(like, "term").groupBy("id", "q").agg(F.count("*").alias("n"))
-        lone = near.join(post.select("id", F.col("term").alias("q")), ["id", "q"], "left_anti")
-        bonus = lone.join(asked, "q").select("query_id", "q", "id", (F.col("n") * 0.1).alias("score"))
-        scored = exact.unionByName(bonus)
-    out = scored.groupBy("query_id", "id").agg(F.sum("score").alias("score")).where(F.col("score") > min_score)
-    if where is None:
-        return top(out, limit)
-    kept = docs.where(where).select(F.col(id_col).alias("id"))
-    return top(out.join(kept, "id", "left_semi"), limit) if filter_first else top(out, limit).join(kept, "id", "left_semi")
-
-
-def vector_top(rows: DataFrame, queries: DataFrame, limit: int, id_col: str, vector_col: str) -> DataFrame:
-    """(query_id, id, score, rank): the nearest rows by cosine for each query vector; queries are few and broadcast."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda a: F.sqrt(dot(a, a))
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("_q"), norm(F.col(vector_col)).alias("_qn"))
-    d = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("_v"), norm(F.col(vector_col)).alias("_vn"))
-    return top(d.crossJoin(F.broadcast(q)).select("query_id", "id", (dot(F.col("_v"), F.col("_q")) / (F.col("_vn") * F.col("_qn"))).alias("score")), limit)
+    first = where if filter_first else None
+    out = top(scores(docs, queries, limit, min_score, first, partial, digits, id_col, text_col, query_id, query_text), limit)
+    if where is None or filter_first:
+        return out
+    return out.join(docs.where(where).select(F.col(id_col).alias("id")), "id", "left_semi").select("query_id", "id", "score", "rank")
 
 
-def route(queries: DataFrame, collections: DataFrame, limit: int = 3, query_id: str = "query_id", query_text: str = "query") -> DataFrame:
-    """(query_id, id, score, rank): collections by keyword match; patterns, id and name count 1, the description 0.5."""
+def usages(lines: DataFrame, docs: DataFrame, names: DataFrame, limit: int = 10, id_col: str = "id", text_col: str = "content") -> tuple[DataFrame, DataFrame]:
+    """names (symbol): hits of the search for usages of each symbol, and (symbol, id, line) where lines (id, line, text) hold it as a word."""
+    asked = names.select(F.col("symbol").alias("query_id"), F.format_string("usage of %s OR reference to %s OR calls to %s", "symbol", "symbol", "symbol").alias("query"))
+    words = lines.select("id", "line", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\w+)"), 1))).alias("symbol"))
+    return search(docs, asked, limit, id_col=id_col, text_col=text_col), words.join(small_side(names.select("symbol").distinct()), "symbol").select("symbol", "id", "line")
+
+
+def union_of_hits(hits: DataFrame, per_query: int, cap: int) -> DataFrame:
+    """hits (topic, part, id, score, rank) of several sub-queries (part 0, 1, ...) of each topic: the best per_query of each, each
+    id once, where it comes first, and at most cap of a topic: (topic, id, place)."""
+    first = hits.where(F.col("rank") <= per_query).groupBy("topic", "id").agg(F.min(F.struct("part", "rank")).alias("f"))
+    place = F.row_number().over(Window.partitionBy("topic").orderBy("f.part", "f.rank", "id"))
+    return first.withColumn("place", place).where(F.col("place") <= cap).select("topic", "id", "place")
+
+
+#: What stands for a missing context.
+NOTHING = "No relevant code found."
+
+
+def contexts(hits: DataFrame, questions: DataFrame, template: str = "{context}\n\n{question}") -> DataFrame:
+    """hits (query_id, rank, path, start_line, end_line, content), questions (query_id, query): (query_id, context, prompt)."""
+    lines = F.concat(F.lit("L"), F.coalesce("start_line", F.lit(1)).cast("string"), F.coalesce(F.concat(F.lit("-"), F.col("end_line").cast("string")), F.lit("")))
+    block = F.concat(F.lit("File: "), F.coalesce("path", F.lit("unknown")), F.lit(" ("), lines, F.lit(")\n```\n"), F.coalesce("content", F.lit("")), F.lit("\n```\n"))
+    joined = hits.select("query_id", "rank", block.alias("b")).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "b"))).alias("l"))
+    text = joined.select("query_id", F.array_join(F.transform("l", lambda x: x["b"]), "\n").alias("context"))
+    out = questions.select("query_id", "query").join(text, "query_id", "left").withColumn("context", F.coalesce("context", F.lit(NOTHING)))
+    prompt = F.replace(F.replace(F.lit(template), F.lit("{context}"), F.col("context")), F.lit("{question}"), F.coalesce("query", F.lit("")))
+    return out.select("query_id", "context", prompt.alias("prompt"))
+
+
+def sources(hits: DataFrame) -> DataFrame:
+    """(query_id, rank, id, path, start_line, end_line, type, name)."""
+    return hits.select("query_id", "rank", "id", "path", "start_line", "end_line", "type", "name")
+
+
+def previews(hits: DataFrame) -> DataFrame:
+    """hits with path (relative_path if there is one), score to three digits and the first 300 characters; gaps have defaults."""
+    return hits.select(
+        "query_id", "rank", "id", F.coalesce("relative_path", "path", F.lit("")).alias("path"), F.coalesce("language", F.lit("unknown")).alias("language"),
+        F.round(F.coalesce("score", F.lit(0.0)), 3).alias("score"), F.substring(F.coalesce("content", F.lit("")), 1, 300).alias("preview"),
+    )
+
+
+def module_contexts(hits: DataFrame, questions: DataFrame, nodes: DataFrame, edges: DataFrame, most: int = 5) -> DataFrame:
+    """(query_id, module, text): modules that a query's hits (query_id, content) define, or whose last name the question
+    holds as a word or a part of one, with up to `most` imports and functions each, by name."""
+    said = hits.select("query_id", F.explode(F.regexp_extract_all("content", F.lit(r"defmodule\s+([A-Z][\w.]+)"), 1)).alias("module"))
+    short = nodes.where("type = 'module'").select(F.col("id").alias("module"), F.lower(F.element_at(F.split("name", r"\."), -1)).alias("short"))
+    words = questions.select("query_id", F.explode(F.array_distinct(F.split(F.lower("query"), r"\s+"))).alias("w"))
+    parts = words.select("query_id", F.explode(F.array_distinct(F.concat(F.array("w"), substrings(F.col("w"), F.length("w"))))).alias("short"))
+    wanted = said.unionByName(parts.join(short, "short").select("query_id", "module")).distinct()
+
+    def listed(pairs: DataFrame, name: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("module").orderBy("x"))
+        few = pairs.distinct().withColumn("_p", place).where(F.col("_p") <= most)
+        return few.groupBy("module").agg(F.array_join(F.array_sort(F.collect_list("x")), ", ").alias(name))
+
+    imports = listed(edges.where("type in ('imports', 'uses', 'alias')").select(F.col("source").alias("module"), F.col("target").alias("x")), "imports")
+    functions = nodes.where("type = 'function'").select(F.col("id").alias("target"))
+    own = listed(edges.where("type = 'defines'").join(functions, "target", "left_semi").select(F.col("source").alias("module"), F.element_at(F.split("target", "/"), 1).alias("x")), "functions")
+    out = wanted.join(imports, "module", "left").join(own, "module", "left")
+    text = F.concat(F.lit("Module "), F.col("module"), F.lit(":\n  - Imports: "), F.coalesce("imports", F.lit("none")), F.lit("\n  - Functions: "), F.coalesce("functions", F.lit("none")))
+    return out.select("query_id", "module", text.alias("text"))
+
+
+def similar(chunks: DataFrame, limit: int = 10, least: float = 0.5, most: int = 5, id_col: str = "id", text_col: str = "content") -> DataFrame:
+    """(query_id, id, score, rank): for each chunk, of the best `limit` hits of its own text the other chunks over `least`, at most so many."""
+    asked = chunks.select(F.col(id_col).alias("query_id"), F.col(text_col).alias("query"))
+    hits = search(chunks, asked, limit, id_col=id_col, text_col=text_col).where((F.col("query_id") != F.col("id")) & (F.col("score") > least))
+    return top(hits.drop("rank"), most)
+
+
+def investigation(hits: DataFrame, hot: DataFrame, most: int = 5) -> DataFrame:
+    """hits (query_id, id, path, score) with place: first those whose path holds the id of a hot function, then by score."""
+    few = hot.select(F.col("id").cast("string").alias("_h")).agg(F.collect_set("_h").alias("_hot"))  # a ranked list of bounded length
+    rows = hits.crossJoin(F.broadcast(few)).withColumn("hot", F.exists("_hot", lambda h: F.coalesce(F.col("path").contains(h), F.lit(False)))).drop("_hot")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hot"), F.desc("score"), "id"))
+    return rows.withColumn("place", place).where(F.col("place") <= most)
+
+
+def vector_top(rows: DataFrame, queries: DataFrame, limit: int, id_col: str, vector_col: str, digits: int | None = None) -> DataFrame:
+    """(query_id, id, score, rank): the nearest rows by cosine for each query vector. Query vectors are sent to tasks in blocks;
+    a task keeps the best of each query. Rows and queries without a vector, of another length or of zeros give nothing."""
+    spark, block = rows.sparkSession, 4 * QUERY_BLOCK
+    q = stored(queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null"), "query-vectors")
+    d = rows.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null")
+    schema = T.StructType([T.StructField("query_id", q.schema["query_id"].dataType), T.StructField("id", d.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    out, blocks = spark.createDataFrame([], schema), max(1, -(-q.count() // block))
+
+    def unit(lists) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By length: places and unit vectors."""
+        sizes = np.diff(lists.offsets.to_numpy())
+        flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)
+        found = {}
+        for n in np.unique(sizes[sizes > 0]):
+            at = np.flatnonzero(sizes == n)
+            x = flat[(ends[at] - n)[:, None] + np.arange(n)]
+            norm = np.sqrt((x * x).sum(1))
+            fine = norm > 0
+            found[int(n)] = (at[fine], x[fine] / norm[fine, None])
+        return found
+
+    for b in range(blocks):
+        own = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow().combine_chunks()
+        names, asked = own["query_id"].combine_chunks(), unit(own["v"].combine_chunks())
+
+        def run(parts, names=names, asked=asked):
+            for part in parts:
+                ids = part["id"].to_numpy(zero_copy_only=False)
+                ids = ids.astype(str) if ids.dtype == object else ids
+                for n, (at, x) in unit(part["v"]).items():
+                    if n in asked:
+                        s = asked[n][1] @ x.T
+                        rows_, cols = _best(np.round(s, digits) if digits is not None else s, ids[at], limit)
+                        s = np.round(s, digits) if digits is not None else s
+                        yield pa.RecordBatch.from_arrays([names.take(pa.array(asked[n][0][rows_])), part["id"].take(pa.array(at[cols])), pa.array(s[rows_, cols])], names=["query_id", "id", "score"])
+
+        out = out.unionByName(d.mapInArrow(run, schema))
+    return top(out, limit)
+
+
+def route_scores(queries: DataFrame, collections: DataFrame, query_id: str = "query_id", query_text: str = "query") -> DataFrame:
+    """(query_id, id, score): collections by keyword match; patterns, id and name count 1, the description 0.5. Collections are a
+    short list; a longer one is joined without broadcast."""
     words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(F.col(query_text), F.lit(""))), r"[^a-z0-9_\s]", " "), r"\s+"), lambda w: w != "")
     q = queries.select(F.col(query_id).alias("query_id"), words.alias("words"))
     c = collections.select("id", F.concat(F.transform("patterns", lambda p: F.lower(p)), F.array(F.lower("id"), F.lower("name"))).alias("patterns"), F.lower(F.coalesce("description", F.lit(""))).alias("about"))
@@ -89,10 +301,32 @@ def route(queries: DataFrame, collections: DataFrame, limit: int = 3, query_id:
     hit = lambda of: F.size(F.filter("words", lambda w: F.exists(of, lambda p: w.contains(p) | p.contains(w))))
     total = hit("patterns") + hit("about") * 0.5
     score = F.least(F.lit(1.0), total * 2 / F.size("patterns"))
-    return top(q.crossJoin(F.broadcast(c)).select("query_id", "id", score.alias("score")).where("score > 0"), limit)
+    return q.crossJoin(small_side(c)).select("query_id", "id", score.alias("score")).where("score > 0")
+
+
+def route(queries: DataFrame, collections: DataFrame, limit: int = 3, query_id: str = "query_id", query_text: str = "query") -> DataFrame:
+    """(query_id, id, score, rank): the best collections of each query."""
+    return top(route_scores(queries, collections, query_id, query_text), limit)
+
+
+def hybrid(keyword: DataFrame, semantic: DataFrame | None, limit: int = 3) -> DataFrame:
+    """(query_id, id, score, rank): half the keyword score and half the semantic one; without semantic scores the keyword score."""
+    if semantic is None:
+        return top(keyword, limit)
+    both = keyword.join(semantic.select("query_id", "id", F.col("score").alias("_s")), ["query_id", "id"], "full")
+    return top(both.select("query_id", "id", (0.5 * F.coalesce("score", F.lit(0.0)) + 0.5 * F.coalesce("_s", F.lit(0.0))).alias("score")), limit)
 
 
 def completions(results: DataFrame, partial: str, limit: int = 10, text_col: str = "content") -> DataFrame:
     """(word, n): the words of the results that start with the given letters, most frequent first."""
-    words = F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(rf"\b({partial.lower()}\w*)"), 1)).alias("word")
+    start = "".join(c if c.isalnum() else "\\" + c for c in partial.lower())
+    words = F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit((r"\b" if partial[:1].isalnum() else "") + rf"({start}\w*)"), 1)).alias("word")
     return results.select(words).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(limit)
+
+
+def query_completions(docs: DataFrame, partials: DataFrame, hits: int = 50, limit: int = 10, id_col: str = "id", text_col: str = "content") -> DataFrame:
+    """partials (query_id, query): (query_id, word, n, rank): words that start with the query, counted in its best hits only."""
+    found = search(docs, partials, hits, id_col=id_col, text_col=text_col).select("query_id", F.col("id").alias(id_col))
+    words = found.join(docs.select(id_col, F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"(\w+)"), 1)).alias("word")), id_col)
+    begun = words.join(partials.select("query_id", F.lower("query").alias("_q")), "query_id").where(F.col("word").startswith(F.col("_q")))
+    return top(begun.groupBy("query_id", "word").agg(F.count("*").alias("n")).withColumn("score", F.col("n")), limit, id_col="word").select("query_id", "word", "n", "rank")

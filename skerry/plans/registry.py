@@ -2,30 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skerry.functions.text import STOP_WORDS
 from skerry.operators import changes, chunking, classify, evaluate, graph, iterate, metrics, repositories, search
 from skerry.streaming import metrics as stream
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
+from . import code, reports  # noqa: F401
+from .base import ORACLES, QUERIES, query, table  # noqa: F401
 
 # Search
 
@@ -51,8 +36,7 @@ def _asked(spark, d):
 
 def _ranked(spark, d, limit, **more):
     docs = table(spark, d, "documents")
-    out = search.search(docs, _asked(spark, d), limit=1 << 30, id_col="doc_id", text_col="text", **more).withColumn("score", F.round("score", 6)).drop("rank")
-    return search.top(out, limit)
+    return search.search(docs, _asked(spark, d), limit=limit, digits=6, id_col="doc_id", text_col="text", **more)
 
 
 @query(_SEARCH + "SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM sums WHERE score > 0 QUALIFY rank <= 10")
@@ -74,8 +58,7 @@ def index_stats(spark, d):
 SELECT query_id, vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], e), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], e), 6) DESC, vec_id)::INT AS rank FROM embeddings, q QUALIFY rank <= 10""")
 def vector_topk(spark, d):
     rows = table(spark, d, "embeddings")
-    out = search.vector_top(rows, rows.where("vec_id % 50 = 0"), 1 << 30, "vec_id", "embedding").withColumn("score", F.round("score", 6)).drop("rank")
-    return search.top(out, 10)
+    return search.vector_top(rows, rows.where("vec_id % 50 = 0"), 10, "vec_id", "embedding", digits=6)
 
 
 @query("""WITH c AS (SELECT * FROM (VALUES ('common', 'Common words', ['the', 'and', 'of'], 'frequent function words'), ('verbs', 'Verbs', ['ing', 'ed'], 'doing and done'), ('names', 'Names', ['tion', 'ly'], 'nouns')) t(id, name, patterns, about)),
@@ -123,10 +106,12 @@ e AS (SELECT m.*, CASE WHEN relevant > 0 THEN hits / relevant ELSE 0 END AS reca
 SELECT query_id, round(recall, 6) AS recall, round(precision, 6) AS precision, round(CASE WHEN recall + precision > 0 THEN 2 * recall * precision / (recall + precision) ELSE 0 END, 6) AS f1, round(coalesce(1.0 / f, 0), 6) AS mrr, CASE WHEN f IS NULL THEN 0.0 ELSE 1.0 END AS hit_rate, round(CASE WHEN relevant > 0 THEN coalesce(ap, 0) / relevant ELSE 0 END, 6) AS average_precision, round(CASE WHEN idcg > 0 THEN coalesce(dcg, 0) / idcg ELSE 0 END, 6) AS ndcg FROM e""")
 def ir_metrics_judged(spark, d):
     """As ir_metrics, but all scored documents with a label are judged, so relevant ones that the top 10 miss count."""
-    scored = search.search(table(spark, d, "documents"), _asked(spark, d), limit=(1 << 31) - 1, id_col="doc_id", text_col="text").withColumn("score", F.round("score", 6)).drop("rank")
+    docs = table(spark, d, "documents")
     grades = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("grade"))
+    judged = docs.join(grades.select("doc_id", F.lit(True).alias("_judged")), "doc_id", "left")
+    scored = search.scores(judged, _asked(spark, d), where=F.col("_judged"), digits=6, id_col="doc_id", text_col="text")
     qrels = scored.select("query_id", F.col("id").alias("doc_id")).join(grades, "doc_id")
-    out = evaluate.retrieval_metrics(search.top(scored, 10).select("query_id", F.col("id").alias("doc_id"), "rank"), qrels)
+    out = evaluate.retrieval_metrics(_ranked(spark, d, 10).select("query_id", F.col("id").alias("doc_id"), "rank"), qrels)
     return out.select("query_id", *[F.round(c, 6).alias(c) for c in out.columns if c != "query_id"])
 
 
@@ -294,11 +279,10 @@ def remove_rows(spark, d):
 
 @query("WITH t AS (SELECT max(ts)::DATE AS today FROM events) SELECT event_type AS repo, substr(arg_max(sha256(event_id::VARCHAR), (ts, event_id)), 1, 8) AS sha, max(ts) AS ts, count(*) FILTER (WHERE ts >= today - 30) AS commits_30d FROM events, t GROUP BY 1")
 def commit_activity(spark, d):
-    e = table(spark, d, "events").select(F.col("event_type").alias("repo"), "event_id", "ts", F.to_json(F.struct("event_id")).alias("message"))
-    today = e.agg(F.max("ts").cast("date").alias("today"))
-    order = F.struct("ts", "event_id")
-    rows = e.crossJoin(F.broadcast(today)).groupBy("repo").agg(F.max_by(F.substring(F.sha2(F.col("event_id").cast("string"), 256), 1, 8), order).alias("sha"), F.max("ts").alias("ts"), F.count_if(F.col("ts") >= F.date_sub("today", 30)).alias("commits_30d"))
-    return rows
+    e = table(spark, d, "events")
+    today = e.agg(F.max("ts").cast("date")).first()[0]
+    rows = e.select(F.col("event_type").alias("repo"), F.sha2(F.col("event_id").cast("string"), 256).alias("sha"), F.to_json(F.struct("event_id")).alias("message"), "ts")
+    return changes.commit_activity(rows, F.lit(today)).drop("message")
 
 
 # Graphs: part p calls (7 p + 3) mod N (with cycles); in the tree p calls p div 2

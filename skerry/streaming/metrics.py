@@ -1,9 +1,15 @@
-"""Streams of metric samples."""
+"""Streams of metric samples, activity, provider calls and files."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from skerry.operators import changes, chunking, extract, search
 
 
 def windowed(samples: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "1 hour") -> DataFrame:
@@ -18,3 +24,58 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     rows = events.withWatermark("ts", late) if events.isStreaming else events
     out = rows.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"), F.approx_count_distinct("event_type").alias("kinds"))
     return out.select("user_id", F.col("session_window.start").alias("started"), "n", "kinds")
+
+
+def latest_gauges(samples: DataFrame) -> DataFrame:
+    """(name, tag, value, ts): the latest gauge of each name and tag, kept as state and sent when it changes; of equal times the
+    greatest value."""
+
+    def keep(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        best = state.get if state.exists else None
+        for part in parts:
+            part = part.dropna(subset=["ts"])
+            if len(part):
+                last = part.sort_values(["ts", "value"]).iloc[-1]
+                new = (pd.Timestamp(last["ts"]).value // 1000, float(last["value"]))
+                best = new if best is None or new > tuple(best) else best
+        if best is not None and (not state.exists or tuple(state.get) != tuple(best)):
+            state.update(tuple(best))
+            yield pd.DataFrame({"name": [key[0]], "tag": [key[1]], "value": [best[1]], "ts": [pd.Timestamp(best[0] * 1000)]})
+
+    rows = samples.select("name", "tag", "value", "ts")
+    return rows.groupBy("name", "tag").applyInPandasWithState(keep, "name string, tag string, value double, ts timestamp", "ts long, value double", "update", GroupStateTimeout.NoTimeout)
+
+
+def provider_states(calls: DataFrame) -> DataFrame:
+    """calls (provider, ts, ok): (provider, calls, failures, healthy) after each batch, by the rule of metrics.provider_health. Calls
+    of a batch count in order of time, batches in order of arrival."""
+
+    def keep(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, failed, healthy = state.get if state.exists else (0, 0, True)
+        rows = pd.concat(list(parts)).sort_values("ts", kind="stable")
+        for ok in rows["ok"]:
+            n, failed = n + 1, failed + (not ok)
+            healthy = True if ok else False if n >= 3 and failed / n > 0.5 else healthy
+        state.update((n, failed, healthy))
+        yield pd.DataFrame({"provider": [key[0]], "calls": [n], "failures": [failed], "healthy": [healthy]})
+
+    return calls.select("provider", "ts", "ok").groupBy("provider").applyInPandasWithState(keep, "provider string, calls long, failures long, healthy boolean", "n long, failed long, healthy boolean", "update", GroupStateTimeout.NoTimeout)
+
+
+def index_batch(index: str, size: int = 1000, overlap: int = 200) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch of a stream of files (path, language, content): chunks of new and changed files are written to the folder
+    index/batch=n with their terms; a file's chunks of the last batch hold. A batch that comes again overwrites its own folder."""
+
+    def write(files: DataFrame, batch: int) -> None:
+        latest = changes.with_hash(files).dropDuplicates(["path", "hash"])
+        chunks = chunking.as_documents(chunking.hybrid(latest, extract.symbols(latest), size, overlap))
+        rows = chunks.join(latest.select("path", "language", "hash"), "path").withColumn("terms", search.terms(F.col("content")))
+        rows.write.mode("overwrite").parquet(f"{index.rstrip('/')}/batch={batch}")
+
+    return write
+
+
+def indexed(index: DataFrame) -> DataFrame:
+    """The chunks that hold: those of the last batch of each path."""
+    last = index.groupBy("path").agg(F.max("batch").alias("batch"))
+    return index.join(last, ["path", "batch"], "left_semi")
