@@ -35,7 +35,8 @@ def relative_to(path: Column, root: Column) -> Column:
 
 
 def scan(spark: SparkSession, *folders: str, extensions: tuple[str, ...] = tuple(EXTENSIONS), languages: tuple[str, ...] | None = None, exclude: tuple[str, ...] = EXCLUDED) -> DataFrame:
-    """(path, relative_path, language, size, mtime, content) of all source files; folders follow each other, repeats kept."""
+    """(path, relative_path, language, size, mtime, content) of all source files; folders follow each other, repeats kept.
+    Spark itself leaves out paths whose parts start with a dot or an underscore."""
     out = None
     for folder in folders:
         rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
