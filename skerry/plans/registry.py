@@ -465,3 +465,89 @@ def keyword_triage(spark, d):
 @query("WITH r AS (SELECT * FROM (VALUES " + ", ".join("({}, '{}', '{}', '{}')".format(i, k, p.replace("'", "''"), s) for i, (k, p, s) in enumerate(classify.security_rules())) + ") t(rule, kind, p, severity)) SELECT doc_id, rule, kind, severity FROM documents, r WHERE regexp_matches(text, p)")
 def secret_scan(spark, d):
     return classify.rule_hits(table(spark, d, "documents"), "doc_id", "text")
+
+
+# Contexts: hits with their texts, unions of hits, words and modules around them
+
+_TOP = _SEARCH + ", ranked AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sums WHERE score > 0 QUALIFY rank <= {k})"
+_FIRST = "FROM (SELECT item_id, split_part(text, ' ', 1) AS text FROM benchmark))"
+
+
+def _hits(spark, d, limit, asked=None):
+    docs = table(spark, d, "documents")
+    out = search.search(docs, _asked(spark, d) if asked is None else asked, limit=limit, digits=6, id_col="doc_id", text_col="text")
+    rows = docs.select(F.col("doc_id").alias("id"), F.concat_ws("/", "source", "doc_id").alias("path"), F.lit(None).cast("string").alias("relative_path"), F.lit(1).alias("start_line"), F.lit(None).cast("int").alias("end_line"), F.col("text").alias("content"), F.col("lang").alias("language"), F.lit("text").alias("type"), F.col("source").alias("name"))
+    return out.join(rows, "id")
+
+
+def _first_words(spark, d):
+    return _asked(spark, d).withColumn("query", F.split("query", " ")[0])
+
+
+@query(_TOP.format(k=5) + """, b AS (SELECT query_id, string_agg('File: ' || concat_ws('/', source, doc_id) || ' (L1)' || chr(10) || '```' || chr(10) || coalesce(text, '') || chr(10) || '```' || chr(10), chr(10) ORDER BY rank) AS c FROM ranked JOIN documents ON doc_id = id GROUP BY 1)
+SELECT item_id AS query_id, sha256(coalesce(c, 'No relevant code found.')) AS h, sha256(coalesce(c, 'No relevant code found.') || chr(10) || chr(10) || coalesce(text, '')) AS p FROM benchmark LEFT JOIN b ON query_id = item_id""")
+def search_contexts(spark, d):
+    out = search.contexts(_hits(spark, d, 5), _asked(spark, d))
+    return out.select("query_id", F.sha2("context", 256).alias("h"), F.sha2("prompt", 256).alias("p"))
+
+
+@query(_TOP.format(k=5) + " SELECT query_id, rank::INT AS rank, id, concat_ws('/', source, doc_id) AS path, coalesce(lang, 'unknown') AS language, round(score, 3) AS score, sha256(substr(coalesce(text, ''), 1, 300)) AS h FROM ranked JOIN documents ON doc_id = id")
+def search_previews(spark, d):
+    return search.previews(_hits(spark, d, 5)).withColumn("h", F.sha2("preview", 256)).drop("preview")
+
+
+@query(_TOP.format(k=3) + """, asks AS (SELECT item_id AS query_id, length(text) % 5 AS topic, row_number() OVER (PARTITION BY length(text) % 5 ORDER BY item_id) AS part FROM benchmark), f AS (SELECT topic, id, min((part, rank)) AS f FROM ranked JOIN asks USING (query_id) GROUP BY ALL)
+SELECT topic::INT AS topic, id, row_number() OVER (PARTITION BY topic ORDER BY f, id)::INT AS place FROM f QUALIFY place <= 10""")
+def search_unions(spark, d):
+    part = F.row_number().over(Window.partitionBy("topic").orderBy("item_id"))
+    asks = table(spark, d, "benchmark").select("item_id", (F.length("text") % 5).alias("topic")).withColumn("part", part).withColumnRenamed("item_id", "query_id")
+    return search.union_of_hits(_ranked(spark, d, 3).join(asks, "query_id"), 3, 10)
+
+
+@query(_TOP.format(k=10) + """, hot AS (SELECT source FROM documents WHERE source IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, source LIMIT 3), j AS (SELECT query_id, id, score, coalesce(source IN (FROM hot) OR EXISTS (SELECT 1 FROM hot WHERE contains(concat_ws('/', d.source, d.doc_id), hot.source)), false) AS hot FROM ranked JOIN documents d ON doc_id = id)
+SELECT query_id, id, hot, row_number() OVER (PARTITION BY query_id ORDER BY hot DESC, score DESC, id)::INT AS place FROM j QUALIFY place <= 5""")
+def investigation(spark, d):
+    hot = table(spark, d, "documents").where("source is not null").groupBy(F.col("source").alias("id")).count().orderBy(F.desc("count"), "id").limit(3)
+    return search.investigation(_hits(spark, d, 10), hot).select("query_id", "id", "hot", "place")
+
+
+@query(_TOP.format(k=10).replace("FROM benchmark)", _FIRST) + """, w AS (SELECT item_id AS query_id, split_part(text, ' ', 1) AS q FROM benchmark), j AS (SELECT query_id, rank, contains(text, q)::INT AS rel FROM ranked JOIN documents ON doc_id = id JOIN w USING (query_id)),
+m AS (SELECT query_id, coalesce(sum(rel) FILTER (WHERE rank <= 5), 0) AS hits, count(*) AS n, sum(rel) AS relevant FROM j GROUP BY 1), e AS (SELECT query_id, CASE WHEN relevant > 0 THEN hits / relevant ELSE 0 END AS r, hits / least(5, n) AS p FROM m)
+SELECT query_id, round(r, 6) AS recall, round(p, 6) AS precision, round(CASE WHEN r + p > 0 THEN 2 * r * p / (r + p) ELSE 0 END, 6) AS f1 FROM e""")
+def query_benchmark(spark, d):
+    from skerry.operators import questions
+
+    out = questions.query_benchmark(table(spark, d, "documents"), _first_words(spark, d), id_col="doc_id", text_col="text")
+    return out.select("query_id", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "f1")])
+
+
+@query("""WITH s AS (SELECT DISTINCT split_part(text, ' ', 1) AS symbol FROM benchmark), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents),
+w AS (SELECT DISTINCT doc_id, line, unnest(regexp_extract_all(t, '(\\w+)', 1)) AS symbol FROM l) SELECT symbol, doc_id AS id, line::INT AS line FROM w JOIN s USING (symbol)""")
+def symbol_lines(spark, d):
+    docs = table(spark, d, "documents")
+    lines = docs.select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
+    names = _first_words(spark, d).select(F.col("query").alias("symbol")).distinct()
+    return search.usages(lines, docs, names, id_col="doc_id", text_col="text")[1]
+
+
+@query("""WITH m AS (SELECT p_partkey AS k, p_size AS s FROM part WHERE p_partkey % 4 = 2), q AS (SELECT p_partkey AS query_id, 'what is m' || p_partkey || ' for' AS t FROM part WHERE p_partkey % 8 = 2)
+SELECT query_id, 'App.M' || k AS module, 'Module App.M' || k || ':' || chr(10) || '  - Imports: App.Repo, Enum, Tool' || s || chr(10) || '  - Functions: App.M' || k || '.bare, App.M' || k || '.get, App.M' || k || '.helper' || k || ', App.M' || k || '.quick' AS text FROM q, m WHERE contains(t, 'm' || k)""")
+def module_contexts(spark, d):
+    from skerry.operators import extract
+
+    from .base import files
+
+    nodes, edges = extract.code_graph(files(spark, d).where("path like 'lib/%'"))
+    k = F.col("p_partkey")
+    asked = table(spark, d, "part").where("p_partkey % 8 = 2").select(k.alias("query_id"), F.concat(F.lit("what is m"), k.cast("string"), F.lit(" for")).alias("query"))
+    return search.module_contexts(asked.select("query_id", F.lit("").alias("content")), asked, nodes, edges)
+
+
+@query("""WITH c AS (SELECT * FROM (VALUES ('common', 1), ('verbs', 2), ('names', 3)) t(id, n)), q AS (SELECT item_id AS query_id, length(text) AS l FROM benchmark),
+s AS (SELECT query_id, id, 0.5 * ((l + n) % 10) / 10 AS s FROM q, c) SELECT query_id, id, round(s, 6)::DOUBLE AS score FROM s WHERE s > 0""")
+def semantic_halves(spark, d):
+    """Hybrid routing where no collection has a matching keyword: half of the semantic score."""
+    rows = spark.createDataFrame([("common", 1), ("verbs", 2), ("names", 3)], "id string, n int")
+    semantic = table(spark, d, "benchmark").crossJoin(F.broadcast(rows)).select(F.col("item_id").alias("query_id"), "id", (((F.length("text") + F.col("n")) % 10) / 10.0).alias("score"))
+    keyword = semantic.select("query_id", "id", F.lit(0.0).alias("score"))
+    return search.hybrid(keyword, semantic, 3).where("score > 0").select("query_id", "id", F.round("score", 6).alias("score"))
