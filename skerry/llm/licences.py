@@ -13,6 +13,8 @@ or ends with a line without a template's term is skipped: without that line its
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,8 +40,8 @@ TEMPLATES = [
 ]
 #: Names of licence files.
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice|copyright)(\.[a-z]+)?$"
-#: The templates are few: more than this many are refused, which bounds what is broadcast.
-MAX_TEMPLATES = 5000
+#: About how many templates are looked for at a time; more are dealt into blocks by hash, each with a pattern and a pass of its own.
+TEMPLATES_A_PASS = 5000
 
 
 def _terms(text: Column) -> Column:
@@ -63,6 +65,33 @@ def _runs(hit: DataFrame, pattern: str, known: list[str], most: int) -> DataFram
     return runs.where(F.exists("run", lambda x: x["needed"]) & whole).select("row", "line", F.col("stop.line").alias("last"), F.array_join(F.transform("run", lambda x: x["u"]), " ").alias("u"))
 
 
+def _close(base: DataFrame, ranked: DataFrame, terms: DataFrame, unseen: Column, least: float, threshold: float) -> DataFrame:
+    """(row, line, licence, cosine): units that reach the threshold for one of the templates of ranked. terms: all templates' idf."""
+    left = Window.partitionBy("t").orderBy(F.desc("count"), "term").rowsBetween(Window.unboundedPreceding, 0)
+    square = F.col("w") * F.col("w")
+    weighed = ranked.withColumns({"out": F.sum(square).over(left), "all": F.sum(square).over(Window.partitionBy("t"))})
+    needed = sorted(r[0] for r in weighed.where(F.col("out") >= F.lit(threshold**2 - 1e-9) * F.col("all")).select("term").distinct().collect())
+    pattern = r"(?i)(?<![a-z0-9])(" + "|".join(needed) + r")(?![a-z0-9])" if needed else "(?!)"
+    hit = stored(base.where(F.col("text").rlike(pattern)).select("row", "text").dropDuplicates(["row"]), "hit")
+    squares = ranked.groupBy("t").agg(F.sum("tf").alias("n"), F.sum(square).alias("sq"))
+    most = squares.agg(F.max(F.col("n") + F.floor((1 / threshold**2 - 1) * F.col("sq") / (least * least)))).first()[0] or 0
+    known = sorted(r[0] for r in ranked.select("term").distinct().collect())
+    units = F.concat(F.array(F.struct(F.lit(-1).alias("line"), F.lit(-1).alias("last"), F.col("text").alias("u"))), F.transform(F.split("text", "\n"), lambda u, i: F.struct(i.alias("line"), i.alias("last"), u.alias("u"))))
+    lines = hit.select("row", F.explode(units).alias("x")).select("row", "x.line", "x.last", "x.u").where(F.col("u").rlike(pattern))
+    lines = lines.unionByName(_runs(hit, pattern, known, most))
+    tf = lines.select("row", "line", "last", F.explode(_terms(F.col("u"))).alias("term")).groupBy("row", "line", "last", "term").agg(F.count("*").alias("n"))
+    own = ranked.groupBy("term").agg(F.collect_list(F.struct("licence", "t", "w")).alias("in"))
+    per_term = stored(terms.join(own, "term", "left"), "terms")
+    tf = tf.join(small_side(per_term), "term", "left").withColumn("v", F.col("n") * F.coalesce("idf", unseen))
+    tf = stored(tf.select("row", "line", "last", "v", "in"), "terms")
+    norms = tf.groupBy("row", "line", "last").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    dots = tf.select("row", "line", "last", "v", F.explode("in").alias("x")).groupBy("row", "line", "last", "x.licence", "x.t").agg(F.sum(F.col("v") * F.col("x.w")).alias("dot"))
+    lengths = stored(squares.select("t", F.sqrt("sq").alias("length")), "lengths")
+    cosine = F.round(F.col("dot") / (F.col("norm") * F.col("length")), 9)
+    met = dots.join(norms, ["row", "line", "last"]).join(small_side(lengths), "t")
+    return met.select("row", "line", "licence", cosine.alias("cosine")).where(F.col("cosine") >= threshold)
+
+
 def scan(files: DataFrame, path: Column, templates: DataFrame | None = None, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row of files: id, path, licence, how (`file`: its whole text or, in a file named as a licence, a line is
     or a run of lines is one; `line`: such a line or run elsewhere; `inherited`), cosine, from_dir.
@@ -78,34 +107,18 @@ def scan(files: DataFrame, path: Column, templates: DataFrame | None = None, thr
         templates = spark.createDataFrame(TEMPLATES, "licence string, text string")
     templates = stored(templates.select("licence", F.xxhash64("licence", "text").alias("t"), F.explode(_terms(F.col("text"))).alias("term")).groupBy("licence", "t", "term").agg(F.count("*").alias("tf")), "templates")
     size = templates.select("t").distinct().count()
-    if size > MAX_TEMPLATES:
-        raise ValueError(f"{size} templates; at most {MAX_TEMPLATES}")
     df = templates.groupBy("term").agg(F.countDistinct("t").alias("df"))
     unseen = F.log(F.lit(float(size + 1))) + 1
     idf = F.log(F.lit(float(size + 1)) / (F.col("df") + 1)) + 1
     weighed = stored(templates.join(df, "term").withColumn("idf", idf).withColumn("w", F.col("tf") * F.col("idf")), "weights")
     base = files.select(F.col(id_col).alias("id"), path.cast("string").alias("path"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.xxhash64("id", "path", "text"))
-    spoken = base.select(F.explode(F.array_distinct(_terms(F.coalesce("text", F.lit(""))))).alias("term")).join(F.broadcast(weighed.select("term").distinct()), "term", "left_semi").groupBy("term").count()
-    ranked = weighed.join(stored(spoken, "spoken"), "term", "left").withColumn("count", F.coalesce("count", F.lit(0)))
-    left = Window.partitionBy("t").orderBy(F.desc("count"), "term").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = ranked.withColumns({"out": F.sum(F.col("w") * F.col("w")).over(left), "all": F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("t"))})
-    needed = sorted(r[0] for r in ranked.where(F.col("out") >= F.lit(threshold**2 - 1e-9) * F.col("all")).select("term").distinct().collect())
-    pattern = r"(?i)(?<![a-z0-9])(" + "|".join(needed) + r")(?![a-z0-9])" if needed else "(?!)"
-    hit = stored(base.where(F.col("text").rlike(pattern)).select("row", "text").dropDuplicates(["row"]), "hit")
-    squares = weighed.groupBy("t").agg(F.sum("tf").alias("n"), F.sum(F.col("w") * F.col("w")).alias("sq")).crossJoin(weighed.agg(F.min("idf").alias("least")))
-    most = squares.agg(F.max(F.col("n") + F.floor((1 / threshold**2 - 1) * F.col("sq") / (F.col("least") * F.col("least"))))).first()[0] or 0
-    known = sorted(r[0] for r in weighed.select("term").distinct().collect())
-    units = F.concat(F.array(F.struct(F.lit(-1).alias("line"), F.lit(-1).alias("last"), F.col("text").alias("u"))), F.transform(F.split("text", "\n"), lambda u, i: F.struct(i.alias("line"), i.alias("last"), u.alias("u"))))
-    lines = hit.select("row", F.explode(units).alias("x")).select("row", "x.line", "x.last", "x.u").where(F.col("u").rlike(pattern))
-    lines = lines.unionByName(_runs(hit, pattern, known, most))
-    tf = lines.select("row", "line", "last", F.explode(_terms(F.col("u"))).alias("term")).groupBy("row", "line", "last", "term").agg(F.count("*").alias("n"))
-    per_term = weighed.groupBy("term").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("licence", "t", "w")).alias("in"))
-    tf = tf.join(F.broadcast(per_term), "term", "left").withColumn("v", F.col("n") * F.coalesce("idf", unseen))
-    tf = stored(tf.select("row", "line", "last", "v", "in"), "terms")
-    norms = tf.groupBy("row", "line", "last").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    dots = tf.select("row", "line", "last", "v", F.explode("in").alias("x")).groupBy("row", "line", "last", "x.licence", "x.t").agg(F.sum(F.col("v") * F.col("x.w")).alias("dot"))
-    lengths = weighed.groupBy("t").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    close = dots.join(norms, ["row", "line", "last"]).join(F.broadcast(lengths), "t").withColumn("cosine", F.round(F.col("dot") / (F.col("norm") * F.col("length")), 9)).where(F.col("cosine") >= threshold)
+    terms = stored(weighed.select("term", "idf").distinct(), "idf")
+    spoken = base.select(F.explode(F.array_distinct(_terms(F.coalesce("text", F.lit(""))))).alias("term")).join(small_side(terms.select("term")), "term", "left_semi").groupBy("term").count()
+    least = weighed.agg(F.min("idf")).first()[0] or 1.0
+    ranked = stored(weighed.join(spoken, "term", "left").withColumn("count", F.coalesce("count", F.lit(0))), "spoken")
+    passes = max(1, -(-size // TEMPLATES_A_PASS))
+    blocks = [_close(base, ranked.where(F.pmod("t", F.lit(passes)) == i), terms, unseen, least, threshold) for i in range(passes)]
+    close = reduce(DataFrame.unionByName, blocks)
     by_name = close.groupBy("row", "licence").agg(F.min(-F.col("cosine")).alias("far"), F.max(F.col("line") < 0).alias("whole"))
     own = by_name.groupBy("row").agg(F.min(F.struct("far", "licence", "whole")).alias("x"))
     own = stored(own.select("row", "x.licence", (-F.col("x.far")).alias("cosine"), "x.whole"), "own")

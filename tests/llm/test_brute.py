@@ -39,7 +39,9 @@ def grams(text, n):
     return [gram_hash(s[i : i + n]) for i in range(len(s) - n + 1)]
 
 
-def test_language_posteriors(spark):
+@pytest.mark.parametrize("at_once", [64, 2, 1])
+def test_language_posteriors(spark, monkeypatch, at_once):
+    monkeypatch.setattr(langid, "LANGUAGES_A_PASS", at_once)
     rows = [(0, "Der Hund, der bellt", "de"), (1, "the dog that barks", "en"), (2, "die Katze schläft", "de"), (3, "a cat", "en"), (4, "ein Tag am See", None), (5, "chat noir", "fr"), (6, "12 !", None), (7, None, "de"), (8, "the the the", None)]
     docs = spark.createDataFrame(rows, "doc_id int, text string, lang string")
     counts, texts = {}, Counter()
@@ -119,7 +121,9 @@ def best_licence(text, threshold=0.75):
     return name, -far, any(n == name and k == "whole" for _, n, k in found)
 
 
-def test_licences(spark):
+@pytest.mark.parametrize("at_once", [5000, 2, 1])
+def test_licences(spark, monkeypatch, at_once):
+    monkeypatch.setattr(licences, "TEMPLATES_A_PASS", at_once)
     texts = ["alpha beta gamma delta", "x\nalpha beta\n\ngamma delta y\nz", "alpha beta mu", "epsilon zeta\neta theta iota", "alpha", "nothing here", None, "", "kappa\nlambda\nkappa lambda", "alpha beta gamma delta one two three four five", "q\nq\nkappa\nlambda"]
     files = [(i, f"{'abc'[i % 3]}/{'d/' * (i % 2)}{'LICENSE' if i % 4 == 0 else 'x.py'}{i if i % 4 else ''}", t) for i, t in enumerate(texts * 2)]
     own = {i: best_licence(t) for i, _, t in files}
