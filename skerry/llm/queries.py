@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, katz, langid, licences, lines, mixing, sharding, toxicity, vectors
+from . import bpe, decontaminate, jaccard, katz, langid, licences, lines, mixing, sharding, toxicity, vectors
 from .common import read, text_crc
 
 
@@ -76,6 +77,14 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts encoded by the 50k byte-level vocabulary and decoded again, by their digests."""
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    ids = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2(bpe.decode(F.col("ids"), ranks), 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_katz_scores": op1_katz_scores,
     "op2_mixture": op2_mixture,
@@ -87,6 +96,7 @@ QUERIES = {
     "op8_licence_scan": op8_licence_scan,
     "op9_jaccard_groups": op9_jaccard_groups,
     "op10_decontaminate": op10_decontaminate,
+    "op11_byte_bpe": op11_byte_bpe,
 }
 
 _FILL = """
