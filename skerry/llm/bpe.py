@@ -31,7 +31,7 @@ from .common import stored, unused
 #: Slots of the literal rank map and of the word table; bytes of a word up to which it is folded; the rank of pairs that don't merge.
 RANK_SLOTS, WORD_SLOTS, LONG, NONE = 1 << 15, 1 << 18, 256, (1 << 31) - 1
 #: Bytes of the word table, as Spark keeps it, and what a word takes besides its own bytes and ids.
-WORD_BYTES, ENTRY_BYTES = 48 << 20, 72
+WORD_BYTES, ENTRY_BYTES = 96 << 20, 72
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -41,22 +41,34 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with value worked out once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    """use(value) with value worked out once: the end of a fold over nothing. (A transform of one element would copy its result.)"""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda held, _: held, use)
 
 
 def _slot(binary: Column, slots: int) -> Column:
     return (F.crc32(binary) % slots).cast("int")
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
+def _table(spark: SparkSession, value: object, kind: str) -> DataFrame:
+    """A literal value as a stored table of one row. Read back as a scalar subquery it reaches tasks as one block of bytes."""
+    return stored(spark.range(1).select(F.from_json(F.lit(json.dumps(value)), kind).alias("value")), "literal")
+
+
+def rank_map(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
     """The ranks as a literal: an array of slots, each with the few byte sequences whose checksum falls into it."""
     slots: list[dict] = [{"k": [], "r": []} for _ in range(RANK_SLOTS)]
     for word, rank in ranks.items():
         slot = slots[zlib.crc32(word) % RANK_SLOTS]
         slot["k"].append(base64.b64encode(word).decode())
         slot["r"].append(rank)
-    return F.from_json(F.lit(json.dumps(slots)), "array<struct<k: array<binary>, r: array<int>>>")
+    return _table(spark, slots, "array<struct<k: array<binary>, r: array<int>>>")
+
+
+def _using(df: DataFrame, tables: dict[str, DataFrame], out: str, use: Callable[[Column], Column]) -> DataFrame:
+    """df with out = use(struct of the tables' values). Each value is used once, so it becomes part of the projection and of no row."""
+    names = dict(zip(tables, unused(df.columns, *tables), strict=True))
+    whole = F.struct(*(F.col(own).alias(name) for name, own in names.items()))
+    return df.withColumns({own: tables[name].scalar() for name, own in names.items()}).withColumn(out, _let(whole, use)).drop(*names.values())
 
 
 def _rank(table: Column, binary: Column) -> Column:
@@ -129,9 +141,9 @@ def java_pattern(spark: SparkSession, pattern: str) -> str:
 
     Java names what it doesn't know; of that, the library is asked which code points it puts into one piece with a letter or a digit.
     """
-    text = F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')")
-    unknown = spark.range(0x110000).where("id < 55296 or id > 57343").where(text.rlike(r"\A\p{Cn}\z")).select(F.collect_list("id")).first()[0]
-    unknown = sorted(c for c in unknown if regex.match(r"[\p{L}\p{N}]", chr(c)))
+    known = regex.findall(r"[\p{L}\p{N}]", "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF))
+    left = spark.range(1).select(F.regexp_replace(F.lit("".join(known)), r"[\p{L}\p{N}]", "")).first()[0]
+    unknown = sorted(map(ord, left))
     added = {}
     for name, mate in (("L", "a"), ("N", "1")):
         words = [(mate + chr(c)).encode() for c in unknown]
@@ -152,10 +164,10 @@ def _by_slot(words: DataFrame) -> DataFrame:
     """One row: an array of WORD_SLOTS slots, each with the words of words (piece, ids) whose checksum falls into it."""
     slots = words.groupBy(_slot(F.col("piece").cast("binary"), WORD_SLOTS).alias("slot")).agg(F.collect_list("piece").alias("w"), F.collect_list("ids").alias("i"))
     all_ = words.sparkSession.range(WORD_SLOTS).select(F.col("id").cast("int").alias("slot")).join(slots, "slot", "left")
-    return all_.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "w", "i"))), lambda s: F.struct(s["w"].alias("w"), s["i"].alias("i"))).alias("slots"))
+    return all_.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "w", "i"))), lambda s: F.struct(s["w"].alias("w"), s["i"].alias("i"))).alias("value"))
 
 
-def word_table(docs: DataFrame, java: str, table: Column, text_col: str = "text", limit: int = WORD_BYTES) -> tuple[DataFrame, bool]:
+def word_table(docs: DataFrame, java: str, table: DataFrame, text_col: str = "text", limit: int = WORD_BYTES) -> tuple[DataFrame, bool]:
     """The word table in one row, and whether any piece is longer than LONG bytes.
 
     All pieces of all texts are counted. Words that occur once, and the least frequent of the others if the table would
@@ -171,7 +183,7 @@ def word_table(docs: DataFrame, java: str, table: Column, text_col: str = "text"
         if total + WORD_SLOTS * 40 > limit:
             break
         least = row["level"]
-    words = again.where(level >= least).select("piece", fold(F.col("piece").cast("binary"), table).alias("ids"))
+    words = _using(again.where(level >= least).select("piece"), {"ranks": table}, "ids", lambda t: fold(F.col("piece").cast("binary"), t["ranks"]))
     return stored(_by_slot(words), "words"), long
 
 
@@ -180,9 +192,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
 
     A column named as out is replaced. Null and empty texts give an empty array.
     """
-    java, table = java_pattern(docs.sparkSession, pattern), rank_map(ranks)
+    java, table = java_pattern(docs.sparkSession, pattern), rank_map(docs.sparkSession, ranks)
     words, long = word_table(docs.select(F.col(text_col).alias("text")), java, table, "text", word_bytes)
-    split, by_heap, known = unused(docs.columns, "pieces", "long", "words")
+    split, by_heap = unused(docs.columns, "pieces", "long")
 
     @F.pandas_udf("array<array<int>>")
     def heap_ids(lists: pd.Series) -> pd.Series:
@@ -199,16 +211,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
     found = docs.withColumn(split, pieces(F.col(text_col), java))
     if long:
         found = found.withColumn(by_heap, heap_ids(longs))
-    # The table is read as a scalar subquery and used once, so that it becomes part of the last projection and of no row.
-    tables = F.struct(F.col(known).alias("words"), table.alias("ranks"))
-    whole = _let(tables, lambda t: F.flatten(F.transform(F.col(split), lambda piece: ids(t, piece))))
-    return found.withColumn(known, words.scalar()).withColumn(out, whole).drop(split, by_heap, known)
+    return _using(found, {"words": words, "ranks": table}, out, lambda t: F.flatten(F.transform(F.col(split), lambda piece: ids(t, piece)))).drop(split, by_heap)
 
 
-def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
-    """The bytes of an array of ids: their binary pieces, in hexadecimal until all are joined. Null stays null; an id without a piece is an error."""
+def decode(docs: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """docs with the bytes of an array of ids: their binary pieces, in hexadecimal until all are joined. Null stays null; an id without a piece is an error."""
     hexes: list[str | None] = [None] * (max(ranks.values(), default=-1) + 1)
     for word, rank in ranks.items():
         hexes[rank] = word.hex()
-    table = F.from_json(F.lit(json.dumps(hexes)), "array<string>")
-    return F.unhex(F.array_join(_let(table, lambda t: F.transform(ids, lambda i: F.element_at(t, i + 1))), ""))
+    table = _table(docs.sparkSession, hexes, "array<string>")
+    return _using(docs, {"words": table}, out, lambda t: F.unhex(F.array_join(F.transform(F.col(ids), lambda i: F.element_at(t["words"], i + 1)), "")))

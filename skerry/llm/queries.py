@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, katz, langid, licences, lines, mixing, sharding, toxicity, vectors
+from . import bpe, decontaminate, jaccard, katz, langid, licences, lines, mixing, negatives, phrases, sharding, toxicity, vectors
 from .common import read, text_crc
 
 
@@ -80,9 +80,21 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts encoded by the 50k byte-level vocabulary and decoded again, by their digests."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    ids = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    ids = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN).select("doc_id", "ids")
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2(bpe.decode(F.col("ids"), ranks), 256).alias("decoded_sha256"))
+    return bpe.decode(ids, ranks).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of two or three words of each language of all documents."""
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector among all vectors, a seventh of them with a changed label."""
+    rows = read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0, label)
 
 
 QUERIES = {
@@ -97,6 +109,8 @@ QUERIES = {
     "op9_jaccard_groups": op9_jaccard_groups,
     "op10_decontaminate": op10_decontaminate,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_phrases": op12_phrases,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 _FILL = """
@@ -151,4 +165,24 @@ reach AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT reach.x, links.y F
 least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
 SELECT vec_id, (SELECT count(*) FROM links WHERE x = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN least ON x = vec_id"""
 
-ORACLES: dict[str, str] = {"op2_mixture": MIXTURE_SQL, "op7_near_vectors": NEAR_VECTORS_SQL, "op10_decontaminate": DECONTAMINATE_SQL}
+PHRASES_SQL = r"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (SELECT lang, k, w[i:i + k - 1] AS words FROM (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS sizes(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, words, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, count(*) AS n FROM grams WHERE k = 1 GROUP BY ALL),
+cuts AS (SELECT c.lang, c.k, c.words, c.f AS a, s.cut, x.f AS l, y.f AS r, (1000000::HUGEINT * c.f * c.f // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM f c JOIN (VALUES (1), (2)) AS s(cut) ON s.cut < c.k JOIN f x ON x.lang = c.lang AND x.words = c.words[1:s.cut] JOIN f y ON y.lang = c.lang AND y.words = c.words[s.cut + 1:c.k]),
+low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, cut) = 1),
+inner_ AS (SELECT lang, part, max(f) AS most FROM (SELECT lang, f, words[1:2] AS part FROM f WHERE k = 3 UNION ALL SELECT lang, f, words[2:3] FROM f WHERE k = 3) GROUP BY ALL),
+kept AS (SELECT low.lang, array_to_string(words, ' ') AS phrase, a, l, r, score FROM low LEFT JOIN inner_ ON inner_.lang = low.lang AND inner_.part = low.words WHERE most IS NULL OR 100 * most < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""
+
+HARD_NEGATIVES_SQL = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY anchor_id, p.id ORDER BY n.score DESC, n.id)::INT AS rank, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n USING (anchor_id) WHERE NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score QUALIFY rank <= 5"""
+
+ORACLES: dict[str, str] = {"op13_hard_negatives": HARD_NEGATIVES_SQL, "op12_phrases": PHRASES_SQL, "op2_mixture": MIXTURE_SQL, "op7_near_vectors": NEAR_VECTORS_SQL, "op10_decontaminate": DECONTAMINATE_SQL}
