@@ -28,7 +28,7 @@ from .tokens import _LOWER, _VALUE, CHUNK, mix, prefix_hashes
 #: Bytes between the words of a piece, and bytes that end a piece.
 SPACES, STOPS = b" \t", b".,;:!?\n\x0b\x0c\r"
 #: Suffixes of a group, at most about twice as many; suffixes that a task holds before it sends; how many groups there are at most.
-GROUP_SUFFIXES, HELD, MAX_GROUPS = 1 << 21, 1 << 21, 1 << 20
+GROUP_SUFFIXES, HELD, MAX_GROUPS = 1 << 21, 1 << 20, 1 << 20
 _IN_WORD = np.ones(256, bool)
 _IN_WORD[list(SPACES + STOPS)] = False
 _STOP = np.zeros(256, bool)

@@ -166,12 +166,13 @@ least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
 SELECT vec_id, (SELECT count(*) FROM links WHERE x = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN least ON x = vec_id"""
 
 PHRASES_SQL = r"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
-w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
 grams AS (SELECT lang, k, w[i:i + k - 1] AS words FROM (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS sizes(k) WHERE len(w) >= k)),
-f AS (SELECT lang, k, words, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 10),
+f AS MATERIALIZED (SELECT lang, k, words, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 10),
 n AS (SELECT lang, count(*) AS n FROM grams WHERE k = 1 GROUP BY ALL),
-cuts AS (SELECT c.lang, c.k, c.words, c.f AS a, s.cut, x.f AS l, y.f AS r, (1000000::HUGEINT * c.f * c.f // (x.f::HUGEINT * y.f))::BIGINT AS score
-  FROM f c JOIN (VALUES (1), (2)) AS s(cut) ON s.cut < c.k JOIN f x ON x.lang = c.lang AND x.words = c.words[1:s.cut] JOIN f y ON y.lang = c.lang AND y.words = c.words[s.cut + 1:c.k]),
+halves AS MATERIALIZED (SELECT lang, k, words, f, cut, words[1:cut] AS x, words[cut + 1:k] AS y FROM (SELECT *, unnest(range(1, k)) AS cut FROM f)),
+cuts AS (SELECT h.lang, h.words, h.f AS a, cut, p.f AS l, s.f AS r, (1000000::HUGEINT * h.f * h.f // (p.f::HUGEINT * s.f))::BIGINT AS score
+  FROM halves h JOIN f p ON p.lang = h.lang AND p.words = h.x JOIN f s ON s.lang = h.lang AND s.words = h.y),
 low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, cut) = 1),
 inner_ AS (SELECT lang, part, max(f) AS most FROM (SELECT lang, f, words[1:2] AS part FROM f WHERE k = 3 UNION ALL SELECT lang, f, words[2:3] FROM f WHERE k = 3) GROUP BY ALL),
 kept AS (SELECT low.lang, array_to_string(words, ' ') AS phrase, a, l, r, score FROM low LEFT JOIN inner_ ON inner_.lang = low.lang AND inner_.part = low.words WHERE most IS NULL OR 100 * most < 50 * a),
