@@ -60,13 +60,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     for b in range(blocks):
         some = anchors.where(F.pmod("part", F.lit(blocks)) == b).select("word", "at", "win", "w")
         at = base.select("row", words_of(F.col("text")).alias("words")).select("row", "words", F.posexplode("words").alias("pos", "word"))
-        met = at.join(F.broadcast(some), "word").where((F.col("pos") >= F.col("at")) & (F.col("pos") - F.col("at") + F.size("w") <= F.size("words")))
+        met = at.join(small_side(some), "word").where((F.col("pos") >= F.col("at")) & (F.col("pos") - F.col("at") + F.size("w") <= F.size("words")))
         met = met.where(F.slice("words", F.col("pos") - F.col("at") + 1, F.size("w")) == F.col("w"))
         met = met.select("row", "win", (F.col("pos") - F.col("at")).alias("start"), (F.col("pos") - F.col("at") + F.size("w")).alias("end"))
         spans = met if spans is None else spans.union(met)
     every = base.select("id", "row", F.regexp_count(lowered(F.col("text")), F.lit(WORD)).cast("long").alias("n_words"))
+    every = every.withColumnRenamed("id", id_col)
     if spans is None:
-        return every.select("id", "row", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("items"), F.lit(False).alias("contaminated"))
+        return every.select(id_col, "row", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("items"), F.lit(False).alias("contaminated"))
     spans = stored(spans.distinct(), "spans")
     union = F.aggregate(
         F.array_sort(F.collect_set(F.struct("start", "end"))),
@@ -79,7 +80,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     found = stored(hits.join(items_of, "row", "left"), "hits")
     found = small_side(found)
     items_or = F.coalesce("items", F.array().cast("array<string>"))
-    return every.join(found, "row", "left").select("id", "row", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items_or).cast("long").alias("n_items"), items_or.alias("items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+    return every.join(found, "row", "left").select(id_col, "row", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items_or).cast("long").alias("n_items"), items_or.alias("items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -2,8 +2,10 @@
 logistic loss), trained on labelled text.
 
 The classifier is fitted on a bounded sample of the labelled rows: at most `rows_per_class` rows of either label, those
-with the least hashes, none longer than LONGEST characters, and at most `max_bytes` of text. N-grams are counted and the features chosen by many tasks; one
-task then solves the regression on the sample's feature numbers. Scoring covers every whole text.
+with the least hashes, none longer than `longest` bytes, and at most `max_bytes` of text. The labels' shares among all
+labelled rows, not those that the bounds give the sample, set the bias. N-grams that `least` texts of the sample have are
+counted, and the `max_features` with the greatest weight chosen, by many tasks; one task then solves the regression on
+the sample's feature numbers. Scoring covers every whole text.
 """
 
 from __future__ import annotations
@@ -16,14 +18,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chargrams import CHUNK, batches, grams
+from .chargrams import batches, grams
 from .common import stored
 
 ORDERS = (4, 5, 6)
 #: Bounds of the sample and of the model.
 ROWS_PER_CLASS, MAX_BYTES, MAX_FEATURES = 4000, 32 << 20, 60_000
-#: Tasks that count the sample's n-grams, and n-grams that such a task holds before it sends their counts.
-SAMPLE_PARTS, HELD, LONGEST = 16, 1_000_000, CHUNK
+#: Tasks that count the sample's n-grams, n-grams that such a task holds before it sends their counts, bytes of a text in the sample.
+SAMPLE_PARTS, HELD, LONGEST = 16, 1_000_000, 4 << 20
 #: Feature numbers that the regression handles at a time.
 SLAB = 1 << 20
 
@@ -36,7 +38,12 @@ class ToxicityModel:
 
 
 def _distinct(texts: list[str]):
-    """The distinct n-grams of each text, order by order: hashes and text numbers, by text."""
+    """The distinct n-grams of each text, order by order: hashes and text numbers, by text. The pieces of a long text, which comes alone, count as one."""
+    if len(texts) == 1:
+        pieces = [np.unique(np.concatenate([h for h, _ in found])) for _, _, found, _ in grams(texts, ORDERS)]
+        h = np.unique(np.concatenate(pieces)) if pieces else np.zeros(0, np.uint64)
+        yield h, np.zeros(len(h), np.int64)
+        return
     for _, _, found, _ in grams(texts, ORDERS):
         while found:
             h, number = found.pop()
@@ -144,22 +151,25 @@ def _regression(sizes: np.ndarray, at: np.ndarray, y: np.ndarray, r: np.ndarray,
     return r * w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_class: int = ROWS_PER_CLASS, max_bytes: int = MAX_BYTES, max_features: int = MAX_FEATURES, least: int = 4, penalty: float = 2.0) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_class: int = ROWS_PER_CLASS, max_bytes: int = MAX_BYTES, max_features: int = MAX_FEATURES, least: int = 4, penalty: float = 2.0, longest: int = LONGEST) -> ToxicityModel:
     """Learn from the given labels (0 or 1; other values and nulls are ignored; of contradicting ones 1 holds).
 
     Without rows of both labels the model is a bias only: the score is then the share of label 1, 0 without labels.
     """
     labels = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").groupBy("_id").agg(F.max("_y").alias("_y"))
-    by = F.xxhash64("_id")
+    every = stored(labels, "labels")
+    whole = {row["_y"]: row["count"] for row in every.groupBy("_y").count().collect()}
+    labels, by = every, F.xxhash64("_id")
     picked = labels.where("_y = 1").orderBy(by, "_id").limit(rows_per_class).union(labels.where("_y = 0").orderBy(by, "_id").limit(rows_per_class))
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).join(F.broadcast(picked), "_id")
     rows = stored(rows.withColumn("_h", F.xxhash64("_id", "_text")), "labelled")
-    sizes = rows.select("_id", "_h", F.octet_length("_text").alias("_n")).where((F.col("_n") <= max_bytes) & (F.char_length("_text") <= LONGEST)).distinct().orderBy("_h").limit(2 * rows_per_class)
+    sizes = rows.select("_id", "_h", F.octet_length("_text").alias("_n")).where((F.col("_n") <= F.least(F.lit(max_bytes), F.lit(longest)))).distinct().orderBy("_h").limit(2 * rows_per_class)
     within = sizes.withColumn("_sum", F.sum("_n").over(Window.orderBy("_h", "_id").rowsBetween(Window.unboundedPreceding, 0))).where(F.col("_sum") <= max_bytes).select("_h")
     sample = stored(rows.join(F.broadcast(within), "_h").dropDuplicates(["_h"]).repartition(SAMPLE_PARTS, "_h").select("_h", "_text", "_y"), "sample")
     total, ones = (int(x or 0) for x in sample.agg(F.count("*"), F.sum("_y")).first())
     if not 0 < ones < total:
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), 30.0 if ones else -30.0)
+    shift = float(np.log(whole[1] / whole[0]) - np.log(ones / (total - ones)))  # from the sample's shares to those of all labels
     counts = sample.mapInArrow(_count, "feature long, n long, pos long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where(F.col("n") >= least)
     ratio = F.log((F.col("pos") + 1) / (ones + 2)) - F.log((F.col("n") - F.col("pos") + 1) / (total - ones + 2))
     weight = F.abs("ratio") * F.sqrt("n")
@@ -168,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     order = np.argsort(names)
     names, ratios = names[order], ratios[order]
     if not len(names):
-        return ToxicityModel(names, ratios, float(np.log(ones / (total - ones))))
+        return ToxicityModel(names, ratios, float(np.log(whole[1] / whole[0])))
 
     def train(parts):
         held: list[tuple[int, int, np.ndarray]] = []
@@ -184,7 +194,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(weights)), -1)), pa.array(np.append(weights, bias))], names=["place", "weight"])
 
     found = sample.mapInArrow(_index(names), "_h long, _y int, at array<int>").repartition(1).mapInArrow(train, "place long, weight double").toPandas().sort_values("place")["weight"].to_numpy(float)
-    return ToxicityModel(names, found[1:], float(found[0]))
+    model = ToxicityModel(names, found[1:], float(found[0]) + shift)
+    if total >= whole[0] + whole[1]:
+        return model
+    # A bounded sample fits its own rows too well: the bias is set so that labelled rows score their share of label 1 on average.
+    again = F.xxhash64("_id", F.lit("again"))
+    asked = every.where("_y = 1").orderBy(again, "_id").limit(rows_per_class).union(every.where("_y = 0").orderBy(again, "_id").limit(rows_per_class))
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).join(F.broadcast(asked), "_id")
+    seen = score(texts, model, "_text", ("_score", "_predicted")).select("_y", "_score").toPandas()
+    y, p = seen["_y"].to_numpy(), np.clip(seen["_score"].to_numpy(float), 1e-12, 1 - 1e-12)
+    weight = np.where(y == 1, whole[1] / max((y == 1).sum(), 1), whole[0] / max((y == 0).sum(), 1)) / (whole[0] + whole[1])
+    low, high, logit = -40.0, 40.0, np.log(p / (1 - p))
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if (weight / (1 + np.exp(-logit - middle))).sum() < whole[1] / (whole[0] + whole[1]) else (low, middle)
+    return ToxicityModel(model.features, model.weights, model.bias + low)
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: tuple[str, str] = ("score", "predicted"), threshold: float = 0.5) -> DataFrame:

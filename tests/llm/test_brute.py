@@ -194,3 +194,28 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{tmp_path}/full/{t}.parquet").where("false").write.parquet(f"{tmp_path}/none/{t}.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_toxicity_keeps_the_labels_shares_when_the_sample_is_bounded(spark):
+    import random
+
+    from skerry.llm import toxicity
+
+    pick = random.Random(1)
+    words = "lorem ipsum dolor sit amet consetetur sadipscing elitr sed diam nonumy eirmod tempor".split()
+    rows = [(i, " ".join(pick.choice(words) for _ in range(25)), int(pick.random() < 0.033)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    means = [toxicity.score(docs, toxicity.fit(docs, docs, rows_per_class=n)).agg({"score": "avg"}).first()[0] for n in (4000, 100)]
+    assert abs(means[0] - 0.033) < 0.01 and abs(means[0] - means[1]) < 0.02, means
+
+
+def test_toxicity_learns_from_long_labelled_texts(spark):
+    from skerry.llm import toxicity
+
+    calm, rude = "quiet words of peace " * 40_000, "rotten filthy insult here " * 40_000  # each over one piece
+    rows = [(i, (calm if i % 2 else rude) + f" {i}", 1 - i % 2) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    model = toxicity.fit(docs, docs)
+    asked = spark.createDataFrame([(1, "rotten filthy insult here"), (2, "quiet words of peace")], "doc_id long, text string")
+    score = dict(toxicity.score(asked, model).select("doc_id", "score").collect())
+    assert score[1] > 0.5 > score[2]
