@@ -1,8 +1,14 @@
-"""Frontier and peeling loops over edge tables: every level is a stored table, the driver sees counts only."""
+"""Loops over edge tables: every round is a stored table, the driver sees counts only.
+
+Frontiers go a level a round. Chains and cycles are followed by doubling instead: each round a pointer is replaced by the
+one it points to, so that after i rounds it spans 2**i edges.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -39,22 +45,67 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 10) -> D
     return done.select("from", "to", "path")
 
 
-def depths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, depth): the longest distance to a node without out-edges; null for nodes that reach a cycle. Leaves are peeled."""
-    edges = stored(edges.select("source", "target").distinct())
-    left = stored(nodes.select("id").union(edges.select("source")).union(edges.select("target")).distinct())
-    out, level = None, 0
+def follow(pointers: DataFrame, merge: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
+    """pointers (id, to, and columns of merge), one row an id: each `to` followed as far as there are pointers, with the columns
+    merged along the way. Pointers that still lead to an id are on a cycle or lead into one; they have gone at least as many
+    steps as there are pointers."""
+    now = stored(pointers)
+    n, span = now.count(), 1
     while True:
-        peeled = left.join(edges.select(F.col("source").alias("id")), "id", "left_anti")
-        now = stored(peeled.select("id", F.lit(level).alias("depth")))
-        if now.isEmpty():
-            rest = left.select("id", F.lit(None).cast("int").alias("depth"))
-            return rest if out is None else out.union(rest)
-        out = now if out is None else out.union(now)
-        gone = now.select("id")
-        left = stored(left.join(gone, "id", "left_anti"))
-        edges = stored(edges.join(gone.withColumnRenamed("id", "target"), "target", "left_anti").select("source", "target"))
-        level += 1
+        onward = now.select(F.col("id").alias("to"), F.col("to").alias("_to"), *(F.col(c).alias(f"_{c}") for c in merge))
+        joined = now.join(onward, "to", "left")
+        new = [F.when(F.col("_to").isNull(), F.col(c)).otherwise(f(F.col(c), F.col(f"_{c}"))).alias(c) for c, f in merge.items()]
+        step = joined.select("id", F.coalesce("_to", "to").alias("to"), *new, F.col("_to").isNotNull().alias("_more"))
+        step = stored(step)
+        now, span = step.drop("_more"), 2 * span
+        if span > n or not step.where("_more").limit(1).count():
+            return now
+
+
+def depths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, depth): the longest distance to a node without out-edges; null for nodes that reach a cycle.
+
+    Each round settles nodes whose targets are all settled and follows nodes with one open target by doubling: their
+    depth is max(base, w + depth of the target), and such functions compose. A chain or a tree of chains takes a
+    number of rounds in the logarithm of its length.
+    """
+    every = nodes.select("id").union(edges.select("source")).union(edges.select("target")).distinct()
+    open_ = stored(edges.select("source", "target").distinct().withColumn("w", F.lit(1)))
+    base = open_.sparkSession.createDataFrame([], "id string, b int").select(F.col("id").cast(open_.schema["source"].dataType), "b")
+    left = stored(every.join(open_.select(F.col("source").alias("id")), "id", "left_semi"))
+    done = stored(every.join(left, "id", "left_anti").select("id", F.lit(0).alias("depth"), F.lit(False).alias("cyclic")))
+    news = done
+    while not left.isEmpty():
+        # what leads to settled nodes goes into the base
+        met = open_.join(news.withColumnRenamed("id", "target"), "target")
+        reached = met.groupBy(F.col("source").alias("id")).agg(F.max(F.col("w") + F.col("depth")).alias("b2"), F.max("cyclic").alias("cyclic"))
+        base = stored(left.join(base, "id", "left").join(reached, "id", "left").select("id", F.greatest("b", "b2").alias("b"), F.coalesce("cyclic", F.lit(False)).alias("cyclic")))
+        open_ = open_.join(news.select(F.col("id").alias("target")), "target", "left_anti").select("source", "target", "w")
+        out = open_.groupBy(F.col("source").alias("id")).agg(F.countDistinct("target").alias("targets"), F.first("target").alias("to"), F.max("w").alias("w"))
+        state = stored(base.join(out, "id", "left").withColumn("targets", F.coalesce("targets", F.lit(0))))
+        news = state.where("targets = 0 or cyclic").select("id", F.when(~F.col("cyclic"), F.col("b")).alias("depth"), "cyclic")
+        single = state.where("targets = 1 and not cyclic").select("id", "to", "w", "b")
+        single = _followed(single)
+        lost = single.join(single.select(F.col("id").alias("to")), "to", "left_semi").select("id", F.lit(None).cast("int").alias("depth"), F.lit(True).alias("cyclic"))
+        news = stored(news.union(lost))
+        if news.isEmpty() and single.isEmpty():  # every node has two open targets or more: all reach cycles
+            return done.select("id", "depth").union(left.select("id", F.lit(None).cast("int").alias("depth")))
+        done = stored(done.union(news))
+        left = stored(left.join(news, "id", "left_anti"))
+        # open edges to followed nodes lead on to where these lead; their bases count for the sources
+        keep = single.join(lost, "id", "left_anti").select(F.col("id").alias("target"), F.col("to"), F.col("w").alias("w2"), F.col("b").alias("b2"))
+        through = open_.join(left.select(F.col("id").alias("source")), "source", "left_semi").join(keep, "target", "left")
+        through = stored(through.select("source", "target", "w", "to", "w2", "b2"))
+        open_ = stored(through.select("source", F.coalesce("to", "target").alias("target"), (F.col("w") + F.coalesce("w2", F.lit(0))).alias("w")).groupBy("source", "target").agg(F.max("w").alias("w")))
+        gained = through.groupBy(F.col("source").alias("id")).agg(F.max(F.col("w") + F.col("b2")).alias("b3"))
+        base = stored(base.select("id", "b").join(left, "id", "left_semi").join(gained, "id", "left").select("id", F.greatest("b", "b3").alias("b")))
+    return done.select("id", "depth")
+
+
+def _followed(single: DataFrame) -> DataFrame:
+    """single (id, to, w, b), depth(id) = max(b, w + depth(to)), followed by doubling."""
+    pair = follow(single.select("id", "to", F.struct("w", "b").alias("f")), {"f": lambda x, y: F.struct((x["w"] + y["w"]).alias("w"), F.greatest(x["b"], x["w"] + y["b"]).alias("b"))})
+    return pair.select("id", "to", "f.w", "f.b")
 
 
 def cycles(edges: DataFrame, closed: bool = False, loops: bool = False) -> DataFrame:
@@ -63,7 +114,10 @@ def cycles(edges: DataFrame, closed: bool = False, loops: bool = False) -> DataF
     edges = stored(edges.select("source", "target").distinct())
     part = strong_components(edges)
     inner = edges.join(part.withColumnRenamed("id", "source").withColumnRenamed("component", "_a"), "source").join(part.withColumnRenamed("id", "target").withColumnRenamed("component", "_b"), "target")
-    inner = stored(inner.where("_a = _b and source <> target").select("source", "target"))
+    inner = stored(inner.where("_a = _b and source <> target").select("source", "target", F.col("_a").alias("part")))
+    only = inner.groupBy("part").agg((F.count("*") == F.countDistinct("source")).alias("ring"))
+    rings = _rings(inner.join(only.where("ring"), "part", "left_semi"))
+    inner = stored(inner.join(only.where("not ring"), "part", "left_semi").select("source", "target"))
     front = stored(inner.select(F.col("source").alias("start"), F.col("target").alias("node"), F.array("source", "target").alias("path")))
     seen, done = front.select("start", "node"), None
     while not front.isEmpty():
@@ -74,6 +128,7 @@ def cycles(edges: DataFrame, closed: bool = False, loops: bool = False) -> DataF
         front = stored(more.groupBy("start", "node").agg(F.min(F.concat("path", F.array("node"))).alias("path")))
         seen = seen.union(front.select("start", "node"))
     found = edges.where("source = target" if loops else "false").select(F.col("source").alias("start"), F.array("source").alias("path"))
+    found = found.unionByName(rings)
     found = found if done is None else found.unionByName(done.select("start", "path"))
     at = F.array_position("path", F.array_min("path")).cast("int")
     turned = found.select(F.concat(F.slice("path", at, F.size("path")), F.slice("path", F.lit(1), at - 1)).alias("path"))
@@ -81,56 +136,77 @@ def cycles(edges: DataFrame, closed: bool = False, loops: bool = False) -> DataF
     return once.select(F.get("path", F.lit(0)).alias("first"), F.size("path").alias("length"), (F.concat("path", F.slice("path", 1, 1)) if closed else F.col("path")).alias("path"))
 
 
+def _rings(edges: DataFrame) -> DataFrame:
+    """(start, path): edges (source, target, part) of components with as many edges as nodes are one cycle each, given from its least node on."""
+    cut = edges.where("source <> part").select(F.col("source").alias("id"), F.col("target").alias("to"), F.lit(1).alias("far"))
+    back = follow(cut, {"far": lambda x, y: x + y})  # how far from each node to the least one
+    whole = back.groupBy("to").agg(F.array_sort(F.collect_list(F.struct((-F.col("far")).alias("at"), "id"))).alias("l"))
+    return whole.select(F.col("to").alias("start"), F.concat(F.array("to"), F.transform("l", lambda x: x["id"])).alias("path"))
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    """(id, ins, outs): the degrees of the nodes of edges."""
+    both = edges.select(F.col("source").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select("target", F.lit(0), F.lit(1)))
+    return both.groupBy("id").agg(F.sum("i").alias("ins"), F.sum("o").alias("outs"))
+
+
+def _chains(edges: DataFrame, inner: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """inner (id): nodes with one edge in and one out. Returns rings of such nodes (id, into: the least), chains (id, head, tail:
+    the nodes around the chain), and the edges with each chain as one edge."""
+    onward = edges.join(inner.withColumnRenamed("id", "source"), "source").select(F.col("source").alias("id"), F.col("target").alias("to"))
+    lead = follow(onward.withColumns({"last": F.col("id"), "least": F.col("id")}), {"last": lambda x, y: y, "least": F.least})
+    own = inner.withColumnRenamed("id", "to")
+    rings = lead.join(own, "to", "left_semi").select("id", F.col("least").alias("into"))
+    lead = lead.join(own, "to", "left_anti").select("id", F.col("to").alias("tail"), "last")
+    heads = edges.join(inner.withColumnRenamed("id", "source"), "source", "left_anti").join(lead, F.col("target") == F.col("id")).select(F.col("source").alias("head"), "tail", "last")
+    heads = stored(heads)
+    chains = lead.join(heads.select("head", "last"), "last").select("id", "head", "tail")
+    rest = edges.join(inner.withColumnRenamed("id", "source"), "source", "left_anti").join(inner.withColumnRenamed("id", "target"), "target", "left_anti").select("source", "target")
+    return stored(rings), stored(chains), stored(rest.union(heads.select("head", "tail")).where("source <> target").distinct())
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
-    """(id, component) of nodes in strongly connected components of two or more, named by the least node: trim, then the least
-    label that reaches each node, kept where the node reaches it too; the rest goes on. Labels are in random order, so
-    that a chain of components takes few rounds."""
-    spark = edges.sparkSession
-    left = stored(edges.select("source", "target").where("source <> target").distinct())
-    out = spark.createDataFrame([], left.select(F.col("source").alias("id"), F.col("source").alias("component")).schema)
-    while not left.isEmpty():
-        while True:  # nodes without in- or out-edges are in no cycle
-            kept = stored(left.join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi").join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi").select("source", "target"))
-            if kept.count() == left.count():
-                break
-            left = kept
+    """(id, component) of nodes in strongly connected components of two or more, named by the least node.
+
+    Each round drops nodes without in- or out-edges, replaces chains of nodes with one edge in and one out by one edge (such a
+    node is in the component of both ends of its chain, or in none) and merges the cycles that arise when each node points to
+    one of its targets; chains and cycles are followed by doubling. Rings, paths and trees of any length take a
+    number of rounds in the logarithm of their length; a dense graph without cycles, of many layers, takes a round for every few layers.
+    """
+    left, steps, turn = stored(edges.select("source", "target").where("source <> target").distinct()), [], 0
+    while True:
+        degrees = stored(_ends(left))
+        inside = degrees.where("ins > 0 and outs > 0").select("id")
+        if degrees.where("ins = 0 or outs = 0").limit(1).count():
+            left = stored(left.join(inside.withColumnRenamed("id", "source"), "source", "left_semi").join(inside.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target"))
+            degrees = stored(_ends(left))
         if left.isEmpty():
             break
-        color = _spread(left)
-        inner = left.join(color.withColumnRenamed("label", "a"), F.col("source") == F.col("id")).drop("id").join(color.withColumnRenamed("label", "b"), F.col("target") == F.col("id")).where("a = b").select("source", "target", "a")
-        inner = stored(inner)
-        back = _reaching(inner)
-        names = back.groupBy("a").agg(F.min("id").alias("component"))
-        out = stored(out.union(back.join(names, "a").select("id", "component")))
-        gone = out.select(F.col("id"))
-        left = stored(left.join(gone.withColumnRenamed("id", "source"), "source", "left_anti").join(gone.withColumnRenamed("id", "target"), "target", "left_anti").select("source", "target"))
-    sizes = out.groupBy("component").count().where("count > 1").select("component")
-    return out.join(sizes, "component", "left_semi").select("id", "component")
-
-
-def _spread(edges: DataFrame) -> DataFrame:
-    """(id, label): the least node that reaches each node along edges."""
-    nodes = edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct()
-    label = stored(nodes.withColumn("label", F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("name"))))
-    mark = None
-    while True:
-        for _ in range(3):  # steps in one stored table
-            come = edges.join(label, F.col("source") == F.col("id")).select(F.col("target").alias("id"), "label")
-            label = label.union(come).groupBy("id").agg(F.min("label").alias("label"))
-        label = stored(label)
-        now = label.agg(F.bit_xor(F.xxhash64("id", "label"))).first()[0]
-        if now == mark:
-            return label.select("id", F.col("label.name").alias("label"))
-        mark = now
-
-
-def _reaching(inner: DataFrame) -> DataFrame:
-    """(id, a): nodes that reach their label a along edges between nodes of that label."""
-    seen = stored(inner.select("a").distinct().withColumn("id", F.col("a")))
-    front = seen
-    while True:
-        step = inner.join(front.select(F.col("id").alias("target"), "a"), ["target", "a"]).select("a", F.col("source").alias("id")).distinct()
-        front = stored(step.join(seen, ["a", "id"], "left_anti"))
-        if front.isEmpty():
-            return seen.select("id", "a")
-        seen = seen.union(front)
+        inner = stored(degrees.where("ins = 1 and outs = 1").select("id"))
+        if not inner.isEmpty():
+            rings, chains, left = _chains(left, inner)
+            steps += [rings, chains]
+            if left.isEmpty():
+                break
+        turn += 1
+        mark = F.xxhash64("source", "target", F.lit(turn))
+        to = left.groupBy(F.col("source").alias("id")).agg(F.min_by("target", mark).alias("to"))
+        to = to.join(left.select(F.col("source").alias("to")).distinct(), "to", "left_semi").select("id", "to")  # not into nodes without out-edges
+        lead = follow(to.withColumn("least", F.col("id")), {"least": F.least})
+        onto = lead.join(to.select(F.col("id").alias("to")), "to", "left_semi").select(F.col("to").alias("id")).distinct()
+        merged = stored(lead.join(onto, "id", "left_semi").select("id", F.col("least").alias("into")))
+        if not merged.isEmpty():
+            steps.append(merged)
+            for end in ("source", "target"):
+                left = left.join(merged.select(F.col("id").alias(end), "into"), end, "left").withColumn(end, F.coalesce("into", end)).select("source", "target")
+            left = stored(left.where("source <> target").distinct())
+    found = stored(edges.select(F.col("source").alias("id"), F.col("source").alias("component")).where("false"))
+    for step in reversed(steps):
+        of = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))  # noqa: B023, E731
+        for c in step.columns[1:]:
+            step = step.join(of(c), c, "left").withColumn(f"of_{c}", F.coalesce(f"of_{c}", c))
+        own = step.where("of_head = of_tail").select("id", "of_head") if "of_head" in step.columns else step.select("id", "of_into")
+        found = stored(found.union(own))
+    members = found.union(found.select("component", "component")).distinct()
+    names = members.groupBy("component").agg(F.min("id").alias("name"))
+    return members.join(names, "component").select("id", F.col("name").alias("component"))
