@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +14,12 @@ BROADCAST_BYTES = 32 << 20
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that executors share (spark.checkpoint.dir), else under the warehouse."""
-    folder = spark.conf.get("spark.checkpoint.dir", "") or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+    """A new path in the folder that executors share (spark.checkpoint.dir). Where Spark runs on one machine, as in tests, and the
+    setting is absent: under the warehouse; elsewhere that is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -1,18 +1,23 @@
 """Loops over edge tables: every round is a stored table, the driver sees counts only.
 
 Frontiers go a level a round. Chains and cycles are followed by doubling instead: each round a pointer is replaced by the
-one it points to, so that after i rounds it spans 2**i edges.
+one it points to, so that after i rounds it spans 2**i edges. Components and depths contract the graph so until at most
+LOCAL_EDGES edges are left, which one task then finishes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
+#: Edges of a contracted graph that one task may finish; results are the same for any number.
+LOCAL_EDGES = 100_000
+
 
 def reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """(start, node, distance): all nodes within so many edges of each start, itself left out. edges (source, target)."""
@@ -76,6 +81,13 @@ def depths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     done = stored(every.join(left, "id", "left_anti").select("id", F.lit(0).alias("depth"), F.lit(False).alias("cyclic")))
     news = done
     while not left.isEmpty():
+        if open_.count() <= LOCAL_EDGES:  # settled targets may still stand in it; they have no open edges
+            settled = news.select(F.col("id").alias("source"), F.lit(None).cast(open_.schema["target"].dataType).alias("target"), F.when(F.col("cyclic"), -1).otherwise(F.col("depth")).alias("w"))
+            known = base.where("b is not null").select(F.col("id").alias("source"), F.lit(None).cast(open_.schema["target"].dataType).alias("target"), F.col("b").alias("w"))
+            met = settled.join(open_.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
+            rest = open_.select("source", "target", "w").union(known).union(met).repartition(1)
+            own = rest.mapInPandas(_local_depths, done.select("id", "depth").schema).join(left, "id", "left_semi")
+            return done.select("id", "depth").union(stored(own))
         # what leads to settled nodes goes into the base
         met = open_.join(news.withColumnRenamed("id", "target"), "target")
         reached = met.groupBy(F.col("source").alias("id")).agg(F.max(F.col("w") + F.col("depth")).alias("b2"), F.max("cyclic").alias("cyclic"))
@@ -102,6 +114,77 @@ def depths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return done.select("id", "depth")
 
 
+def _local_depths(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Depths in the edges (source, target, w) of a small graph; without a target w is a depth that the source has at least, -1 that it reaches a cycle."""
+    rows = pd.concat(list(parts))
+    into: dict = {}
+    waits: dict = {}
+    depth: dict = {}
+    cyclic = set()
+    for source, target, w in zip(rows["source"].tolist(), rows["target"].tolist(), rows["w"].tolist(), strict=True):
+        if pd.isna(target):
+            depth[source] = max(depth.get(source, 0), int(w))
+            if w < 0:
+                cyclic.add(source)
+        else:
+            into.setdefault(target, []).append((source, int(w)))
+            waits[source] = waits.get(source, 0) + 1
+    nodes = {*into, *waits, *depth}
+    ready = [v for v in nodes if not waits.get(v) and v not in cyclic]
+    out = {}
+    while ready:
+        v = ready.pop()
+        out[v] = depth.get(v, 0)
+        for source, w in into.get(v, ()):
+            depth[source] = max(depth.get(source, 0), w + out[v])
+            waits[source] -= 1
+            if not waits[source] and source not in cyclic:
+                ready.append(source)
+    yield pd.DataFrame({"id": list(nodes), "depth": pd.array([out.get(v) for v in nodes], "Int32")})
+
+
+def _local_components(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(id, into): of the edges of a small graph, the nodes in components of two or more and the least node of each. Two depth-first
+    passes, forwards for the order of ending and backwards for the components."""
+    rows = pd.concat(list(parts))
+    after: dict = {}
+    before: dict = {}
+    for a, b in zip(rows["source"].tolist(), rows["target"].tolist(), strict=True):
+        after.setdefault(a, []).append(b)
+        before.setdefault(b, []).append(a)
+    ended, seen = [], set()
+    for start in after:
+        if start in seen:
+            continue
+        seen.add(start)
+        todo = [(start, iter(after[start]))]
+        while todo:
+            v, rest = todo[-1]
+            w = next((w for w in rest if w not in seen), None)
+            if w is None:
+                ended.append(v)
+                todo.pop()
+            else:
+                seen.add(w)
+                todo.append((w, iter(after.get(w, ()))))
+    out, taken = [], set()
+    for start in reversed(ended):
+        if start in taken:
+            continue
+        taken.add(start)
+        part, at = [start], 0
+        while at < len(part):
+            for w in before.get(part[at], ()):
+                if w not in taken:
+                    taken.add(w)
+                    part.append(w)
+            at += 1
+        if len(part) > 1:
+            least = min(part)
+            out += [(v, least) for v in part]
+    yield pd.DataFrame({"id": [v for v, _ in out], "into": [w for _, w in out]}) if out else rows[:0].rename(columns={"source": "id", "target": "into"})
+
+
 def _followed(single: DataFrame) -> DataFrame:
     """single (id, to, w, b), depth(id) = max(b, w + depth(to)), followed by doubling."""
     pair = follow(single.select("id", "to", F.struct("w", "b").alias("f")), {"f": lambda x, y: F.struct((x["w"] + y["w"]).alias("w"), F.greatest(x["b"], x["w"] + y["b"]).alias("b"))})
@@ -174,7 +257,11 @@ def strong_components(edges: DataFrame) -> DataFrame:
     number of rounds in the logarithm of their length; a dense graph without cycles, of many layers, takes a round for every few layers.
     """
     left, steps, turn = stored(edges.select("source", "target").where("source <> target").distinct()), [], 0
+    kinds = left.select(F.col("source").alias("id"), F.col("target").alias("into")).schema
     while True:
+        if left.count() <= LOCAL_EDGES:
+            steps.append(stored(left.repartition(1).mapInPandas(_local_components, kinds)))
+            break
         degrees = stored(_ends(left))
         inside = degrees.where("ins > 0 and outs > 0").select("id")
         if degrees.where("ins = 0 or outs = 0").limit(1).count():

@@ -518,8 +518,8 @@ def _drained(spark, rows, mode: str):
     """The last result of each batch of a stream, as (batch, columns of rows)."""
     path = shared_path(spark, "stream")
 
-    def keep(batch, number):
-        batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(f"{path}/out")
+    def keep(batch, number):  # a batch that comes again overwrites its own folder
+        batch.write.mode("overwrite").parquet(f"{path}/out/_batch={number}")
 
     q = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(keep).start()
     q.awaitTermination()
@@ -553,7 +553,7 @@ def stream_gauges(spark, d):
 @query("""WITH c AS (SELECT (user_id % 7)::VARCHAR AS provider, ts, event_id, event_type <> 'error' AS ok FROM events), r AS (SELECT *, count(*) OVER w AS n, sum((NOT ok)::INT) OVER w AS f FROM c WINDOW w AS (PARTITION BY provider ORDER BY ts, event_id)),
 e AS (SELECT *, CASE WHEN ok THEN true WHEN n >= 3 AND f / n > 0.5 THEN false END AS e FROM r) SELECT provider, max(n) AS calls, max(f)::BIGINT AS failures, coalesce(arg_max(e, (ts, event_id)) FILTER (WHERE e IS NOT NULL), true) AS healthy FROM e GROUP BY 1""")
 def stream_providers(spark, d):
-    rows = _stream(spark, d).select((F.col("user_id") % 7).cast("string").alias("provider"), "ts", (F.col("event_type") != "error").alias("ok"))
+    rows = _stream(spark, d).select((F.col("user_id") % 7).cast("string").alias("provider"), "ts", F.col("event_id").alias("id"), (F.col("event_type") != "error").alias("ok"))
     out = _drained(spark, stream.provider_states(rows), "update")
     return out.groupBy("provider").agg(F.max("calls").alias("calls"), F.max("failures").alias("failures"), F.max_by("healthy", "_batch").alias("healthy"))
 
@@ -564,7 +564,7 @@ def stream_index(spark, d):
     rows = source_files(_stream(spark, d, "part")).where("path like 'lib/%'")
     q = rows.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(stream.index_batch(f"{path}/out")).start()
     q.awaitTermination()
-    return stream.indexed(spark.read.parquet(f"{path}/out")).groupBy("path").agg(F.count("*").cast("int").alias("chunks"))
+    return stream.indexed(spark, f"{path}/out").groupBy("path").agg(F.count("*").cast("int").alias("chunks"))
 
 
 # Row steps

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -47,35 +47,64 @@ def latest_gauges(samples: DataFrame) -> DataFrame:
 
 
 def provider_states(calls: DataFrame) -> DataFrame:
-    """calls (provider, ts, ok): (provider, calls, failures, healthy) after each batch, by the rule of metrics.provider_health. Calls
-    of a batch count in order of time, batches in order of arrival."""
+    """calls (provider, ts, ok, and if there is such: id): (provider, calls, failures, healthy) after each batch, by the rule of
+    metrics.provider_health. Calls of a batch count in order of time, then id, batches in order of arrival."""
+    order = [c for c in ("ts", "id") if c in calls.columns]
 
     def keep(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, failed, healthy = state.get if state.exists else (0, 0, True)
-        rows = pd.concat(list(parts)).sort_values("ts", kind="stable")
+        rows = pd.concat(list(parts)).sort_values(order, kind="stable")
         for ok in rows["ok"]:
             n, failed = n + 1, failed + (not ok)
             healthy = True if ok else False if n >= 3 and failed / n > 0.5 else healthy
         state.update((n, failed, healthy))
         yield pd.DataFrame({"provider": [key[0]], "calls": [n], "failures": [failed], "healthy": [healthy]})
 
-    return calls.select("provider", "ts", "ok").groupBy("provider").applyInPandasWithState(keep, "provider string, calls long, failures long, healthy boolean", "n long, failed long, healthy boolean", "update", GroupStateTimeout.NoTimeout)
+    return calls.select("provider", *order, "ok").groupBy("provider").applyInPandasWithState(keep, "provider string, calls long, failures long, healthy boolean", "n long, failed long, healthy boolean", "update", GroupStateTimeout.NoTimeout)
 
 
 def index_batch(index: str, size: int = 1000, overlap: int = 200) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch of a stream of files (path, language, content): chunks of new and changed files are written to the folder
-    index/batch=n with their terms; a file's chunks of the last batch hold. A batch that comes again overwrites its own folder."""
+    """For foreachBatch of a stream of files (path, language, content, and if there are such: version, of any order, and deleted):
+    an upsert into the table of the folder index.
+
+    Each batch writes its own folders: files/batch=n, a row for each path, which is a tombstone where the file was deleted, and
+    chunks/batch=n, the chunks of its other files with their terms. Of several versions of a path in a batch the greatest
+    counts, of equal ones the one with the greatest hash. A batch that comes again overwrites what it wrote.
+    """
 
     def write(files: DataFrame, batch: int) -> None:
-        latest = changes.with_hash(files).dropDuplicates(["path", "hash"])
-        chunks = chunking.as_documents(chunking.hybrid(latest, extract.symbols(latest), size, overlap))
-        rows = chunks.join(latest.select("path", "language", "hash"), "path").withColumn("terms", search.terms(F.col("content")))
-        rows.write.mode("overwrite").parquet(f"{index.rstrip('/')}/batch={batch}")
+        given = lambda name, default: F.coalesce(F.col(name), default) if name in files.columns else default
+        rows = changes.with_hash(files.select("path", "language", "content", given("version", F.lit(0)).cast("long").alias("version"), given("deleted", F.lit(False)).alias("deleted")))
+        greatest = F.max_by(F.struct(*rows.columns), F.struct("version", "deleted", "hash"))
+        latest = rows.groupBy("path").agg(greatest.alias("d")).select("d.*").persist()
+        latest.select("path", "hash", "version", "deleted").write.mode("overwrite").parquet(f"{index.rstrip('/')}/files/batch={batch}")
+        here = latest.where("not deleted")
+        chunks = chunking.as_documents(chunking.hybrid(here, extract.symbols(here), size, overlap))
+        out = chunks.join(here.select("path", "language", "hash"), "path").withColumn("terms", search.terms(F.col("content")))
+        out.write.mode("overwrite").parquet(f"{index.rstrip('/')}/chunks/batch={batch}")
+        latest.unpersist()
 
     return write
 
 
-def indexed(index: DataFrame) -> DataFrame:
-    """The chunks that hold: those of the last batch of each path."""
-    last = index.groupBy("path").agg(F.max("batch").alias("batch"))
-    return index.join(last, ["path", "batch"], "left_semi")
+def _holding(spark: SparkSession, index: str) -> DataFrame:
+    """The last row of each path: of the greatest version, of equal ones that of the last batch."""
+    files = spark.read.parquet(f"{index.rstrip('/')}/files")
+    return files.groupBy("path").agg(F.max_by(F.struct(*files.columns), F.struct("version", "batch")).alias("l")).select("l.*")
+
+
+def indexed(spark: SparkSession, index: str) -> DataFrame:
+    """The chunks that hold: those of the last row of each path that is no tombstone."""
+    last = _holding(spark, index).where("not deleted").select("path", "batch")
+    return spark.read.parquet(f"{index.rstrip('/')}/chunks").join(last, ["path", "batch"], "left_semi")
+
+
+def compact(spark: SparkSession, index: str, into: str) -> None:
+    """What holds of index as a new table with one batch, numbered as the last; a stream may go on writing there.
+
+    Tombstones are kept with their version, so that an older version of a deleted file that comes late stays out.
+    """
+    files = spark.read.parquet(f"{index.rstrip('/')}/files")
+    last = files.agg(F.max("batch")).first()[0]
+    _holding(spark, index).drop("batch").write.mode("overwrite").parquet(f"{into.rstrip('/')}/files/batch={last}")
+    indexed(spark, index).drop("batch").write.mode("overwrite").parquet(f"{into.rstrip('/')}/chunks/batch={last}")

@@ -47,8 +47,10 @@ def graphs():
     yield [("a", "b"), ("b", "a"), ("b", "c1"), ("c1", "c2"), ("c2", "c3"), ("c3", "d"), ("d", "e"), ("e", "d"), ("e", "f"), ("f", "g"), ("x", "x"), ("a", "k"), ("k", "b")]
 
 
-@pytest.mark.parametrize("number", range(6))
-def test_components_and_depths_equal_plain_ones(spark, number):
+# one task finishes the whole graph, or contraction goes on to the end
+@pytest.mark.parametrize("number,local", [*((i, iterate.LOCAL_EDGES) for i in range(6)), (1, 0), (4, 0), (5, 0)])
+def test_components_and_depths_equal_plain_ones(spark, monkeypatch, number, local):
+    monkeypatch.setattr(iterate, "LOCAL_EDGES", local)
     edges = list(graphs())[number]
     table = spark.createDataFrame(edges, "source string, target string")
     parts, depth = plain(edges)
@@ -57,7 +59,8 @@ def test_components_and_depths_equal_plain_ones(spark, number):
     assert dict(iterate.depths(table, nodes).collect()) == depth | {"alone": 0}
 
 
-def test_a_long_ring(spark):
+def test_a_long_ring(spark, monkeypatch):
+    monkeypatch.setattr(iterate, "LOCAL_EDGES", 100)
     n = 20_000
     ring = spark.range(n).selectExpr("id as source", "(id + 1) % 20000 as target").union(spark.createDataFrame([(5, 30_000), (30_000, 30_001), (30_002, 7)], "source long, target long"))
     start = time.time()
@@ -68,7 +71,8 @@ def test_a_long_ring(spark):
     assert (row.first, row.length) == (0, n) and row.path == list(range(n))
 
 
-def test_a_long_chain(spark):
+def test_a_long_chain(spark, monkeypatch):
+    monkeypatch.setattr(iterate, "LOCAL_EDGES", 100)
     n = 5_000
     chain = spark.range(n).selectExpr("id as source", "id + 1 as target")
     start = time.time()

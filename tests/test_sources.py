@@ -115,3 +115,27 @@ def test_reviews_and_routes(spark):
     edges = spark.createDataFrame([("m", "e", "imports")], "source string, target string, type string")
     rules = spark.createDataFrame([("x", "core", 1)], "prefix string, category string, rank int")
     assert tuple(graph.external_usage(nodes, edges, rules).first()) == ("e", 1, "other")
+
+
+def test_index_stream_upserts_and_deletes(spark, tmp_path):
+    kinds = "path string, language string, content string, version long, deleted boolean"
+    make = lambda *rows: spark.createDataFrame([(p, "elixir", c, v, d) for p, c, v, d in rows], kinds)
+    one = make(("a.ex", "defmodule A do\n  def f(x), do: x\nend", 1, False), ("a.ex", "defmodule A2 do\n  def g(x), do: x\nend", 2, False), ("b.ex", "defmodule B do\nend", 1, False), ("c.ex", "defmodule C do\nend", 5, False))
+    two = make(("b.ex", None, 2, True), ("c.ex", "defmodule Old do\nend", 4, False), ("d.ex", "defmodule D do\nend", 1, False))
+    final = make(("a.ex", "defmodule A2 do\n  def g(x), do: x\nend", 2, False), ("c.ex", "defmodule C do\nend", 5, False), ("d.ex", "defmodule D do\nend", 1, False))
+    steps_, whole, small = (str(tmp_path / n) for n in ("steps", "whole", "small"))
+    for n, batch in ((0, one), (1, two), (1, two), (0, one)):  # both come again
+        stream.index_batch(steps_)(batch, n)
+    stream.index_batch(whole)(final, 0)
+    of = lambda folder: rows(stream.indexed(spark, folder), "path", "content", "hash")
+    assert of(steps_) == of(whole) and {p for p, _, _ in of(steps_)} == {"a.ex", "c.ex", "d.ex"} and len(set(of(steps_))) == len(of(steps_))
+    stream.compact(spark, steps_, small)
+    assert of(small) == of(whole)
+    stream.index_batch(small)(make(("b.ex", "defmodule Late do\nend", 1, False), ("d.ex", None, 3, True)), 2)
+    assert {p for p, _, _ in of(small)} == {"a.ex", "c.ex"}
+
+
+def test_steps_see_nulls_as_none_and_whole_numbers_as_int(spark):
+    df = spark.createDataFrame([(1, 2.0, "x"), (None, None, None), (2**60 + 1, float("nan"), "y")], "n long, v double, s string")
+    step = lambda r: {"x": f"{r['n']!r} {type(r['n']).__name__} {r['v']!r} {r['s']!r}"}
+    assert rows(steps.apply_step(df, step, "x string")) == [("1 int 2.0 'x'",), (f"{2**60 + 1} int nan 'y'",), ("None NoneType None None",)]
