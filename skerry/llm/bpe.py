@@ -5,9 +5,9 @@ more than once are folded once, the most frequent of them, up to a stated number
 task reads; any other piece is folded where it stands. Both give the same ids, so the size of the table changes only the
 time. Texts are never shuffled.
 
-The fold: a word's state is the array of its byte parts and the array of the ranks of neighbouring parts; each step
-merges the leftmost pair of least rank. Ranks are looked up in a literal array of slots by the checksum of the bytes. It
-takes time in the square of a word's length, so words of over LONG bytes are merged with a heap in a pandas UDF.
+The fold: a word's state is the array of the ends of its parts, at first all bytes; each step drops the end inside the
+leftmost pair of least rank. Ranks are looked up in a literal array of slots by the checksum of the bytes. It takes time in
+the square of a word's length, so words of over LONG bytes are merged with a heap in a pandas UDF.
 
 Null is the empty text, which has no ids. A text's pieces are held by one task.
 """
@@ -77,21 +77,17 @@ def _rank(table: Column, binary: Column) -> Column:
 
 def fold(word: Column, table: Column) -> Column:
     """The ids of one word (binary, not empty): as it stands if it has a rank, else its bytes with ranked merges folded over them."""
-    n, none = F.octet_length(word), F.array().cast("array<int>")
-    parts = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, i, F.lit(1)))
-    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: _rank(table, F.substring(word, i, F.lit(2))))).otherwise(none)
+    n = F.octet_length(word)
+    part = lambda ends, i, width: _rank(table, F.substring(word, F.get(ends, i) + 1, F.get(ends, i + width) - F.get(ends, i)))
 
-    def merged(s: Column, i: Column, part: Column) -> Column:
-        p, r = s["p"], s["r"]
-        left = F.when(i > 1, F.concat(F.slice(r, F.lit(1), i - 2), F.array(_rank(table, F.concat(F.get(p, i - 2), part))))).otherwise(none)
-        right = F.when(i < F.size(r), F.concat(F.array(_rank(table, F.concat(part, F.get(p, i + 1)))), F.slice(r, i + 2, F.size(r)))).otherwise(none)
-        return F.struct(F.concat(F.slice(p, F.lit(1), i - 1), F.array(part), F.slice(p, i + 2, F.size(p))).alias("p"), F.concat(left, right).alias("r"))
+    def step(ends: Column, _: Column) -> Column:
+        pairs = F.transform(F.slice(ends, F.lit(1), F.size(ends) - 2), lambda _, i: part(ends, i, 2))
+        without = lambda i: F.filter(ends, lambda _, j: j != i)
+        merged = lambda ranks: _let(F.array_min(ranks), lambda least: F.when(least < NONE, _let(F.array_position(ranks, least).cast("int"), without)).otherwise(ends))
+        return F.when(F.size(ends) > 2, _let(pairs, merged)).otherwise(ends)
 
-    def step(s: Column, _: Column) -> Column:
-        place = lambda least: _let(F.array_position(s["r"], least).cast("int"), lambda i: _let(F.concat(F.get(s["p"], i - 1), F.get(s["p"], i)), lambda part: merged(s, i, part)))
-        return _let(F.coalesce(F.array_min(s["r"]), F.lit(NONE)), lambda least: F.when(least == NONE, s).otherwise(place(least)))
-
-    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.struct(parts.alias("p"), pairs.alias("r")), step, lambda s: F.transform(s["p"], lambda part: _rank(table, part)))
+    read = lambda ends: F.transform(F.slice(ends, F.lit(1), F.size(ends) - 1), lambda _, i: part(ends, i, 1))
+    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.sequence(F.lit(0), n), step, read)
     return _let(_rank(table, word), lambda whole: F.when(whole < NONE, F.array(whole)).otherwise(folded))
 
 
