@@ -1,20 +1,22 @@
 """Ranked keyword search, vector search, routing and contexts for many queries at once.
 
-Queries come in blocks of a bounded size. A block is sent to all tasks; each task scores its documents by a matrix product
+Documents are split into terms once, into a stored index that any number of searches read. Queries come in blocks of a bounded size. A block is sent to all tasks; each task scores its documents by a matrix product
 and keeps the best of each query, so only these are shuffled.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skerry.functions.text import terms
 
-from .common import is_small, small_side, stored
+from .common import is_small, shared_path, small_side, stored
 
 #: Queries of a block; bytes of a block's term matches that may be sent to tasks; documents scored at a time.
 QUERY_BLOCK, MATCH_BYTES, DOC_BLOCK = 256, 256 << 20, 256
@@ -41,6 +43,36 @@ def top(scores: DataFrame, limit: int, by: str = "query_id", id_col: str = "id")
     return scores.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
+@dataclass(frozen=True)
+class Index:
+    """A stored index: documents (their columns but the text, id, and t: the distinct terms), vocabulary (term, df)."""
+
+    documents: DataFrame
+    vocabulary: DataFrame
+    total: int
+
+
+def build(docs: DataFrame, folder: str | None = None, keep: Column | None = None, id_col: str = "id", text_col: str = "content") -> Index:
+    """Writes the index of docs to folder (else to a new one in the shared folder); texts are split into terms once. keep adds `kept`,
+    whether it holds, for conditions that need the text."""
+    folder = (folder or shared_path(docs.sparkSession, "index")).rstrip("/")
+    docs.withColumns({"t": terms(F.col(text_col)), "id": F.col(id_col), **({} if keep is None else {"kept": keep})}).drop(text_col).write.mode("overwrite").parquet(f"{folder}/documents")
+    documents = docs.sparkSession.read.parquet(f"{folder}/documents")
+    documents.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{folder}/vocabulary")
+    return opened(docs.sparkSession, folder)
+
+
+def opened(spark: SparkSession, folder: str) -> Index:
+    """The index that build wrote to folder."""
+    documents = spark.read.parquet(f"{folder.rstrip('/')}/documents")
+    return Index(documents, spark.read.parquet(f"{folder.rstrip('/')}/vocabulary"), documents.count())
+
+
+def grams(text: Column, size: int) -> Column:
+    """The distinct substrings of so many characters."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+
+
 def substrings(text: Column, most: Column) -> Column:
     """The distinct substrings of two to `most` characters: "contains" becomes an equality join."""
     n = F.length(text)
@@ -48,6 +80,25 @@ def substrings(text: Column, most: Column) -> Column:
     return F.when(n < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n - 1), at))))
 
 
+def containing(words: DataFrame, asked: DataFrame) -> DataFrame:
+    """words (term) and asked (q), each once, all of two characters or more: the pairs (term, q) of which one holds the other and is longer.
+
+    A word that is held shares each of its grams with the one that holds it. So q meets the terms that have its rarest gram
+    of three characters (of two, if it is so short), and a term meets the q that have its first one; then the strings
+    themselves are compared. A word costs as many rows as it has distinct grams.
+    """
+    own = lambda c: F.explode(F.when(F.length(c) < 3, grams(F.col(c), 2)).otherwise(grams(F.col(c), 3)))
+    both = lambda c: F.explode(F.concat(grams(F.col(c), 2), grams(F.col(c), 3)))
+    keys = stored(asked.select("q", own("q").alias("gram")), "query-grams")
+    spelt = words.select("term", both("term").alias("gram"))
+    counts = spelt.join(small_side(keys.select("gram").distinct()), "gram", "left_semi").groupBy("gram").count()
+    rarest = keys.join(counts, "gram").groupBy("q").agg(F.min_by("gram", F.struct("count", "gram")).alias("gram"))
+    inside = spelt.join(small_side(stored(rarest, "rarest")), "gram").where(F.contains("term", "q"))
+    first = words.select("term", F.substring("term", 1, 3).alias("gram"))
+    around = first.join(small_side(stored(asked.select("q", both("q").alias("gram")), "query-grams")), "gram").where(F.contains("q", "term"))
+    return inside.select("term", "q").union(around.select("term", "q")).where("term <> q")
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and place of the best `limit` columns of each row, ties by id; columns of -inf are none."""
     if scores.shape[1] > 4 * limit:  # ties with the last of the best stay in
@@ -98,41 +149,36 @@ def _scorer(match: dict[str, np.ndarray], queries: pa.Array, has: np.ndarray, li
     return run
 
 
-def _matches(docs_terms: DataFrame, asked: DataFrame, partial: bool) -> DataFrame:
+def _matches(index: Index, asked: DataFrame, partial: bool) -> DataFrame:
     """(term, q, idf): vocabulary terms and the query terms they meet; idf only where they are equal."""
-    total = docs_terms.count()
-    df = stored(docs_terms.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "vocabulary")
-    distinct = stored(asked.select("q").distinct(), "query-terms")
-    idf = F.log(F.lit(float(total)) / F.greatest("df", F.lit(1))) + 1
+    df, distinct = index.vocabulary, stored(asked.select("q").distinct(), "query-terms")
+    idf = F.log(F.lit(float(index.total)) / F.greatest("df", F.lit(1))) + 1
     same = df.join(small_side(distinct), F.col("term") == F.col("q")).select("term", "q", idf.alias("idf"))
     if not partial:
         return stored(same, "matches")
-    longest = distinct.agg(F.max(F.length("q"))).first()[0] or 0
-    inside = df.select("term", F.explode(substrings(F.col("term"), F.lit(longest))).alias("q")).join(small_side(distinct), "q", "left_semi")
-    around = distinct.select("q", F.explode(substrings(F.col("q"), F.length("q"))).alias("term")).join(df.select("term"), "term", "left_semi")
-    like = inside.select("term", "q").unionByName(around.select("term", "q")).where("term <> q").distinct()
-    return stored(same.unionByName(like.withColumn("idf", F.lit(None).cast("double"))), "matches")
+    return stored(same.unionByName(containing(df.select("term"), distinct).withColumn("idf", F.lit(None).cast("double"))), "matches")
 
 
-def scores(docs: DataFrame, queries: DataFrame, limit: int | None = None, min_score: float = 0.0, where: Column | None = None, partial: bool = True, digits: int | None = None, id_col: str = "id", text_col: str = "content", query_id: str = "query_id", query_text: str = "query") -> DataFrame:
+def scores(docs: DataFrame | None, queries: DataFrame, limit: int | None = None, min_score: float = 0.0, where: Column | None = None, partial: bool = True, digits: int | None = None, id_col: str = "id", text_col: str = "content", query_id: str = "query_id", query_text: str = "query", index: Index | None = None) -> DataFrame:
     """(query_id, id, score) of all documents (for which `where` holds) with a score above min_score; with a limit, at least
-    the best so many of each query. digits: scores are rounded before they are compared."""
-    spark = docs.sparkSession
-    of = terms(F.col(text_col))
-    kept = docs if where is None else docs.where(where)
-    rows = stored(docs.select(of.alias("t")), "terms")
+    the best so many of each query. digits: scores are rounded before they are compared. With an index docs are not read, and
+    `where` is a condition on its documents."""
+    spark = queries.sparkSession
+    if index is None:
+        index, where = build(docs, keep=where, id_col=id_col, text_col=text_col), None if where is None else F.col("kept")
+    kept = (index.documents if where is None else index.documents.where(where)).select("id", "t")
     asked = stored(queries.select(F.col(query_id).alias("query_id"), F.explode(terms(F.col(query_text))).alias("q")), "asked")
-    match = _matches(rows, asked, partial).withColumn("h", F.xxhash64("term"))
-    hashed = stored(kept.select(F.col(id_col).alias("id"), F.transform(of, lambda t: F.xxhash64(t)).alias("h")), "hashed")
+    match = _matches(index, asked, partial).withColumn("h", F.xxhash64("term"))
+    hashed = kept.select("id", F.transform("t", lambda t: F.xxhash64(t)).alias("h"))
     n = asked.select("query_id").distinct().count()
     blocks = max(1, -(-n // QUERY_BLOCK))
     schema = T.StructType([T.StructField("query_id", asked.schema["query_id"].dataType), T.StructField("id", hashed.schema["id"].dataType), T.StructField("score", T.DoubleType())])
     out = spark.createDataFrame([], schema)
     for b in range(blocks):
         own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        met = match.join(small_side(own.select("q").distinct()), "q", "left_semi")
+        met = match.join(small_side(own.select("q").distinct()), "q", "left_semi") if blocks > 1 else match
         if 24 * met.count() > MATCH_BYTES:
-            out = out.unionByName(_joined(kept, own, match, min_score, digits, of, id_col))
+            out = out.unionByName(_joined(kept, own, match, min_score, digits))
             continue
         pairs, words = own.toArrow(), met.select("h", "q", "idf").toArrow()
         q_names = pa.compute.unique(pairs["q"].combine_chunks())
@@ -147,27 +193,28 @@ def scores(docs: DataFrame, queries: DataFrame, limit: int | None = None, min_sc
     return out
 
 
-def _joined(docs: DataFrame, asked: DataFrame, match: DataFrame, min_score: float, digits: int | None, of: Column, id_col: str) -> DataFrame:
-    """The same scores by joins only, for queries whose matches are too many to send to tasks."""
-    post = docs.select(F.col(id_col).alias("id"), of.alias("t")).select("id", F.size("t").alias("n"), F.explode("t").alias("term"))
+def _joined(docs: DataFrame, asked: DataFrame, match: DataFrame, min_score: float, digits: int | None) -> DataFrame:
+    """The same scores of docs (id, t) by joins only, for queries whose matches are too many to send to tasks."""
+    post = docs.select("id", F.size("t").alias("n"), F.explode("t").alias("term"))
     per = post.join(match, "term").groupBy("id", "q").agg(F.max(F.col("idf") / F.col("n")).alias("w"), F.count_if(F.col("idf").isNull()).alias("k"))
     out = per.select("id", "q", F.coalesce("w", F.col("k") * 0.1).alias("w")).join(asked, "q").groupBy("query_id", "id").agg(F.sum("w").alias("score"))
     out = out.withColumn("score", F.round("score", digits)) if digits is not None else out
     return out.where(F.col("score") > min_score).select("query_id", "id", "score")
 
 
-def search(docs: DataFrame, queries: DataFrame, limit: int = 10, min_score: float = 0.0, where: Column | None = None, filter_first: bool = True, partial: bool = True, digits: int | None = None, id_col: str = "id", text_col: str = "content", query_id: str = "query_id", query_text: str = "query") -> DataFrame:
-    """(query_id, id, score, rank) for all queries.
+def search(docs: DataFrame | None, queries: DataFrame, limit: int = 10, min_score: float = 0.0, where: Column | None = None, filter_first: bool = True, partial: bool = True, digits: int | None = None, id_col: str = "id", text_col: str = "content", query_id: str = "query_id", query_text: str = "query", index: Index | None = None) -> DataFrame:
+    """(query_id, id, score, rank) for all queries, from docs or from an index of them.
 
     A query term in the document scores (1 / terms of the document) * (ln(N / df) + 1); one that is not scores 0.1 for
     each document term that holds it or is held by it. Scores above min_score count. Terms are matched within the
-    vocabulary first, by equality of substrings. filter_first=False applies `where` after the limit.
+    vocabulary first, by their grams. filter_first=False applies `where` after the limit.
     """
     first = where if filter_first else None
-    out = top(scores(docs, queries, limit, min_score, first, partial, digits, id_col, text_col, query_id, query_text), limit)
+    out = top(scores(docs, queries, limit, min_score, first, partial, digits, id_col, text_col, query_id, query_text, index), limit)
     if where is None or filter_first:
         return out
-    return out.join(docs.where(where).select(F.col(id_col).alias("id")), "id", "left_semi").select("query_id", "id", "score", "rank")
+    passed = docs.where(where).select(F.col(id_col).alias("id")) if index is None else index.documents.where(where).select("id")
+    return out.join(passed, "id", "left_semi").select("query_id", "id", "score", "rank")
 
 
 def usages(lines: DataFrame, docs: DataFrame, names: DataFrame, limit: int = 10, id_col: str = "id", text_col: str = "content") -> tuple[DataFrame, DataFrame]:

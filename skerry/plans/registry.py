@@ -34,9 +34,19 @@ def _asked(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+_indexes: dict[tuple[str, str], search.Index] = {}
+
+
+def _index(spark, d):
+    """The index of documents, built by the first query of a session that needs it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _indexes:
+        _indexes[key] = search.build(table(spark, d, "documents"), id_col="doc_id", text_col="text")
+    return _indexes[key]
+
+
 def _ranked(spark, d, limit, **more):
-    docs = table(spark, d, "documents")
-    return search.search(docs, _asked(spark, d), limit=limit, digits=6, id_col="doc_id", text_col="text", **more)
+    return search.search(None, _asked(spark, d), limit=limit, digits=6, index=_index(spark, d), **more)
 
 
 @query(_SEARCH + "SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM sums WHERE score > 0 QUALIFY rank <= 10")
@@ -475,7 +485,7 @@ _FIRST = "FROM (SELECT item_id, split_part(text, ' ', 1) AS text FROM benchmark)
 
 def _hits(spark, d, limit, asked=None):
     docs = table(spark, d, "documents")
-    out = search.search(docs, _asked(spark, d) if asked is None else asked, limit=limit, digits=6, id_col="doc_id", text_col="text")
+    out = search.search(None, _asked(spark, d) if asked is None else asked, limit=limit, digits=6, index=_index(spark, d))
     rows = docs.select(F.col("doc_id").alias("id"), F.concat_ws("/", "source", "doc_id").alias("path"), F.lit(None).cast("string").alias("relative_path"), F.lit(1).alias("start_line"), F.lit(None).cast("int").alias("end_line"), F.col("text").alias("content"), F.col("lang").alias("language"), F.lit("text").alias("type"), F.col("source").alias("name"))
     return out.join(rows, "id")
 

@@ -139,3 +139,24 @@ def test_steps_see_nulls_as_none_and_whole_numbers_as_int(spark):
     df = spark.createDataFrame([(1, 2.0, "x"), (None, None, None), (2**60 + 1, float("nan"), "y")], "n long, v double, s string")
     step = lambda r: {"x": f"{r['n']!r} {type(r['n']).__name__} {r['v']!r} {r['s']!r}"}
     assert rows(steps.apply_step(df, step, "x string")) == [("1 int 2.0 'x'",), (f"{2**60 + 1} int nan 'y'",), ("None NoneType None None",)]
+
+
+def test_containing_equals_comparing_all_pairs(spark):
+    import random
+
+    pick = random.Random(2)
+    words = sorted({"".join(pick.choice("abc") for _ in range(pick.randrange(2, 9))) for _ in range(150)} | {"ab", "ünal", "na", "naüna"})
+    asked = words[::3] + ["zz", "abcabcabcabc", "xünalx"]
+    got = search.containing(spark.createDataFrame([(w,) for w in words], "term string"), spark.createDataFrame([(w,) for w in asked], "q string"))
+    assert rows(got) == sorted((w, q) for w in words for q in asked if w != q and (w in q or q in w))
+
+
+def test_a_stored_index_gives_what_documents_give(spark, tmp_path):
+    d = spark.createDataFrame([(i, f"user{i % 3} item alpha{i % 5} us", "en" if i % 2 else "de") for i in range(40)] + [(99, None, "en"), (98, "x" * 1_000_000 + " item", "en")], "doc int, body string, lang string")
+    q = spark.createDataFrame([(1, "user us"), (2, "alpha1 item"), (3, "")], "query_id int, query string")
+    index = search.build(d, str(tmp_path / "index"), id_col="doc", text_col="body")
+    again = search.opened(spark, str(tmp_path / "index"))
+    for where in (None, F.col("lang") == "en"):
+        want = rows(search.search(d, q, 5, where=where, digits=9, id_col="doc", text_col="body"))
+        assert want and rows(search.search(None, q, 5, where=where, digits=9, index=index)) == want == rows(search.search(None, q, 5, where=where, digits=9, index=again))
+    assert rows(search.search(None, q, 5, where=F.col("lang") == "en", filter_first=False, index=again)) == rows(search.search(d, q, 5, where=F.col("lang") == "en", filter_first=False, id_col="doc", text_col="body"))
