@@ -1,9 +1,10 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing extra columns, for every operator."""
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from skerry.llm import chargrams, common, decontaminate, jaccard, katz, langid, licences, lines, mixing, sharding, tokens, toxicity
+from skerry.llm import bpe, chargrams, common, decontaminate, jaccard, katz, langid, licences, lines, mixing, sharding, tokens, toxicity
 
 #: Names that operators use inside, as extra columns.
 CLASHES = ["id", "row", "n", "key", "text_a", "h1", "_n", "_row", "_key", "_removed", "_h", "_e", "_", "_domain", "_lang", "_source", "_epoch", "whole", "cut", "budget", "tokens", "term", "component", "part", "_id", "_text", "_contaminated", "score_", "path", "dir", "shard_"]
@@ -18,7 +19,9 @@ def tree():
     return {"domain": F.lit("d"), "lang": F.col("lang"), "source": F.col("source")}
 
 
+RANKS = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 OPERATORS = {
+    "bpe": lambda s, d: bpe.encode(d, RANKS, public_tokenizers.PATTERN),
     "katz": lambda s, d: katz.katz_scores(d, F.lit(True)).scores,
     "mix": lambda s, d: mixing.mix(d, tree()),
     "shards": lambda s, d: sharding.assign_shards(d, 4),
@@ -32,7 +35,7 @@ OPERATORS = {
     "clean": lambda s, d: decontaminate.clean(d, s.createDataFrame([("i", "one two three")], "item_id string, text string")),
 }
 ROWS = [(1, "one two three\nfour", "en", "s1"), (1, "one two three\nfour", "en", "s1"), (2, None, None, None), (None, "", "en", None), (None, None, None, "s2"), (3, "eins zwei drei vier", "de", "s2"), (4, "ONE two three\nfour", "en", "s1"), (5, "😀 12 !", None, "s1")]
-KEEPS = {"shards", "language", "lines", "toxicity", "clean", "mix"}
+KEEPS = {"bpe", "shards", "language", "lines", "toxicity", "clean", "mix"}
 
 
 @pytest.mark.parametrize("name", list(OPERATORS))
