@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import iterate
-from .common import small_side
+from .common import small_side, stored
 
 IMPORTS = ("imports", "uses", "alias")
 
@@ -174,13 +174,28 @@ def transitive_callers(edges: DataFrame, starts: DataFrame, max_depth: int = 50)
     return iterate.reach(back, starts, max_depth - 1)
 
 
-def enclosing(symbols: DataFrame, marks: DataFrame, key: str = "path", line: str = "line", name: str = "name", inclusive: bool = False) -> DataFrame:
-    """Backward as-of join: symbols with `parent`, the last mark before their line (or at it) in the same file."""
-    m = marks.select(key, F.col(line), F.col(name).alias("_m"), F.lit(0 if inclusive else 1).alias("_s"), F.lit(None).alias("_row"))
-    s = symbols.withColumn("_row", F.struct(*symbols.columns)).select(key, line, F.lit(None).cast(marks.schema[name].dataType).alias("_m"), F.lit(1 if inclusive else 0).alias("_s"), "_row")
-    w = Window.partitionBy(key).orderBy(line, "_s").rowsBetween(Window.unboundedPreceding, 0)
-    both = m.withColumn("_row", F.lit(None).cast(s.schema["_row"].dataType)).unionByName(s)
-    return both.withColumn("parent", F.last("_m", ignorenulls=True).over(w)).where("_row is not null").select("_row.*", "parent")
+def enclosing(symbols: DataFrame, marks: DataFrame, key: str = "path", line: str = "line", name: str = "name", inclusive: bool = False, ranges: int | None = None) -> DataFrame:
+    """Backward as-of join: symbols with `parent`, the last mark before their line (or at it) in the same file; of marks on one
+    line the one with the greatest name. Symbols without a file or line, or with no mark before, have none.
+
+    Both sides are laid out in ranges of file and line (by default as many as shuffle partitions), and each range starts with the
+    last mark of the ranges before it, so a file that holds most rows is many tasks.
+    """
+    spark = symbols.sparkSession
+    row = F.struct(*[F.col(f"`{c}`") for c in symbols.columns])
+    s = symbols.select(F.col(key).alias("_k"), F.col(line).alias("_at"), F.lit(1 if inclusive else 0).alias("_s"), F.lit(None).cast(marks.schema[name].dataType).alias("_m"), row.alias("_row"))
+    m = marks.where(F.col(key).isNotNull() & F.col(line).isNotNull() & F.col(name).isNotNull())
+    m = m.select(F.col(key).alias("_k"), F.col(line).alias("_at"), F.lit(0 if inclusive else 1).alias("_s"), F.col(name).alias("_m"), F.lit(None).cast(s.schema["_row"].dataType).alias("_row"))
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    both = m.unionByName(s).repartitionByRange(ranges, "_k", "_at", "_s").withColumn("_part", F.spark_partition_id())
+    both = stored(both, "asof")  # the ranges must not change when a task is run again
+    ends = both.groupBy("_k", "_part").agg(F.max_by("_m", F.when(F.col("_m").isNotNull(), F.struct("_at", "_s", "_m"))).alias("_m"))
+    before = F.last("_m", ignorenulls=True).over(Window.partitionBy("_k").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    carried = ends.select("_k", "_part", before.alias("_c")).where("_c is not null")  # at most one file a range goes on from the range before
+    w = Window.partitionBy("_k", "_part").orderBy("_at", "_s", "_m").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_own", F.last("_m", ignorenulls=True).over(w)).where("_row is not null")
+    found = found.join(small_side(stored(carried, "asof-ends")), ["_k", "_part"], "left")
+    return found.select("_row.*", F.coalesce("_own", "_c").alias("parent"))
 
 
 def functions_over(nodes: DataFrame, edges: DataFrame, limit: int = 10, score: Column | None = None) -> DataFrame:

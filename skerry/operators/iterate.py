@@ -10,10 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import stored
+from .common import is_small, stored
 
 #: Edges of a contracted graph that one task may finish; results are the same for any number.
 LOCAL_EDGES = 100_000
@@ -34,20 +36,83 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return found.where("distance > 0")
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 10) -> DataFrame:
-    """(from, to, path): the first shortest path (by node names) of at most max_depth nodes."""
-    edges = edges.select("source", "target").distinct()
-    front = stored(pairs.select("from", "to", F.col("from").alias("node"), F.array("from").alias("path")).distinct())
-    seen, done = front.select("from", "to", "node"), front.where("node = to")
-    for _ in range(max_depth - 1):
-        open_ = front.join(done.select("from", "to"), ["from", "to"], "left_anti")
-        step = open_.join(edges, F.col("node") == F.col("source")).select("from", "to", F.col("target").alias("node"), F.concat("path", F.array("target")).alias("path"))
-        step = step.join(seen, ["from", "to", "node"], "left_anti").groupBy("from", "to", "node").agg(F.min("path").alias("path"))
-        front = stored(step)
-        if front.isEmpty():
+def _paths_in_tasks(edges: DataFrame, pairs: DataFrame, max_depth: int) -> DataFrame:
+    """Paths for few edges: these go to all tasks, which search from their own starts."""
+    own = edges.where("source is not null and target is not null").toArrow()
+    sources, targets = own["source"].to_pylist(), own["target"].to_pylist()
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        onward: dict = {}
+        for a, b in sorted(zip(sources, targets, strict=True)):
+            onward.setdefault(a, []).append(b)
+        for part in parts:
+            ends: dict = {}
+            for a, b in zip(part["from"].to_pylist(), part["to"].to_pylist(), strict=True):
+                ends.setdefault(a, set()).add(b)
+            for start, left in ends.items():
+                before, front, found = {start: None}, [start], []
+                for n in range(max_depth):  # a front is in the order of its first paths, so the first to reach a node gives its first path
+                    found += left.intersection(front)
+                    left = left.difference(front)
+                    if not left or not front or n == max_depth - 1:
+                        break
+                    reached = []
+                    for node in front:
+                        for other in onward.get(node, ()):
+                            if other not in before:
+                                before[other] = node
+                                reached.append(other)
+                    front = reached
+                paths = []
+                for node in found:
+                    path = [node]
+                    while path[-1] != start:
+                        path.append(before[path[-1]])
+                    paths.append(path[::-1])
+                kind = part["from"].type
+                yield pa.RecordBatch.from_arrays([pa.array([start] * len(found), kind), pa.array(found, part["to"].type), pa.array(paths, pa.list_(kind))], names=["from", "to", "path"])
+
+    types = T.StructType([T.StructField("from", pairs.schema["from"].dataType), T.StructField("to", pairs.schema["to"].dataType), T.StructField("path", T.ArrayType(pairs.schema["from"].dataType))])
+    return pairs.where("from is not null and to is not null").repartition("from").mapInArrow(run, types)
+
+
+def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 10, local: int = LOCAL_EDGES) -> DataFrame:
+    """(from, to, path): the first shortest path (by node names) of at most max_depth nodes. A null node has no path.
+
+    At most `local` edges of few bytes go to all tasks. With more of them:
+
+    Two fronts, onward from the distinct starts and back from the distinct ends, grow by turns, the smaller one next. A pair whose
+    distance is n is found when both together have gone n steps. A node carries the first path of its own half only, which
+    all pairs of that start or end share; a start or end whose pairs are all found grows no further.
+    """
+    edges = stored(edges.select("source", "target").distinct(), "edges")
+    if edges.count() <= local and is_small(edges):
+        return _paths_in_tasks(edges, pairs.select("from", "to").distinct(), max_depth)
+    left = pairs = stored(pairs.select("from", "to").distinct(), "pairs")
+    steps = {"from": edges.toDF("node", "next"), "to": edges.select(F.col("target").alias("node"), F.col("source").alias("next"))}
+    longer = {"from": F.concat("path", F.array("next")), "to": F.concat(F.array("next"), "path")}
+    fronts = {s: stored(pairs.select(F.col(s).alias("end"), F.col(s).alias("node"), F.array(s).alias("path")).distinct(), "front") for s in steps}
+    seen = {s: fronts[s].select("end", "node") for s in steps}
+    sizes, open_, found = {s: fronts[s].count() for s in steps}, pairs.count(), None
+    for n in range(max_depth):
+        if n:
+            side = min(steps, key=sizes.get)
+            active = left.select(F.col(side).alias("end")).distinct()
+            grown = fronts[side].join(active, "end", "left_semi").join(steps[side], "node").select("end", F.col("next").alias("node"), longer[side].alias("path"))
+            fronts[side] = stored(grown.join(seen[side], ["end", "node"], "left_anti").groupBy("end", "node").agg(F.min("path").alias("path")), "front")
+            sizes[side] = fronts[side].count()
+            if not sizes[side]:
+                break
+            seen[side] = seen[side].union(fronts[side].select("end", "node"))
+        onward, back = fronts["from"].toDF("from", "node", "_onward"), fronts["to"].toDF("to", "node", "_back")
+        whole = F.concat("_onward", F.slice("_back", F.lit(2), F.size("_back")))
+        met = stored(left.join(onward, "from").join(back, ["to", "node"]).groupBy("from", "to").agg(F.min(whole).alias("path")), "met")
+        found = met if found is None else found.union(met)
+        open_ -= met.count()
+        if not open_:
             break
-        seen, done = seen.union(front.select("from", "to", "node")), done.union(front.where("node = to"))
-    return done.select("from", "to", "path")
+        left = pairs.join(found.select("from", "to"), ["from", "to"], "left_anti")
+    return found.select("from", "to", "path")
 
 
 def follow(pointers: DataFrame, merge: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:

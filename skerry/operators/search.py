@@ -217,11 +217,16 @@ def search(docs: DataFrame | None, queries: DataFrame, limit: int = 10, min_scor
     return out.join(passed, "id", "left_semi").select("query_id", "id", "score", "rank")
 
 
+def usage_hits(docs: DataFrame | None, names: DataFrame, limit: int = 10, digits: int | None = None, id_col: str = "id", text_col: str = "content", index: Index | None = None) -> DataFrame:
+    """names (symbol): the hits (query_id: the symbol) of the search for usages of each."""
+    asked = names.select(F.col("symbol").alias("query_id"), F.format_string("usage of %s OR reference to %s OR calls to %s", "symbol", "symbol", "symbol").alias("query"))
+    return search(docs, asked, limit, digits=digits, id_col=id_col, text_col=text_col, index=index)
+
+
 def usages(lines: DataFrame, docs: DataFrame, names: DataFrame, limit: int = 10, id_col: str = "id", text_col: str = "content") -> tuple[DataFrame, DataFrame]:
     """names (symbol): hits of the search for usages of each symbol, and (symbol, id, line) where lines (id, line, text) hold it as a word."""
-    asked = names.select(F.col("symbol").alias("query_id"), F.format_string("usage of %s OR reference to %s OR calls to %s", "symbol", "symbol", "symbol").alias("query"))
     words = lines.select("id", "line", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\w+)"), 1))).alias("symbol"))
-    return search(docs, asked, limit, id_col=id_col, text_col=text_col), words.join(small_side(names.select("symbol").distinct()), "symbol").select("symbol", "id", "line")
+    return usage_hits(docs, names, limit, id_col=id_col, text_col=text_col), words.join(small_side(names.select("symbol").distinct()), "symbol").select("symbol", "id", "line")
 
 
 def union_of_hits(hits: DataFrame, per_query: int, cap: int) -> DataFrame:
@@ -356,6 +361,23 @@ def route(queries: DataFrame, collections: DataFrame, limit: int = 3, query_id:
     return top(route_scores(queries, collections, query_id, query_text), limit)
 
 
+def mean_vectors(rows: DataFrame, by: str, vector_col: str) -> DataFrame:
+    """(by, vector_col): the mean of the vectors of each group, by component, so that a task holds sums and no vectors."""
+    parts = rows.select(by, F.posexplode(vector_col).alias("_i", "_x")).groupBy(by, "_i").agg(F.avg("_x").alias("_x"))
+    ordered = F.array_sort(F.collect_list(F.struct("_i", "_x")))  # as long as a vector
+    return parts.groupBy(by).agg(F.transform(ordered, lambda c: c["_x"]).alias(vector_col))
+
+
+def vector_scores(queries: DataFrame, collections: DataFrame, query_id: str = "query_id", vector_col: str = "vector", digits: int | None = None) -> DataFrame:
+    """(query_id, id, score): the cosine of each query to each collection (id, vector_col). Collections are a short list; a longer
+    one is joined without broadcast. Vectors that are null, of another length or of zeros give nothing."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(vector_col).cast("array<double>").alias("_q"))
+    met = q.crossJoin(small_side(collections.select("id", F.col(vector_col).cast("array<double>").alias("_c")))).where(F.size("_q") == F.size("_c"))
+    score = dot(F.col("_q"), F.col("_c")) / F.nullif(F.sqrt(dot(F.col("_q"), F.col("_q"))) * F.sqrt(dot(F.col("_c"), F.col("_c"))), F.lit(0.0))
+    return met.select("query_id", "id", (F.round(score, digits) if digits is not None else score).alias("score")).where("score is not null")
+
+
 def hybrid(keyword: DataFrame, semantic: DataFrame | None, limit: int = 3) -> DataFrame:
     """(query_id, id, score, rank): half the keyword score and half the semantic one; without semantic scores the keyword score."""
     if semantic is None:

@@ -10,7 +10,7 @@ from skerry.operators import changes, chunking, classify, evaluate, graph, itera
 from skerry.streaming import metrics as stream
 
 from . import code, reports  # noqa: F401
-from .base import ORACLES, QUERIES, query, table  # noqa: F401
+from .base import FILES_SQL, IMPORTS_SQL, ORACLES, QUERIES, query, table  # noqa: F401
 
 # Search
 
@@ -365,6 +365,13 @@ def reach_callers(spark, d):
     return graph.transitive_callers(edges, nodes, 4)
 
 
+@query(_STARTS.format(_TREE, "target", "source", 49))
+def reach_callers_deep(spark, d):
+    """All callers at the default depth; the tree ends before it."""
+    nodes, edges = _parts(spark, d, True)
+    return graph.transitive_callers(edges, nodes)
+
+
 @query(f"WITH RECURSIVE {_TREE}, r AS (SELECT p_partkey AS f, p_partkey AS node, [p_partkey] AS path FROM part UNION ALL SELECT f, target, list_append(path, target) FROM r JOIN calls ON source = node WHERE len(path) < 20) SELECT f AS \"from\", 1::BIGINT AS \"to\", array_to_string(path, '>') AS path FROM r WHERE node = 1")
 def shortest_path(spark, d):
     nodes, edges = _parts(spark, d, True)
@@ -372,6 +379,25 @@ def shortest_path(spark, d):
     return iterate.shortest_paths(edges, pairs, 20).withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), ">"))
 
 
+@query(f"""WITH RECURSIVE {IMPORTS_SQL}, steps AS (SELECT DISTINCT source, target FROM imports), pairs AS (SELECT 's' || k AS "from", 's' || ((k * 5 + 1) % m) AS "to" FROM mods, m UNION SELECT 's' || k, 'ext' || (k % 5) FROM mods UNION SELECT 's' || k, 's' || k FROM mods WHERE k % 10 = 0),
+ends AS (SELECT DISTINCT "to" FROM pairs), r AS (SELECT "to", "to" AS node, 0 AS d FROM ends UNION SELECT "to", source, d + 1 FROM r JOIN steps ON target = node WHERE d < 5),
+dist AS (SELECT "to", node, min(d) AS d FROM r GROUP BY ALL),
+w AS (SELECT "from", pairs."to", "from" AS node, d AS rest, ["from"] AS path FROM pairs JOIN dist ON dist."to" = pairs."to" AND node = "from"
+  UNION ALL SELECT w."from", w."to", target, rest - 1, list_append(path, target) FROM w JOIN steps ON source = w.node JOIN dist ON dist."to" = w."to" AND dist.node = target AND dist.d = rest - 1 WHERE rest > 0)
+SELECT "from", "to", array_to_string(min(path), '>') AS path FROM w WHERE rest = 0 GROUP BY ALL""")
+def shortest_path_pairs(spark, d):
+    """Many targets in a graph with cycles and ties: each module to another one, to an external one, and some to themselves."""
+    from .base import imports
+
+    nodes, edges = imports(spark, d)
+    modules = nodes.where("type = 'module'").select("id", F.substring("id", 2, 20).cast("long").alias("k"))
+    m = modules.agg(F.count("*").alias("m"))
+    other = modules.crossJoin(F.broadcast(m)).select(F.col("id").alias("from"), F.concat(F.lit("s"), ((F.col("k") * 5 + 1) % F.col("m")).cast("string")).alias("to"))
+    outside = modules.select(F.col("id").alias("from"), F.concat(F.lit("ext"), (F.col("k") % 5).cast("string")).alias("to"))
+    same = modules.where("k % 10 = 0").select(F.col("id").alias("from"), F.col("id").alias("to"))
+    return iterate.shortest_paths(edges, other.union(outside).union(same), 6).withColumn("path", F.array_join("path", ">"))
+
+
 @query(f"WITH RECURSIVE {_TREE}, r AS (SELECT p_partkey AS id, p_partkey AS node, 0 AS depth FROM part UNION ALL SELECT id, target, depth + 1 FROM r JOIN calls ON source = node) SELECT id, max(depth)::INT AS depth FROM r GROUP BY 1")
 def call_depths(spark, d):
     nodes, edges = _parts(spark, d, True)
@@ -561,3 +587,69 @@ def semantic_halves(spark, d):
     semantic = table(spark, d, "benchmark").crossJoin(F.broadcast(rows)).select(F.col("item_id").alias("query_id"), "id", (((F.length("text") + F.col("n")) % 10) / 10.0).alias("score"))
     keyword = semantic.select("query_id", "id", F.lit(0.0).alias("score"))
     return search.hybrid(keyword, semantic, 3).where("score > 0").select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query(_TOP.format(k=10) + """, j AS (SELECT query_id, rank, contains(d.text, b.text)::INT AS rel FROM ranked JOIN documents d ON doc_id = id JOIN benchmark b ON item_id = query_id),
+m AS (SELECT query_id, coalesce(sum(rel) FILTER (WHERE rank <= 5), 0) AS hits, count(*) AS n, sum(rel) AS relevant FROM j GROUP BY 1), e AS (SELECT query_id, CASE WHEN relevant > 0 THEN hits / relevant ELSE 0 END AS r, hits / least(5, n) AS p FROM m)
+SELECT query_id, round(r, 6) AS recall, round(p, 6) AS precision, round(CASE WHEN r + p > 0 THEN 2 * r * p / (r + p) ELSE 0 END, 6) AS f1 FROM e""")
+def query_benchmark_whole(spark, d):
+    """As query_benchmark, with the whole benchmark texts as queries; a hit is right if it holds the text."""
+    from skerry.operators import questions
+
+    out = questions.query_benchmark(table(spark, d, "documents"), _asked(spark, d), id_col="doc_id", text_col="text")
+    return out.select("query_id", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "f1")])
+
+
+_SYMBOLS = "FROM (SELECT DISTINCT w AS item_id, 'usage of ' || w || ' OR reference to ' || w || ' OR calls to ' || w AS text FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE length(w) >= 2)"
+
+
+@query(_TOP.format(k=10).replace("FROM benchmark", _SYMBOLS) + " SELECT query_id AS symbol, id, score, rank::INT AS rank FROM ranked")
+def symbol_hits(spark, d):
+    """Documents found for usages of every word of the benchmark."""
+    words = table(spark, d, "benchmark").select(F.explode(F.split("text", " ")).alias("symbol")).where("length(symbol) >= 2").distinct()
+    return search.usage_hits(None, words, digits=6, index=_index(spark, d)).withColumnRenamed("query_id", "symbol")
+
+
+_MODULES_SQL = (
+    _TOP.format(k=5)
+    .replace("FROM documents", "FROM (SELECT k AS doc_id, content AS text FROM files WHERE k % 4 = 2)")
+    .replace("FROM benchmark", "FROM (SELECT p_partkey AS item_id, 'needs tool' || p_size || ' and helper' || (p_partkey + 4) AS text FROM part WHERE p_partkey % 8 = 2)")
+    .replace("WITH post", "WITH " + FILES_SQL + ", post", 1)
+)
+
+
+@query(_MODULES_SQL + """ SELECT query_id, 'App.M' || id AS module, 'Module App.M' || id || ':' || chr(10) || '  - Imports: App.Repo, Enum, Tool' || s || chr(10) || '  - Functions: App.M' || id || '.bare, App.M' || id || '.get, App.M' || id || '.helper' || id || ', App.M' || id || '.quick' AS text FROM ranked JOIN p ON k = id""")
+def search_module_contexts(spark, d):
+    """Modules that the hits of a search over the source files define; no question names one."""
+    from skerry.operators import extract
+
+    from .base import files
+
+    sources = files(spark, d).where("path like 'lib/%'")
+    nodes, edges = extract.code_graph(sources)
+    k = F.col("p_partkey")
+    asked = table(spark, d, "part").where("p_partkey % 8 = 2").select(k.alias("query_id"), F.concat(F.lit("needs tool"), F.col("p_size").cast("string"), F.lit(" and helper"), (k + 4).cast("string")).alias("query"))
+    keyed = sources.withColumn("id", F.regexp_extract("path", r"m(\d+)\.ex$", 1).cast("long"))
+    hits = search.search(keyed, asked, 5, digits=6).join(keyed.select("id", "content"), "id")
+    return search.module_contexts(hits.select("query_id", "content"), asked, nodes, edges)
+
+
+_COLLECTIONS = [("common", "Common words", ["the", "and", "of"], "frequent function words", 0), ("verbs", "Verbs", ["ing", "ed"], "doing and done", 1), ("names", "Names", ["tion", "ly"], "nouns", 2)]
+
+
+@query("""WITH c AS (SELECT *, list_concat(patterns, [lower(id), lower(name)]) AS ps, string_split(lower(about), ' ') AS ab FROM (VALUES """ + ", ".join(f"('{i}', '{n}', {p}, '{a}', {x})" for i, n, p, a, x in _COLLECTIONS) + """) t(id, name, patterns, about, label)),
+w AS (SELECT doc_id AS query_id, unnest(list_filter(string_split_regex(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+'), lambda w: w <> '')) AS w FROM documents),
+kw AS (SELECT query_id, id, least(1.0, (count(*) FILTER (WHERE len(list_filter(ps, lambda x: contains(w, x) OR contains(x, w))) > 0) + 0.5 * count(*) FILTER (WHERE len(list_filter(ab, lambda x: contains(w, x) OR contains(x, w))) > 0)) * 2 / any_value(len(ps)))::DOUBLE AS score FROM w, c GROUP BY ALL),
+e AS (SELECT label, unnest(embedding::DOUBLE[]) AS e, unnest(range(len(embedding))) AS i FROM embeddings),
+mid AS (SELECT id, list(a ORDER BY i) AS m FROM (SELECT id, i, avg(e) AS a FROM e JOIN c USING (label) GROUP BY ALL) GROUP BY id),
+sem AS (SELECT vec_id AS query_id, id, round(list_cosine_similarity(embedding::DOUBLE[], m), 4) AS score FROM embeddings, mid),
+both_ AS (SELECT coalesce(kw.query_id, sem.query_id) AS query_id, coalesce(kw.id, sem.id) AS id, 0.5 * coalesce(kw.score, 0) + 0.5 * coalesce(sem.score, 0) AS score FROM (FROM kw WHERE score > 0) kw FULL JOIN sem ON kw.query_id = sem.query_id AND kw.id = sem.id)
+SELECT query_id, id, round(score, 6) AS score FROM both_""")
+def hybrid_routes(spark, d):
+    """Each document routed to collections: half by its words, half by its vector's cosine to the mean vector of the collection's label."""
+    rows = spark.createDataFrame(_COLLECTIONS, "id string, name string, patterns array<string>, description string, label long")
+    vectors = table(spark, d, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
+    means = search.mean_vectors(vectors.join(F.broadcast(rows.select("id", "label")), "label"), "id", "v")
+    semantic = search.vector_scores(vectors, means, "vec_id", "v", digits=4)
+    keyword = search.route_scores(table(spark, d, "documents"), rows, "doc_id", "text")
+    return search.hybrid(keyword, semantic, 3).select("query_id", "id", F.round("score", 6).alias("score"))

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from skerry.operators import changes, classify, graph, metrics, portfolio, refactor, repositories, steps
 from skerry.operators.common import shared_path
+from skerry.sources import tree
 from skerry.streaming import metrics as stream
 
-from .base import CALLS_SQL, IMPORTS_SQL, REPOS_SQL, calls, imports, joined, query, relations, repos, source_files, table
+from .base import CALLS_SQL, FILES_SQL, IMPORTS_SQL, REPOS_SQL, calls, imports, joined, query, relations, repos, source_files, table
 
 WITH, REC = "WITH ", "WITH RECURSIVE "
 
@@ -584,3 +585,18 @@ def collected_steps(spark, d):
 @query("SELECT event_id % 10 AS bucket, count(*) AS n, round(sum(value / 2), 4) AS total FROM events WHERE event_id % 97 <> 0 AND event_id % 11 <> 0 GROUP BY 1")
 def reduced_steps(spark, d):
     return steps.map_reduce(table(spark, d, "events").select("event_id", "value"), lambda r: (s := _step(r)) and {"bucket": s["event_id"] % 10, "half": s["half"]}, "bucket long, half double", ["bucket"], {"n": F.count("*"), "total": F.round(F.sum("half"), 4)})
+
+
+# Trees of files
+
+
+@query(f"WITH {FILES_SQL}, placed AS (SELECT CASE k % 6 WHEN 0 THEN '.hidden/' WHEN 1 THEN '_private/' WHEN 2 THEN 'deps/' ELSE '' END || path AS relative_path, language, content FROM files) SELECT relative_path, language, octet_length(content::BLOB)::BIGINT AS size, sha256(content) AS h FROM placed WHERE NOT contains(relative_path, 'deps/') AND language IN ('python', 'elixir')")
+def scanned_tree(spark, d):
+    """The files are written to the shared folder, some to hidden and left-out folders, and scanned there; languages are pushed down."""
+    k = F.regexp_extract("path", r"m(\d+)", 1).cast("long")
+    rows = source_files(table(spark, d, "part"))
+    rows = rows.withColumn("path", F.concat(F.when(k % 6 == 0, ".hidden/").when(k % 6 == 1, "_private/").when(k % 6 == 2, "deps/").otherwise(""), "path"))
+    folder = shared_path(spark, "tree")
+    tree.write_files(rows, folder)
+    found = tree.scan_tree(spark, folder).where(F.col("language").isin("python", "elixir"))
+    return found.select("relative_path", "language", "size", F.sha2("content", 256).alias("h"))
