@@ -100,9 +100,12 @@ def _describe(parts):
 
 
 def _wanted(parts):
-    """The normal text of each asked line."""
+    """The normal text of each asked line; a text is split once."""
     for part in parts:
-        out = [(w["h1"], _normal((t or "").split("\n")[w["line"]])) for t, ws in zip(part["text"].to_pylist(), part["wanted"].to_pylist(), strict=True) for w in ws]
+        out = []
+        for text, wanted in zip(part["text"], part["wanted"], strict=True):
+            lines = (text.as_py() or "").split("\n")
+            out += [(w["h1"], _normal(lines[w["line"]])) for w in wanted.as_py()]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string())], names=["h1", "text"])
 
 
