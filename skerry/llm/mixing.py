@@ -10,6 +10,8 @@ DataFrame functions only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,9 +77,10 @@ def flattened_weights(leaves: DataFrame, power: float) -> dict[str, DataFrame]:
     return {level: leaves.groupBy(*TREE[:d]).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("weight")) for d, level in enumerate(TREE, 1)}
 
 
-def mix(docs: DataFrame, tree: dict[str, Column], budget_ratio: float = 1.5, power: float = 0.8, max_epochs: int = 4, seed: int = 7, weights: dict[str, DataFrame] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, tree: dict[str, Column], budget_ratio: float = 1.5, power: float = 0.8, max_epochs: int = 4, seed: int = 7, weights: dict[str, DataFrame] | Callable[[DataFrame], dict[str, DataFrame]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, each row once for every epoch that takes it, with columns of the struct `_mix`: tree columns, tokens, epoch,
-    order, leaf_budget. budget: budget_ratio times all tokens.
+    order, leaf_budget. budget: budget_ratio times all tokens. weights: those of leaf_budgets, or a function that makes them of the
+    leaves (tree columns, tokens); without them each node weighs its tokens to a power.
 
     tree gives a column for domain, lang and source; nulls are the name "null". A document is taken in an epoch if the
     tokens of those before it fall short of what the leaf has left; documents of equal id share a place and are taken
@@ -89,7 +92,9 @@ def mix(docs: DataFrame, tree: dict[str, Column], budget_ratio: float = 1.5, pow
     narrow = stored(docs.select(F.col(id_col).alias("_id"), token_count(F.col(text_col)).alias("n"), *[v.alias(k) for k, v in names.items()]), "mix")
     leaves = stored(narrow.groupBy(*TREE).agg(F.sum("n").alias("tokens")), "leaves")
     total = leaves.agg(F.sum("tokens")).first()[0] or 0
-    plan = leaf_budgets(leaves, weights or flattened_weights(leaves.where("tokens > 0"), power), budget_ratio * total, max_epochs)
+    if not weights:
+        weights = flattened_weights(leaves.where("tokens > 0"), power)
+    plan = leaf_budgets(leaves, weights(leaves) if callable(weights) else weights, budget_ratio * total, max_epochs)
     plan = plan.withColumns({"whole": F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(0), "left": F.when(F.col("tokens") > 0, F.col("budget") % F.col("tokens")).otherwise(0)})
     plan = stored(plan, "plan")
     few = F.broadcast if is_small(plan) else (lambda df: df)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, jaccard, katz, langid, licences, lines, mixing, negatives, phrases, sharding, toxicity, vectors
@@ -54,9 +54,32 @@ def source_tree() -> dict:
     return {"domain": F.when(number != "", F.concat(F.lit("domain"), (number.cast("long") % 4).cast("string"))), "lang": F.col("lang"), "source": F.col("source")}
 
 
+#: Target weights of the query: by domain, by language in each domain, by the number in a source's name modulo 5.
+DOMAIN_WEIGHTS, LANG_WEIGHTS, SOURCE_WEIGHTS = {"domain0": 14, "domain1": 3, "domain2": 2}, {"de": 12, "es": 3, "fr": 2}, {"0": 20, "1": 2, "2": 3, "3": 4, "4": 5}
+
+
+def target_weights(leaves: DataFrame) -> dict[str, DataFrame]:
+    """Weights that some leaves, languages and a whole domain cannot fill; and a language in each domain and a domain that
+    no document has. Whatever is not named weighs 1."""
+
+    def weight(name, table: dict) -> Column:
+        pairs = [F.lit(x) for pair in table.items() for x in pair]
+        return F.coalesce(F.try_element_at(F.create_map(*pairs), name), F.lit(1)).cast("double").alias("weight")
+
+    number = F.regexp_extract("source", "([0-9]+)$", 1)
+    rest = (F.when(number != "", number).cast("long") % 5).cast("string")
+    domains, langs = leaves.select("domain").distinct(), leaves.select("domain", "lang").distinct()
+    absent = leaves.sparkSession.createDataFrame([("domain9", 5.0)], "domain string, weight double")
+    return {
+        "domain": domains.select("domain", weight(F.col("domain"), DOMAIN_WEIGHTS)).unionByName(absent),
+        "lang": langs.select("domain", "lang", weight(F.col("lang"), LANG_WEIGHTS)).unionByName(domains.select("domain", F.lit("zz-absent").alias("lang"), F.lit(4.0).alias("weight"))),
+        "source": leaves.select("domain", "lang", "source", weight(F.coalesce(rest, F.lit("")), SOURCE_WEIGHTS)),
+    }
+
+
 def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents mixed to 1.5 times their tokens with weights flattened at each level of the tree."""
-    out = mixing.mix(read(spark, sf_dir, "documents"), source_tree())
+    """All documents mixed to 1.5 times their tokens by target weights; what a node cannot give goes to its siblings, then further up."""
+    out = mixing.mix(read(spark, sf_dir, "documents"), source_tree(), weights=target_weights)
     return out.select("doc_id", "_mix.domain", "_mix.lang", "_mix.source", "_mix.tokens", "_mix.epoch", "_mix.order", "_mix.leaf_budget")
 
 
@@ -113,8 +136,12 @@ QUERIES = {
     "op13_hard_negatives": op13_hard_negatives,
 }
 
+def _weights(name: str, table: dict) -> str:
+    return f"CASE {name} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in table.items()) + " ELSE 1 END"
+
+
 _FILL = """
-{name}_n AS (SELECT {path}, {budget} AS budget, sum(cap) AS cap, pow(sum(tokens)::DOUBLE, 0.8) AS w FROM {source} GROUP BY ALL),
+{name}_n AS (SELECT {path}, {budget} AS budget, sum(cap) AS cap, ({w})::DOUBLE AS w FROM {source} GROUP BY ALL),
 {name}_l AS (SELECT *, cap / w AS lv, coalesce(sum(cap) OVER (PARTITION BY {parent} ORDER BY cap / w, {path} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
   sum(w) OVER (PARTITION BY {parent} ORDER BY cap / w, {path} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM {name}_n),
 {name}_p AS (SELECT *, greatest(budget - used, 0) / rest AS pour FROM {name}_l),
@@ -128,11 +155,11 @@ MIXTURE_SQL = (
   coalesce(source, 'null') AS source, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+'))::BIGINT AS tokens FROM documents),
 leaves AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens, 4.0::DOUBLE * sum(tokens) AS cap FROM docs GROUP BY ALL HAVING sum(tokens) > 0),
 root AS (SELECT 1.5::DOUBLE * sum(tokens) AS total FROM docs),"""
-    + _FILL.format(name="a", path="domain", budget="(SELECT total FROM root)", source="leaves", parent="1")
+    + _FILL.format(name="a", path="domain", budget="(SELECT total FROM root)", source="leaves", parent="1", w=_weights("domain", DOMAIN_WEIGHTS))
     + ","
-    + _FILL.format(name="b", path="domain, lang", budget="any_value(share)", source="leaves JOIN a USING (domain)", parent="domain")
+    + _FILL.format(name="b", path="domain, lang", budget="any_value(share)", source="leaves JOIN a USING (domain)", parent="domain", w=_weights("lang", LANG_WEIGHTS))
     + ","
-    + _FILL.format(name="c", path="domain, lang, source", budget="any_value(share)", source="leaves JOIN b USING (domain, lang)", parent="domain, lang")
+    + _FILL.format(name="c", path="domain, lang, source", budget="any_value(share)", source="leaves JOIN b USING (domain, lang)", parent="domain, lang", w=_weights("(nullif(regexp_extract(source, '([0-9]+)$', 1), '')::BIGINT % 5)::VARCHAR", SOURCE_WEIGHTS))
     + """,
 plan AS (SELECT domain, lang, source, floor(share + 1e-6)::BIGINT AS leaf_budget, leaf_budget // tokens AS whole, leaf_budget % tokens AS rest FROM leaves JOIN c USING (domain, lang, source)),
 placed AS (SELECT docs.*, leaf_budget, whole, rest, """

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skerry.llm import decontaminate, langid, licences, mixing, sharding, toxicity
+from skerry.llm import decontaminate, langid, licences, mixing, queries, sharding, toxicity
 
 
 def jump(key, n):
@@ -75,6 +75,26 @@ def test_budgets(spark):
         assert got == {k: math.floor(v + 1e-6) for k, v in leaf_shares(tree, budget, 2).items()}
 
 
+def test_target_weights_fall_short_at_all_levels(spark):
+    share = {"en": 62, "de": 15, "fr": 14, "es": 9}
+    leaves = [(f"domain{n % 4}", lang, f"src{n}", 100 * k) for n in range(20) for lang, k in share.items()] + [("null", "null", "null", 50)]
+    df = spark.createDataFrame(leaves, "domain string, lang string, source string, tokens long")
+    budget = 1.5 * sum(x[-1] for x in leaves)
+    weigh = lambda table, name: table.get(name, 1)
+    tree = {"kids": {}}
+    for domain, lang, source, n in leaves:
+        d = tree["kids"].setdefault(domain, {"kids": {}, "w": weigh(queries.DOMAIN_WEIGHTS, domain)})
+        at = d["kids"].setdefault(lang, {"kids": {}, "w": weigh(queries.LANG_WEIGHTS, lang)})
+        at["kids"][source] = {"tokens": n, "w": weigh(queries.SOURCE_WEIGHTS, str(int(source[3:]) % 5) if source != "null" else None)}
+    got = {(r.domain, r.lang, r.source): r.budget for r in mixing.leaf_budgets(df, queries.target_weights(df), budget, 4).collect()}
+    assert got == {k: math.floor(v + 1e-6) for k, v in leaf_shares(tree, budget, 4).items()}
+    full = {tuple(x[:3]) for x in leaves if got[tuple(x[:3])] == 4 * x[3]}
+    whole = lambda *path: all(tuple(x[:3]) in full for x in leaves if tuple(x[: len(path)]) == path)
+    assert whole("domain0") and not whole("domain1")  # a domain, whose rest its siblings have
+    assert whole("domain1", "de") and not whole("domain1", "en")  # a language
+    assert ("domain1", "es", "src5") in full and not whole("domain1", "es")  # a leaf
+
+
 def test_mix_prefix(spark):
     docs = spark.createDataFrame([(i, "w " * (i % 7), "x" if i < 60 else None, i) for i in range(80)], "doc_id long, text string, lang string, n long")
     out = mixing.mix(docs, {"domain": F.lit("d"), "lang": F.col("lang"), "source": F.lit(None)}, budget_ratio=0.6, power=1.0, max_epochs=1)
