@@ -16,8 +16,7 @@ STOP_WORDS = (
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of [A-Za-z0-9_] of two characters or more, repeats kept; null is empty."""
-    words = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9_\s]", " "), r"\s+")
-    return F.filter(words, lambda w: F.length(w) >= 2)
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z0-9_]{2,}"), F.lit(0))
 
 
 def terms(text: Column) -> Column:

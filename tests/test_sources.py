@@ -160,3 +160,50 @@ def test_a_stored_index_gives_what_documents_give(spark, tmp_path):
         want = rows(search.search(d, q, 5, where=where, digits=9, id_col="doc", text_col="body"))
         assert want and rows(search.search(None, q, 5, where=where, digits=9, index=index)) == want == rows(search.search(None, q, 5, where=where, digits=9, index=again))
     assert rows(search.search(None, q, 5, where=F.col("lang") == "en", filter_first=False, index=again)) == rows(search.search(d, q, 5, where=F.col("lang") == "en", filter_first=False, id_col="doc", text_col="body"))
+
+
+def test_words_meet_query_terms_inside_tasks(spark, monkeypatch):
+    """A search makes no table of the vocabulary's words that hold query terms: it grows with the input and went through the driver."""
+    import random
+
+    pick = random.Random(5)
+    word = lambda most: "".join(pick.choice("ab_1") for _ in range(pick.randrange(1, most)))
+    d = spark.createDataFrame([(i, " ".join(word(9) for _ in range(pick.randrange(0, 30)))) for i in range(60)] + [(-1, None), (-2, "ab" * 5000)], "id long, content string")
+    q = spark.createDataFrame([(i, " ".join(word(6) for _ in range(4))) for i in range(30)] + [(99, ""), (98, "ab" * 300 + " zz")], "query_id int, query string")
+    with monkeypatch.context() as m:
+        m.setattr(search, "MATCH_BYTES", 0)
+        want = rows(search.search(d, q, 5, digits=6))
+    monkeypatch.setattr(search, "containing", None)
+    assert want and rows(search.search(d, q, 5, digits=6)) == want
+    for name, small in {"PASS_PAIRS": 20, "BLOCK_PAIRS": 5, "QUERY_BLOCK": 3, "WORD_BLOCK": 40, "CELLS": 9, "DOC_BLOCK": 7}.items():
+        monkeypatch.setattr(search, name, small)
+    assert rows(search.search(d, q, 5, digits=6)) == want
+    carried = search.scores(None, q, digits=6, index=search.build(d.withColumn("more", F.col("id") * 2)), carry=("more",))
+    assert carried.where("more <> 2 * id").count() == 0 and carried.count() >= len(want)
+
+
+def test_places_of_short_in_long_strings(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(search, "CANDIDATES", 4)
+    pick = random.Random(7)
+    words = sorted({"".join(pick.choice("abc") for _ in range(pick.randrange(2, 9))) for _ in range(200)} | {"ab" * 40, "é_a", "na"})
+    asked = words[::3] + ["zz", "abcabcabc", "xé_ab"]
+    start, count, met, equal = search._met(pa.array(words), pa.array(asked), True)
+    got = sorted((w, asked[met[p]], bool(equal[p])) for i, w in enumerate(words) for p in range(start[i], start[i] + count[i]))
+    assert got == sorted((w, q, w == q) for w in words for q in asked if w in q or q in w)
+
+
+def test_ideal_gains_of_many_judged_documents(spark):
+    from skerry.operators import evaluate
+
+    runs = spark.createDataFrame([("q", 1, "x"), ("q", 2, "d3"), ("r", 1, "y")], "query_id string, rank int, doc_id string")
+    grades = [("q", f"d{i}", float(i % 4)) for i in range(60)] + [("q", "d3", 3.0), ("q", "n", None)]
+    got = {r.query_id: r for r in evaluate.retrieval_metrics(runs, spark.createDataFrame(grades, "query_id string, doc_id string, grade double"), 5).collect()}
+    import math
+
+    gains = sorted((2.0**g - 1 for _, _, g in grades if g is not None), reverse=True)[:5]
+    assert got["q"].ndcg == pytest.approx(2 * 7 / math.log2(3) / sum(g / math.log2(i + 2) for i, g in enumerate(gains)))
+    assert got["q"].recall == pytest.approx(2 / sum(1 for _, _, g in grades if g)) and got["r"].recall == 0.0
