@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import docs, evaluate, extract, search
+from .common import small_side, stored
 
 #: Texts of variants and of cases at the edge.
 UNRELATED = "\n\n# Unrelated code\ndef foo, do: :bar"
@@ -92,10 +93,11 @@ def golden(files: DataFrame, per_file: int = 5, edges: int = 5) -> DataFrame:
     return rows.withColumn("id", F.row_number().over(Window.partitionBy("path").orderBy("_k", "n", "question"))).select(F.col("path").alias("group"), "id", *fields)
 
 
-def query_benchmark(docs_: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "id", text_col: str = "content") -> DataFrame:
-    """queries (query_id, query): recall, precision and f1 at k of the ten best hits, where those whose text holds the query are relevant."""
-    hits = search.search(docs_, queries, 10, digits=9, id_col=id_col, text_col=text_col)
-    held = hits.join(docs_.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t")), "id").join(queries.select("query_id", "query"), "query_id")
+def query_benchmark(docs_: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "id", text_col: str = "content", index: search.Index | None = None) -> DataFrame:
+    """queries (query_id, query): recall, precision and f1 at k of the ten best hits, where those whose text holds the query are relevant.
+    With an index of docs_ only the texts of hits are read from them."""
+    hits = stored(search.search(docs_, queries, 10, digits=9, id_col=id_col, text_col=text_col, index=index), "hits")
+    held = docs_.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t")).join(small_side(hits), "id").join(queries.select("query_id", "query"), "query_id")
     qrels = held.where(F.col("_t").contains(F.col("query"))).select("query_id", F.col("id").alias("doc_id"), F.lit(1).alias("grade"))
     return evaluate.retrieval_metrics(hits.select("query_id", F.col("id").alias("doc_id"), "rank"), qrels, k).select("query_id", "recall", "precision", "f1")
 
