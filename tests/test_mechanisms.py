@@ -93,3 +93,9 @@ def test_usage_hits(spark):
     docs = spark.createDataFrame([("1", "calls to parse here"), ("2", "nothing")], "id string, content string")
     got = search.usage_hits(docs, spark.createDataFrame([("parse",)], "symbol string")).where(F.col("rank") == 1).first()
     assert (got.query_id, got.id) == ("parse", "1")
+
+
+def test_source_files_are_dealt_to_all_cores(spark):
+    from skerry.plans.base import files
+
+    assert files(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
