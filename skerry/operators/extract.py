@@ -171,7 +171,7 @@ def references(files: DataFrame) -> DataFrame:
             entries.setdefault(language, []).append(F.transform(spots(F.col("_c"), pattern), _reference(type_, kind, pattern, module, names)))
     rows = _clean(files).withColumn("_h", _by_language(entries))
     rows = rows.withColumn("_h", F.filter("_h", lambda x: (x["kind"] != "side_effect") | ~F.exists("_h", lambda y: (y["kind"] != "side_effect") & (y["module"] == x["module"]))))
-    rows = rows.select("path", "language", F.explode("_h").alias("h")).select("path", "language", "h.*")
+    rows = rows.select("path", "language", F.explode_outer("_h").alias("h")).where("h is not null").select("path", "language", "h.*")  # explode adds a filter that computes _h once more
     named = lambda a: F.struct(F.element_at(F.split(a, r"\s+as\s+"), 1).alias("name"), F.try_element_at(F.split(a, r"\s+as\s+"), F.lit(2)).alias("alias"))
     whole = F.when((F.col("kind") == "import") & (F.col("names") != ""), F.array(F.struct(F.col("module").alias("name"), F.col("names").alias("alias"))))
     short = F.element_at(F.split("module", r"\."), -1)
@@ -330,12 +330,14 @@ def repository_types(files: DataFrame) -> DataFrame:
 def code_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges: files define modules and classes, these define functions; imports lead to modules or external names."""
     from . import graph
+    from .common import stored
 
-    found = symbols(files)
+    found = stored(symbols(files).select("path", "language", "type", "name", "line", "arity"), "symbols")  # read by nodes and edges
     tops = found.where("type in ('module', 'class')")
     functions = graph.enclosing(found.where("type in ('function', 'macro')"), tops)
     fid = F.concat(F.coalesce("parent", "path"), F.lit("."), F.when(F.col("language") == "elixir", F.col("name")).otherwise(F.concat_ws("/", "name", F.col("arity").cast("string"))))
-    refs = graph.enclosing(references(files).withColumnRenamed("module", "name"), tops, inclusive=True)
+    used = stored(references(files).select("path", "type", F.col("module").alias("name"), "line"), "references")
+    refs = graph.enclosing(used, tops, inclusive=True)
     kind = F.when(F.col("type") == "use", "uses").when(F.col("type") == "alias", "alias").otherwise("imports")
     nodes = files.select(F.col("path").alias("id"), F.lit("file").alias("type"), F.col("path").alias("name"))
     nodes = nodes.unionByName(tops.select(F.col("name").alias("id"), "type", "name")).unionByName(functions.select(fid.alias("id"), F.lit("function").alias("type"), "name"))
