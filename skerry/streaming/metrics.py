@@ -53,10 +53,13 @@ def provider_states(calls: DataFrame) -> DataFrame:
 
     def keep(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, failed, healthy = state.get if state.exists else (0, 0, True)
-        rows = pd.concat(list(parts)).sort_values(order, kind="stable")
-        for ok in rows["ok"]:
-            n, failed = n + 1, failed + (not ok)
-            healthy = True if ok else False if n >= 3 and failed / n > 0.5 else healthy
+        last = None  # the last row of the parts so far: no more of them is held
+        for part in parts:
+            last = pd.concat([part] if last is None else [last, part]).sort_values(order, kind="stable").iloc[-1:]
+            good = int(part["ok"].eq(True).sum())
+            n, failed, healthy = n + len(part), failed + len(part) - good, healthy or good > 0
+        if last is not None:  # after the last good call the share of failures only grows, so its end tells whether any call made it too high
+            healthy = True if last["ok"].iloc[0] is not None and last["ok"].iloc[0] else False if n >= 3 and failed / n > 0.5 else healthy
         state.update((n, failed, healthy))
         yield pd.DataFrame({"provider": [key[0]], "calls": [n], "failures": [failed], "healthy": [healthy]})
 

@@ -126,3 +126,61 @@ def test_judged_documents_beyond_the_top_ten_count(spark, tmp_path):
     spark.createDataFrame([(1, "needle")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     r = registry.QUERIES["ir_metrics_judged"](spark, str(tmp_path)).first()
     assert (r.recall, r.average_precision, r.ndcg) == (0.5, 0.5, pytest.approx(1 / (1 + 1 / math.log2(3)), abs=1e-6))
+
+
+def test_provider_states_hold_one_row_of_a_batch():
+    """The rows of a provider came together in one frame."""
+    import random
+
+    import pandas as pd
+
+    class State:
+        exists, get = False, None
+
+        def update(self, new):
+            self.exists, self.get = True, new
+
+    class Calls:
+        columns = ["provider", "ts", "id", "ok"]
+
+        def __getattr__(self, name):
+            return lambda *a: setattr(self, "keep", a[0]) if name == "applyInPandasWithState" else self
+
+    calls, pick, sizes, concat = Calls(), random.Random(1), [], pd.concat
+    stream.provider_states(calls)
+    pd.concat = lambda frames: sizes.append(sum(map(len, frames))) or concat(frames)
+    try:
+        for trial in range(60):
+            state, n, failed, healthy = State(), 0, 0, True
+            for _ in range(3):
+                rows_ = [(pick.choice([None, pd.Timestamp(pick.randrange(5), unit="s")]), i, pick.random() < trial / 60) for i in range(pick.randrange(1, 12))]
+                for _, _, ok in sorted(rows_, key=lambda r: (r[0] is None, r[0] or 0, r[1])):
+                    n, failed = n + 1, failed + (not ok)
+                    healthy = True if ok else False if n >= 3 and failed / n > 0.5 else healthy
+                pick.shuffle(rows_)
+                frame = pd.DataFrame(rows_, columns=["ts", "id", "ok"]).astype({"ts": "datetime64[ns]"})
+                out = next(calls.keep(("p",), iter([frame[i : i + 2] for i in range(0, len(frame), 2)]), state))
+                assert out.iloc[0].tolist() == ["p", n, failed, healthy]
+    finally:
+        pd.concat = concat
+    assert max(sizes) <= 3
+
+
+def test_vectors_are_scored_a_few_at_a_time(spark, monkeypatch):
+    import numpy as np
+
+    v = np.random.default_rng(1).normal(size=(40, 3))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(98, None), (99, [0.0] * 3), (97, [1.0])], "id long, v array<double>")
+    q = df.where("id % 10 = 0 or id > 90")
+    want = sorted(tuple(r) for r in search.vector_top(df, q, 4, "id", "v", digits=6).collect())
+    monkeypatch.setattr(search, "CELLS", 80)
+    assert sorted(tuple(r) for r in search.vector_top(df, q, 4, "id", "v", digits=6).collect()) == want and len(want) == 17
+    most = []
+    monkeypatch.setattr(search, "_best", lambda s, ids, limit, f=search._best: most.append(s.size) or f(s, ids, limit))
+    import pyarrow as pa
+
+    batches = []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema, f=type(df).mapInArrow: batches.append(run) or f(self, run, schema))
+    search.vector_top(df, q, 4, "id", "v", digits=6)
+    list(batches[0](iter([pa.RecordBatch.from_pylist([{"id": i, "v": x.tolist()} for i, x in enumerate(v)])])))
+    assert max(most) <= 24
