@@ -5,6 +5,7 @@ import sys
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from skerry.operators import iterate
 
@@ -80,3 +81,39 @@ def test_a_long_chain(spark, monkeypatch):
     assert got == {i: n - i for i in range(n + 1)}
     assert time.time() - start < 60
     assert iterate.strong_components(chain).count() == 0
+
+
+def test_reach_of_most_nodes_goes_by_doubling(spark, monkeypatch):
+    """A chain of 60 took a round for each of its levels."""
+    import random
+
+    pick = random.Random(4)
+    graphs = [[(i, i + 1) for i in range(60)], [(pick.randrange(25), pick.randrange(25)) for _ in range(60)], [(0, 0), (0, 1), (1, 0)]]
+    rounds = []
+    monkeypatch.setattr(iterate, "stored", lambda df, *a, f=iterate.stored: rounds.append(1) or f(df, *a))
+    for pairs in graphs:
+        e = spark.createDataFrame(pairs, "source long, target long")
+        s = spark.createDataFrame([(i,) for i in {a for a, _ in pairs} if i % 4] + [(0,), (999,), (None,)], "id long")
+        for depth in (0, 1, 5, 64):
+            want = set()
+            for (start,) in s.where("id is not null").collect():
+                seen, front = {start}, {start}
+                for d in range(1, depth + 1):
+                    front = {b for a, b in pairs if a in front} - seen
+                    seen |= front
+                    want |= {(start, x, d) for x in front}
+            rounds.clear()
+            got = [tuple(r) for r in iterate.reach(e, s, depth).collect()]
+            assert sorted(got) == sorted(want) and len(rounds) < (12 if pairs == graphs[0] else 99)
+
+
+def test_rounds_broadcast_no_stored_tables(spark, monkeypatch):
+    """Tables of small files were broadcast in every round."""
+    plans = []
+    seen = lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, *a)
+    kept = iterate.stored
+    monkeypatch.setattr(iterate, "stored", seen)
+    monkeypatch.setattr(iterate, "LOCAL_EDGES", 1)
+    e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(i, i + 2) for i in range(0, 40, 5)], "source long, target long")
+    assert iterate.depths(e, e.select(F.col("source").alias("id"))).where("id = 0").first().depth == 40
+    assert len(plans) > 5 and [p for p in plans if "BroadcastHashJoin" in p] == []
