@@ -44,11 +44,11 @@ def by_symbol(files: DataFrame, symbols: DataFrame, types: tuple[str, ...] | Non
 
 def hybrid(files: DataFrame, symbols: DataFrame, size: int = 1500, overlap: int = 200, key: str = "path", text_col: str = "content") -> DataFrame:
     """Chunks by symbol; those longer than twice the size are cut again by lines, with lines counted in the file."""
-    chunks = by_symbol(files, symbols, ("function", "method", "class", "module"), key, text_col).withColumn("_id", F.concat_ws("\0", key, F.col("start_line").cast("string"), "name"))
+    chunks = by_symbol(files, symbols, ("function", "method", "class", "module"), key, text_col)
     long = (F.length("content") > 2 * size) | (F.col("type") == "section")
-    parts = line_windows(chunks.where(long).select("_id", "content"), size, overlap, "_id").select("_id", F.col("start_line").alias("_s"), F.col("end_line").alias("_e"), F.col("content").alias("_c"))
-    again = chunks.where(long).join(parts, "_id").select(key, "type", "name", (F.col("start_line") + F.col("_s") - 1).alias("start_line"), (F.col("start_line") + F.col("_e") - 1).alias("end_line"), F.col("_c").alias("content"))
-    return chunks.where(~long).drop("_id").unionByName(again)
+    parts = line_windows(chunks.where(long).select(F.struct(key, "type", "name", "start_line").alias("_of"), "content"), size, overlap, "_of")
+    again = parts.select(f"_of.{key}", "_of.type", "_of.name", (F.col("_of.start_line") + F.col("start_line") - 1).alias("start_line"), (F.col("_of.start_line") + F.col("end_line") - 1).alias("end_line"), "content")
+    return chunks.where(~long).unionByName(again)
 
 
 def as_documents(chunks: DataFrame, key: str = "path") -> DataFrame:

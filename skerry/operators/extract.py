@@ -141,15 +141,23 @@ def _reference(type_: str, kind: str, pattern: str, module: int, names: int):
     return one
 
 
-def symbols(files: DataFrame) -> DataFrame:
+#: What an entry of a symbol is.
+_ENTRIES = "array<struct<type:string,name:string,line:int,args:string,implements:string,flags:array<string>>>"
+#: Types of definitions.
+DEFINED = ("module", "class", "interface")
+
+
+def symbols(files: DataFrame, types: tuple[str, ...] | None = None) -> DataFrame:
     """files (path, language, content): (path, language, type, name, line, visibility, arity, bases, implements, args,
     defaults, flags). Elixir functions are name/arity. flags: async, generator, arrow. Files without content or of
-    other languages give no rows."""
-    entries: dict[str, list[Column]] = {}
+    other languages give no rows. types: of these only; the others are not looked for."""
+    entries: dict[str, list[Column]] = {language: [F.array().cast(_ENTRIES)] for language in SYMBOLS}
     for language, patterns in SYMBOLS.items():
         for kind, pattern, name, args, more in patterns:
+            if types is not None and {"arrow": "function"}.get(kind, kind) not in types:
+                continue
             entries.setdefault(language, []).append(F.transform(spots(F.col("_c"), pattern), _symbol(kind, pattern, name, args, more)))
-    rows = _clean(files).select("path", "language", "_g", F.explode(_by_language(entries)).alias("h")).select("path", "language", "_g", "h.*")
+    rows = _clean(files).select("path", "language", "_g", F.explode_outer(_by_language(entries)).alias("h")).where("h is not null").select("path", "language", "_g", "h.*")  # explode adds a filter that computes the entries once more
     callable_ = F.col("type").isin("function", "macro")
     rows = rows.withColumn("arity", F.when(callable_, F.size(arguments(F.col("args")))))
     private = F.array_contains("flags", "private") | (F.col("name").startswith("_") & (F.col("_g") == "python"))
@@ -251,26 +259,48 @@ def rollup(metrics: DataFrame) -> DataFrame:
 
 
 def file_dependencies(files: DataFrame) -> DataFrame:
-    """(path, modules, exported): the modules that each file of a known language imports, and the names it exports."""
-    used = references(files).groupBy("path").agg(F.array_sort(F.collect_set("module")).alias("modules"))
-    out = exports(files).groupBy("path").agg(F.array_sort(F.collect_set(F.coalesce("name", F.lit("default")))).alias("exported"))
+    """(path, modules, exported): the modules that each file of a known language imports, and the names it exports. Rows of one path have those
+    of all of them, a row without a path has none."""
+    imported: dict[str, list[Column]] = {}
+    for language, patterns in REFERENCES.items():
+        for type_, kind, pattern, module, _ in patterns:
+            imported.setdefault(language, []).append(F.regexp_extract_all("_c", F.lit(pattern), F.lit(module)))
+    named = F.flatten(F.transform(F.regexp_extract_all("_c", F.lit(EXPORTS), 1), lambda x: F.transform(pieces(x), lambda n: F.split(n, r"\s+as\s+")[0])))
+    default = F.transform(F.regexp_extract_all("_c", F.lit(EXPORT_DEFAULT), 0), lambda m: F.coalesce(F.nullif(F.regexp_extract(m, EXPORT_DEFAULT, 1), F.lit("")), F.lit("default")))
     none = F.array().cast("array<string>")
-    return _clean(files).select("path").join(used, "path", "left").join(out, "path", "left").select("path", F.coalesce("modules", none).alias("modules"), F.coalesce("exported", none).alias("exported"))
+    rows = _clean(files).select("path", F.array_distinct(_by_language(imported)).alias("m"), F.when(F.col("_g") == "javascript", F.array_distinct(F.concat(named, default))).otherwise(none).alias("x"))
+    every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    out = rows.where("path is not null").groupBy("path").agg(every("m").alias("modules"), every("x").alias("exported"), F.count("*").alias("n"))
+    out = out.select("path", "modules", "exported", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("col")
+    return out.unionByName(rows.where("path is null").select("path", none.alias("modules"), none.alias("exported")))
 
 
 def type_counts(files: DataFrame) -> DataFrame:
     """(kind, type, n): files by language, symbols and references by type, files parsed and failed."""
-    count = lambda df, kind, by: df.groupBy(F.col(by).alias("type")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "type", "n")
-    bad = unsupported(files).withColumn("_t", F.lit("failed"))
-    good = _clean(files).withColumn("_t", F.lit("parsed"))
-    return count(files, "language", "language").unionByName(count(symbols(files), "symbol", "type")).unionByName(count(references(files), "reference", "type")).unionByName(count(good, "file", "_t")).unionByName(count(bad, "file", "_t"))
+    known = F.coalesce(grammar(F.col("language")).isin(*SYMBOLS), F.lit(False)) & F.col("content").isNotNull()
+    rows = files.select("language", grammar(F.col("language")).alias("_g"), known.alias("_known"), "content").withColumn("_c", F.when(F.col("_known"), without_comments(F.col("content"), F.col("_g"))))
+    entry = lambda kind, type_, n: F.struct(F.lit(kind).alias("kind"), type_.alias("type"), n.cast("long").alias("n"))
+    every = [entry("language", F.col("language"), F.lit(1)), entry("file", F.when(F.col("_known"), "parsed").otherwise("failed"), F.lit(1))]
+    own = F.array(*every)
+    for g in SYMBOLS:
+        said = {kind: F.regexp_extract_all("_c", F.lit(pattern), F.lit(module)) for _, kind, pattern, module, _ in REFERENCES[g]}
+        named = [m for kind, m in said.items() if kind != "side_effect"]
+        if "side_effect" in said:  # as references leaves them out
+            by_name = F.concat(*named)
+            said["side_effect"] = F.filter(said["side_effect"], lambda m: ~F.array_contains(by_name, m))  # noqa: B023
+        found = [entry("symbol", F.lit("function" if kind == "arrow" else kind), F.size(F.regexp_extract_all("_c", F.lit(pattern), F.lit(0)))) for kind, pattern, *_ in SYMBOLS[g]]
+        found += [entry("reference", F.lit(type_), F.size(said[kind])) for type_, kind, *_ in REFERENCES[g]]
+        own = F.when(F.col("_known") & (F.col("_g") == g), F.array(*every, *found)).otherwise(own)
+    out = rows.select(F.explode_outer(own).alias("e")).select("e.*").where("n > 0")
+    return out.groupBy("kind", "type").agg(F.sum("n").alias("n"))
 
 
 def index_run(files: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
     """One row: files_processed, chunks_created, errors, modules, functions, classes of an indexing run with hybrid chunks."""
     from . import chunking
+    from .common import stored
 
-    found = symbols(files)
+    found = stored(symbols(files).select("path", "type", "name", "line"), "symbols")  # read by chunks and counts
     readable = _clean(files).select("path", "language", "content")
     chunks = chunking.hybrid(readable, found, size, overlap).agg(F.count("*").alias("chunks_created"))
     kinds = found.agg(F.count_if(F.col("type") == "module").alias("modules"), F.count_if(F.col("type") == "function").alias("functions"), F.count_if(F.col("type") == "class").alias("classes"))

@@ -59,7 +59,7 @@ def source_signatures(spark, d):
 
 @query(WITH + SYMBOLS_SQL + " SELECT path, line, type, name FROM symbols WHERE type IN ('module', 'class', 'interface')")
 def source_definitions(spark, d):
-    return extract.definitions(extract.symbols(files(spark, d)))
+    return extract.definitions(extract.symbols(files(spark, d), extract.DEFINED))
 
 
 _METRICS = FILES_SQL + """, counted AS (SELECT path, language, k % 4 AS r, k, len(string_split(content, chr(10))) AS total, len(list_filter(string_split(content, chr(10)), lambda x: trim(x) = '')) AS blank FROM files),

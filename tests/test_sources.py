@@ -238,3 +238,27 @@ def test_terms_with_a_common_start_are_not_compared_one_by_one():
     tree.step = lambda t, node, byte: steps.append(len(node)) or step(t, node, byte)
     i, j = search._inside(tree, search._spelt(pa.array(terms)))
     assert len(i) == sum(a[:n] in set(terms) for a in terms for n in range(9, len(a) + 1)) and sum(steps) < 40 * len(terms)
+
+
+def test_source_reports_take_one_pass(spark):
+    """Files were matched again for each report's part, and symbols twice for a filter."""
+    from skerry.operators import extract
+
+    ts = "import { a } from 'p';\nimport 'p';\nimport 'q';\nexport { x as y, z };\nexport default class {}\ntype T = 1;\nconst f = (a) => a;"
+    files = [("a", "typescript", ts), ("a", "python", "import os\nclass A(B):\n    def f(self): pass"), (None, "python", "import re"), ("n", "python", None), ("r", "ruby", "puts"), ("e", "elixir", ""), ("l", None, "x")]
+    f = spark.createDataFrame(files, "path string, language string, content string")
+    found, used, made = extract.symbols(f), extract.references(f), extract.exports(f)
+    mods = sorted({r.module for r in used.where("path = 'a'").collect()})
+    names = sorted({r.name or "default" for r in made.collect()})
+    deps = extract.file_dependencies(f)
+    assert sorted((r.path or "", r.modules, r.exported) for r in deps.collect()) == [("", [], []), ("a", mods, names), ("a", mods, names), ("e", [], [])] and len(mods) == 3 and len(names) == 3
+    counts = extract.type_counts(f)
+    want = {("language", r[0]): r[1] for r in f.groupBy("language").count().collect()} | {("symbol", r[0]): r[1] for r in found.groupBy("type").count().collect()}
+    want |= {("reference", r[0]): r[1] for r in used.groupBy("type").count().collect()} | {("file", "parsed"): 4, ("file", "failed"): 3}
+    assert {(r.kind, r.type): r.n for r in counts.collect()} == want
+    some = extract.symbols(f, extract.DEFINED)
+    assert rows(extract.definitions(some), "name") == rows(extract.definitions(found), "name") and some.where("type = 'function'").count() == 0
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan(deps) and plan(counts).count("LogicalRDD") + plan(counts).count("LocalRelation") == 1
+    assert "defmacro" not in plan(some)
+    assert "Filter (size(" not in plan(found)
