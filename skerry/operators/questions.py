@@ -61,6 +61,10 @@ def from_docs(texts: DataFrame, key: str = "path", text_col: str = "content", mo
     return rows.select(key, "n", F.concat(F.lit("What is "), "head", F.lit("?")).alias("question"), "context", answer.alias("expected_answer"), _meta(type=F.lit("documentation"), section=F.col("head")).alias("metadata"))
 
 
+def _as(name: Column) -> Column:
+    return F.map_concat(F.map_filter("metadata", lambda k, v: k != "adversarial"), F.create_map(F.lit("adversarial"), name))
+
+
 def adversarial(cases: DataFrame, types: tuple[str, ...] = ("misleading", "irrelevant", "paraphrase")) -> DataFrame:
     """Each case once for each variant, with `variant`: a misleading note, unrelated code, or other words for the question."""
     question = F.col("question")
@@ -72,7 +76,7 @@ def adversarial(cases: DataFrame, types: tuple[str, ...] = ("misleading", "irrel
     return rows.withColumns({
         "question": F.when(is_("paraphrase"), question).otherwise(F.col("question")),
         "context": F.when(is_("misleading"), F.concat("context", F.lit(MISLEADING))).when(is_("irrelevant"), F.concat("context", F.lit(UNRELATED))).otherwise(F.col("context")),
-        "metadata": F.map_concat(F.map_filter("metadata", lambda k, v: k != "adversarial"), F.create_map(F.lit("adversarial"), name)),
+        "metadata": _as(name),
     })
 
 
@@ -88,8 +92,10 @@ def golden(files: DataFrame, per_file: int = 5, edges: int = 5) -> DataFrame:
     fields = ("question", "context", "expected_answer", "metadata")
     code = from_code(files, per_file)
     edge = edge_cases(files.sparkSession, edges).withColumn("n", F.monotonically_increasing_id())
-    other = adversarial(code, ("irrelevant",))
-    rows = code.select("path", F.lit(0).alias("_k"), "n", *fields).unionByName(files.select("path").crossJoin(F.broadcast(edge)).select("path", F.lit(1).alias("_k"), F.col("n"), *fields)).unionByName(other.select("path", F.lit(2).alias("_k"), "n", *fields))
+    code = code.withColumn("_k", F.explode(F.array(F.lit(0), F.lit(2))))  # both forms of a case in one pass
+    as_is = F.col("_k") == 0
+    code = code.withColumns({"context": F.when(as_is, F.col("context")).otherwise(F.concat("context", F.lit(UNRELATED))), "metadata": F.when(as_is, F.col("metadata")).otherwise(_as(F.lit("irrelevant_context")))})
+    rows = code.select("path", "_k", "n", *fields).unionByName(files.select("path").crossJoin(F.broadcast(edge)).select("path", F.lit(1).alias("_k"), F.col("n"), *fields))
     return rows.withColumn("id", F.row_number().over(Window.partitionBy("path").orderBy("_k", "n", "question"))).select(F.col("path").alias("group"), "id", *fields)
 
 
