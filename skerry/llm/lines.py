@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_side, stored, unused
-from .tokens import _INVERSE, CHUNK, mix, pair, prefix_hashes
+from .tokens import _INVERSE, mix, pair, prefix_hashes
 
 COARSE, FINE = 2, 16
 #: Characters whose variants are made at a time; a longer line is handled alone.
 VARIANT_CHARS = 1 << 18
+#: Characters whose lines are hashed at a time, at about 100 bytes a character; a longer line is handled alone.
+CHUNK = 1 << 18
 #: Code points under this are looked up; the others are hashed one by one.
 TABLE = 1 << 14
 _POINT = mix(np.arange(1, TABLE + 1, dtype=np.uint64))
