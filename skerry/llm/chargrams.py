@@ -9,7 +9,7 @@ import numpy as np
 from .tokens import mix
 
 #: Characters handled at a time; a longer text is handled alone, so many characters after another.
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 _GAP, _EDGE = np.uint32(32), np.uint32(0)
 _letters: list[np.ndarray] = []
 

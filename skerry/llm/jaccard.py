@@ -32,6 +32,8 @@ from .tokens import chunks, pair, shingles, words
 
 #: Members that at least this many documents of a task share are counted over all tasks; the most frequent are ordered last.
 SHARED_IN_TASK, MAX_COMMON = 3, 200_000
+#: Members that a task sorts at a time to count them, keys that it sends at a time, and pairs that it holds before they become a forest or are sent.
+HELD, KEYS, PAIRS = 4_000_000, 200_000, 1 << 19
 #: Buckets of a sketch, one bit each.
 BITS = 1024
 MAX_LIGHT = 60
@@ -53,11 +55,13 @@ def _profile(width: int):
     """For each row its set's size, two sums that identify the set, and its sketch; and for each task, members that many rows share."""
 
     def run(parts):
-        held, seen = [], 0
+        held, seen = np.empty(HELD, np.uint64), 0
 
         def common():
-            names, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, int))
-            names, n = names[n >= SHARED_IN_TASK], n[n >= SHARED_IN_TASK]
+            all_ = held[:seen]
+            all_.sort()
+            names = np.unique(all_[SHARED_IN_TASK - 1 :][all_[SHARED_IN_TASK - 1 :] == all_[: 1 - SHARED_IN_TASK or None]])
+            n = np.searchsorted(all_, names, "right") - np.searchsorted(all_, names)
             return pa.RecordBatch.from_arrays([pa.nulls(len(names), pa.int64()), pa.nulls(len(names), pa.int64()), pa.array(n.astype(np.int64)), pa.array(names.view(np.int64)), pa.nulls(len(names), pa.int64()), pa.nulls(len(names), pa.binary())], names=["id", "row", "n", "h1", "h2", "sketch"])
 
         for part in parts:
@@ -68,11 +72,13 @@ def _profile(width: int):
                 h2.append(pair(s, s).sum(dtype=np.uint64))
                 odd = np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=BITS) & 1
                 sketches.append(np.packbits(odd.astype(np.uint8)).tobytes())
-                held.append(s)
-                seen += len(s)
-                if seen > 4_000_000:
-                    yield common()
-                    held, seen = [], 0
+                for at in range(0, len(s), HELD):
+                    some = s[at : at + HELD]
+                    if seen + len(some) > HELD:
+                        yield common()
+                        seen = 0
+                    held[seen : seen + len(some)] = some
+                    seen += len(some)
             ints = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([part["id"], part["row"], pa.array(n, pa.int64()), ints(h1), ints(h2), pa.array(sketches, pa.binary())], names=["id", "row", "n", "h1", "h2", "sketch"])
         yield common()
@@ -84,10 +90,14 @@ def _prefixes(width: int, percent: int, light: int, names: np.ndarray, rank: np.
     """Keys of each set: (key, row, n, at). Pairs of members for light sets, single members for those that meet a heavy one,
     or one of so few members that a link with it may need no more than one common member (at 50 percent or less)."""
     few = 100 // percent if percent <= 50 else 0
+    flat = lambda x, t: pa.array(np.concatenate(x).astype(t, copy=False))
+
+    def sent(rows, sizes, keys, places):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), flat(rows, np.int64), flat(sizes, np.int32), flat(places, np.int32)], names=["key", "row", "n", "at"])
 
     def run(parts):
         for part in parts:
-            rows, sizes, keys, places = [], [], [], []
+            rows, sizes, keys, places, held = [], [], [], [], 0
             for row, s in zip(part["row"].to_numpy(), _sets((t.as_py() for t in part["text"]), width), strict=True):
                 n = len(s)
                 if n < (1 if few else 2):
@@ -101,18 +111,22 @@ def _prefixes(width: int, percent: int, light: int, names: np.ndarray, rank: np.
                 if n <= light:
                     i, j = np.triu_indices(len(first), 1)
                     rows.append(np.full(len(i), row))
-                    sizes.append(np.full(len(i), n))
+                    sizes.append(np.full(len(i), n, np.int32))
                     keys.append(pair(pair(first[i], first[j]), np.uint64(2)))
-                    places.append(np.maximum(i, j))
+                    places.append(np.maximum(i, j).astype(np.int32))
+                    held += len(i)
                 if n * 100 >= percent * (light + 1) or n * percent <= 100 * few:
                     own = first[: spare + 1]
                     rows.append(np.full(len(own), row))
-                    sizes.append(np.full(len(own), n))
+                    sizes.append(np.full(len(own), n, np.int32))
                     keys.append(own)
-                    places.append(np.arange(len(own)))
+                    places.append(np.arange(len(own), dtype=np.int32))
+                    held += len(own)
+                if held > KEYS:
+                    yield sent(rows, sizes, keys, places)
+                    rows, sizes, keys, places, held = [], [], [], [], 0
             if rows:
-                flat = lambda x, t: pa.array(np.concatenate(x).astype(t))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), flat(rows, np.int64), flat(sizes, np.int32), flat(places, np.int32)], names=["key", "row", "n", "at"])
+                yield sent(rows, sizes, keys, places)
 
     return run
 
@@ -204,7 +218,7 @@ def _close(percent: int):
         hit = np.zeros(len(g["n"]), bool)
         for i, j in _pairs(g, percent):
             hit[i] = hit[j] = True
-        return table.filter(pa.array(hit))
+        yield table.filter(pa.array(hit))
 
     return _whole_groups(met)
 
@@ -215,25 +229,40 @@ def _meet(percent: int, forest: bool):
     def met(table: pa.Table):
         g = {c: table[c].to_numpy() for c in (*GROUP, "row", "part", "n", "at", "block")}
         sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
-        n, found = g["n"].astype(np.int64), [(np.zeros(0, np.int64),) * 3]
+        n, found, held = g["n"].astype(np.int64), [(np.zeros(0, np.int64),) * 3], 0
+
+        def joined():
+            return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
+
+        def nearest(a, b, apart):
+            kept = _forest(a, b, apart, g["part"])
+            return a[kept], b[kept], apart[kept]
+
+        def ends(a, b, _):
+            a, b = g["row"][a], g["row"][b]
+            return pa.table({"a": pa.array(np.maximum(a, b), pa.int64()), "b": pa.array(np.minimum(a, b), pa.int64())})
+
         for i, j in _pairs(g, percent):
             for k in range(0, len(i), SLAB // 8):
                 a, b = i[k : k + SLAB // 8], j[k : k + SLAB // 8]
                 apart = np.bitwise_count(sketch[a] ^ sketch[b]).sum(1, dtype=np.int64)
                 ok = (100 + percent) * apart <= (100 - percent) * (n[a] + n[b])
                 found.append((a[ok], b[ok], apart[ok]))
-        a, b, apart = (np.concatenate([f[i] for f in found]) for i in range(3))
-        if forest:
-            kept = _forest(a, b, apart, g["part"])
-            a, b = a[kept], b[kept]
-        a, b = g["row"][a], g["row"][b]
-        return pa.table({"a": pa.array(np.maximum(a, b), pa.int64()), "b": pa.array(np.minimum(a, b), pa.int64())})
+                held += np.count_nonzero(ok)
+                if held > PAIRS:  # a forest has fewer pairs than the table rows, and keeps what is linked
+                    if forest:
+                        found = [nearest(*joined())]
+                    else:
+                        yield ends(*joined())
+                        found = found[:1]
+                    held = 0
+        yield ends(*(nearest(*joined()) if forest else joined()))
 
     return _whole_groups(met)
 
 
 def _whole_groups(met):
-    """met, applied to tables of whole groups; rows come sorted by group, and a group may go on in the next batch."""
+    """met, applied to tables of whole groups, its tables sent on; rows come sorted by group, and a group may go on in the next batch."""
 
     def run(parts):
         held: list[pa.RecordBatch] = []
@@ -245,11 +274,13 @@ def _whole_groups(met):
             start = 0 if same.all() else int(np.flatnonzero(~same)[-1]) + 1
             if start or held and [held[-1][c][-1].as_py() for c in GROUP] != last:
                 held.append(part.slice(0, start))
-                yield from met(pa.Table.from_batches([h for h in held if h.num_rows])).to_batches()
+                for found in met(pa.Table.from_batches([h for h in held if h.num_rows])):
+                    yield from found.to_batches()
                 held = []
             held.append(part.slice(start))
         if held:
-            yield from met(pa.Table.from_batches(held)).to_batches()
+            for found in met(pa.Table.from_batches(held)):
+                yield from found.to_batches()
 
     return run
 

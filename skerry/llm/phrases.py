@@ -23,10 +23,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_side, stored
-from .tokens import _LOWER, _VALUE, CHUNK, mix, prefix_hashes
+from .tokens import _LOWER, _VALUE, mix, prefix_hashes
 
 #: Bytes between the words of a piece, and bytes that end a piece.
 SPACES, STOPS = b" \t", b".,;:!?\n\x0b\x0c\r"
+#: Bytes of text handled at a time; a longer text is handled in parts.
+CHUNK = 1 << 21
 #: Suffixes of a group, at most about twice as many; suffixes that a task holds before it sends; how many groups there are at most.
 GROUP_SUFFIXES, HELD, MAX_GROUPS = 1 << 21, 1 << 20, 1 << 20
 _IN_WORD = np.ones(256, bool)

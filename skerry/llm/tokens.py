@@ -12,7 +12,7 @@ import numpy as np
 #: Bytes that separate words: 0x20 and 0x09-0x0D.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Bytes of text handled at a time; a longer text is handled alone, so many bytes after another.
-CHUNK = 1 << 21
+CHUNK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -45,7 +45,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the hash base and of its inverse, modulo 2**64."""
     if not _powers or len(_powers[0]) < n:
         for base in (_BASE, _INVERSE):
-            p = np.full(max(n, CHUNK + 65536), base, np.uint64)
+            p = np.full(max(n, CHUNK) + 65536, base, np.uint64)
             p[0] = 1
             _powers.append(np.cumprod(p))
         del _powers[:-2]
