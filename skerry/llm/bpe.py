@@ -5,9 +5,10 @@ more than once are folded once, the most frequent of them, up to a stated number
 task reads; any other piece is folded where it stands. Both give the same ids, so the size of the table changes only the
 time. Texts are never shuffled.
 
-The fold: a word's state is the array of the ends of its parts, at first all bytes; each step drops the end inside the
-leftmost pair of least rank. Ranks are looked up in a literal array of slots by the checksum of the bytes. It takes time in
-the square of a word's length, so words of over LONG bytes are merged with a heap in a pandas UDF.
+The fold: a word's state is an array of its parts, at first all bytes, each as the rank of what it forms with the next
+part and, in the low bits, its start; the least entry is the leftmost pair of least rank. Each step merges that pair and
+looks up two ranks anew. Ranks are looked up in a literal array of slots by the checksum of the bytes. A step copies the
+array, so words of over LONG bytes are merged with a heap in a pandas UDF.
 
 Null is the empty text, which has no ids. A text's pieces are held by one task.
 """
@@ -32,6 +33,8 @@ from .common import stored, unused
 RANK_SLOTS, WORD_SLOTS, LONG, NONE = 1 << 15, 1 << 18, 256, (1 << 31) - 1
 #: Bytes of the word table, as Spark keeps it, and what a word takes besides its own bytes and ids.
 WORD_BYTES, ENTRY_BYTES = 96 << 20, 72
+#: Bits of a part's start in the fold's state; words of fewer than 2**PLACE bytes can be folded.
+PLACE = 16
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -46,7 +49,7 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _slot(binary: Column, slots: int) -> Column:
-    return (F.crc32(binary) % slots).cast("int")
+    return F.crc32(binary).bitwiseAND(F.lit(slots - 1)).cast("int")  # slots: a power of two
 
 
 def _table(spark: SparkSession, value: object, kind: str) -> DataFrame:
@@ -77,17 +80,23 @@ def _rank(table: Column, binary: Column) -> Column:
 
 def fold(word: Column, table: Column) -> Column:
     """The ids of one word (binary, not empty): as it stands if it has a rank, else its bytes with ranked merges folded over them."""
-    n = F.octet_length(word)
-    part = lambda ends, i, width: _rank(table, F.substring(word, F.get(ends, i) + 1, F.get(ends, i + width) - F.get(ends, i)))
-
-    def step(ends: Column, _: Column) -> Column:
-        pairs = F.transform(F.slice(ends, F.lit(1), F.size(ends) - 2), lambda _, i: part(ends, i, 2))
-        without = lambda i: F.filter(ends, lambda _, j: j != i)
-        merged = lambda ranks: _let(F.array_min(ranks), lambda least: F.when(least < NONE, _let(F.array_position(ranks, least).cast("int"), without)).otherwise(ends))
-        return F.when(F.size(ends) > 2, _let(pairs, merged)).otherwise(ends)
-
-    read = lambda ends: F.transform(F.slice(ends, F.lit(1), F.size(ends) - 1), lambda _, i: part(ends, i, 1))
-    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.sequence(F.lit(0), n), step, read)
+    n, none = F.octet_length(word), F.lit(NONE << PLACE).cast("long")
+    rank = lambda a, b: _rank(table, F.substring(word, a + 1, b - a))
+    entry = lambda a, b: F.shiftleft(rank(a, b).cast("long"), PLACE) + a
+    place = lambda state, i: F.coalesce(F.get(state, i).bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int"), n)
+
+    def merged(state: Column, at: Column) -> Column:
+        """The part at place `at` (from 1) goes together with the next one: its own entry and the one before it change."""
+        before = F.when(at > 2, _let(place(state, at - 2), lambda a: entry(a, place(state, at + 1)))).otherwise(none)
+        own = _let(place(state, at - 1), lambda a: F.when(at + 1 < F.size(state), entry(a, place(state, at + 2))).otherwise(none + a))
+        return F.concat(F.slice(state, F.lit(1), at - 2), F.array(before, own), F.slice(state, at + 2, F.size(state)))
+
+    def step(state: Column, _: Column) -> Column:
+        return _let(F.array_min(state), lambda least: F.when(least < none, _let(F.array_position(state, least).cast("int"), lambda at: merged(state, at))).otherwise(state))
+
+    first = F.concat(F.array(none), F.transform(F.sequence(F.lit(0), n - 1), lambda a: F.when(a + 2 <= n, entry(a, a + 2)).otherwise(none + a)))
+    read = lambda state: F.transform(F.slice(state, F.lit(2), F.size(state) - 1), lambda _, i: rank(place(state, i + 1), place(state, i + 2)))
+    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), first, step, read)
     return _let(_rank(table, word), lambda whole: F.when(whole < NONE, F.array(whole)).otherwise(folded))
 
 

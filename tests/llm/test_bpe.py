@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 import public_tokenizers
 import pytest
@@ -70,3 +71,19 @@ def test_query(spark):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
+
+
+def test_a_merge_looks_up_few_ranks(spark):
+    table = bpe.rank_map(spark, RANKS)
+
+    def seconds(size):
+        words = spark.createDataFrame([("".join(chr(97 + (i * i * 7 + j * 13 + i * j) % 26) for i in range(size)),) for j in range(600)], "piece string").coalesce(1)
+        began = time.time()
+        rows = bpe._using(words, {"ranks": table}, "ids", lambda t: bpe.fold(F.col("piece").cast("binary"), t["ranks"])).collect()
+        took = time.time() - began
+        for r in rows[::50]:
+            assert r.ids == LIBRARY._encode_single_piece(r.piece.encode())
+        return took
+
+    seconds(20)
+    assert seconds(200) < 10
