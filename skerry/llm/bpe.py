@@ -7,8 +7,9 @@ time. Texts are never shuffled.
 
 The fold: a word's state is an array of its parts, at first all bytes, each as the rank of what it forms with the next
 part and, in the low bits, its start; the least entry is the leftmost pair of least rank. Each step merges that pair and
-looks up two ranks anew. Ranks are looked up in a literal array of slots by the checksum of the bytes. A step copies the
-array, so words of over LONG bytes are merged with a heap in a pandas UDF.
+looks up two ranks anew. Ranks are looked up in a literal array of slots by the hash of the bytes. Slots are small maps: in
+lambdas a map's key is found by a loop, a place in an array by an exception, which takes longer. A step copies the array, so
+words of over LONG bytes are merged with a heap in a pandas UDF.
 
 Null is the empty text, which has no ids. A text's pieces are held by one task.
 """
@@ -18,7 +19,6 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import zlib
 from collections.abc import Callable
 
 import pandas as pd
@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 
 from .common import stored, unused
 
-#: Slots of the literal rank map and of the word table; bytes of a word up to which it is folded; the rank of pairs that don't merge.
-RANK_SLOTS, WORD_SLOTS, LONG, NONE = 1 << 15, 1 << 18, 256, (1 << 31) - 1
+#: Slots of the literal rank map and of the word table; bytes of a word up to which it is folded; entries of a state in which one is found by counting.
+RANK_SLOTS, WORD_SLOTS, LONG, SEVERAL = 1 << 17, 1 << 18, 256, 24
 #: Bytes of the word table, as Spark keeps it, and what a word takes besides its own bytes and ids.
 WORD_BYTES, ENTRY_BYTES = 96 << 20, 72
-#: Bits of a part's start in the fold's state; words of fewer than 2**PLACE bytes can be folded.
-PLACE = 16
+#: Bits of a part's start in the fold's state, an array of integers, and the rank of pairs that don't merge: words of 2**PLACE - 3 bytes can be folded.
+PLACE, NONE = 9, (1 << 22) - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -48,8 +48,8 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.aggregate(F.array().cast("array<int>"), value, lambda held, _: held, use)
 
 
-def _slot(binary: Column, slots: int) -> Column:
-    return F.crc32(binary).bitwiseAND(F.lit(slots - 1)).cast("int")  # slots: a power of two
+def _slot(key: Column, slots: int) -> Column:
+    return F.hash(key).bitwiseAND(slots - 1)  # slots: a power of two
 
 
 def _table(spark: SparkSession, value: object, kind: str) -> DataFrame:
@@ -57,14 +57,19 @@ def _table(spark: SparkSession, value: object, kind: str) -> DataFrame:
     return stored(spark.range(1).select(F.from_json(F.lit(json.dumps(value)), kind).alias("value")), "literal")
 
 
+def _by_slot(entries: DataFrame, slots: int) -> DataFrame:
+    """One row: an array of so many slots, each a map of the entries (key, value) whose hash falls into it, or null."""
+    filled = entries.groupBy(_slot(F.col("key"), slots).alias("slot")).agg(F.collect_list("key").alias("k"), F.collect_list("value").alias("v"))
+    all_ = entries.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot")).join(filled, "slot", "left")
+    return all_.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "k", "v"))), lambda s: F.map_from_arrays(s["k"], s["v"])).alias("value"))
+
+
 def rank_map(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
-    """The ranks as a literal: an array of slots, each with the few byte sequences whose checksum falls into it."""
-    slots: list[dict] = [{"k": [], "r": []} for _ in range(RANK_SLOTS)]
-    for word, rank in ranks.items():
-        slot = slots[zlib.crc32(word) % RANK_SLOTS]
-        slot["k"].append(base64.b64encode(word).decode())
-        slot["r"].append(rank)
-    return _table(spark, slots, "array<struct<k: array<binary>, r: array<int>>>")
+    """The ranks, as they stand in the fold's state, in slots: a stored table of one row."""
+    if max(ranks.values(), default=0) >= NONE:
+        raise ValueError(f"ranks have to be less than {NONE}")
+    rows = spark.createDataFrame([(word, rank << PLACE) for word, rank in ranks.items()], "key binary, value int")
+    return stored(_by_slot(rows, RANK_SLOTS), "ranks")
 
 
 def _using(df: DataFrame, tables: dict[str, DataFrame], out: str, use: Callable[[Column], Column]) -> DataFrame:
@@ -75,29 +80,39 @@ def _using(df: DataFrame, tables: dict[str, DataFrame], out: str, use: Callable[
 
 
 def _rank(table: Column, binary: Column) -> Column:
-    return _let(F.get(table, _slot(binary, RANK_SLOTS)), lambda s: F.coalesce(F.get(s["r"], F.array_position(s["k"], binary).cast("int") - 1), F.lit(NONE)))
+    return F.coalesce(F.get(table, _slot(binary, RANK_SLOTS))[binary], F.lit(NONE << PLACE))
 
 
 def fold(word: Column, table: Column) -> Column:
-    """The ids of one word (binary, not empty): as it stands if it has a rank, else its bytes with ranked merges folded over them."""
-    n, none = F.octet_length(word), F.lit(NONE << PLACE).cast("long")
-    rank = lambda a, b: _rank(table, F.substring(word, a + 1, b - a))
-    entry = lambda a, b: F.shiftleft(rank(a, b).cast("long"), PLACE) + a
-    place = lambda state, i: F.coalesce(F.get(state, i).bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int"), n)
-
-    def merged(state: Column, at: Column) -> Column:
-        """The part at place `at` (from 1) goes together with the next one: its own entry and the one before it change."""
-        before = F.when(at > 2, _let(place(state, at - 2), lambda a: entry(a, place(state, at + 1)))).otherwise(none)
-        own = _let(place(state, at - 1), lambda a: F.when(at + 1 < F.size(state), entry(a, place(state, at + 2))).otherwise(none + a))
-        return F.concat(F.slice(state, F.lit(1), at - 2), F.array(before, own), F.slice(state, at + 2, F.size(state)))
+    """The ids of one word (binary, not empty): as it stands if it has a rank, else its bytes with ranked merges folded over them.
+
+    Starts count from 1. Besides the parts the state holds an entry before them, whose start lies beyond any word, one
+    after them with the start that a further part would have, and a last one of start 0: what is cut out of the word from
+    the first, or up to the last, is empty and has no rank, so the ends need no conditions.
+    """
+    n, none, low = F.octet_length(word), F.lit(NONE << PLACE), F.lit((1 << PLACE) - 1)
+    rank = lambda a, b: _rank(table, F.substring(word, a, b - a))
+    start = lambda state, i: F.get(state, i).bitwiseAND(low)
+
+    def place_of(state: Column, least: Column, a: Column) -> Column:
+        """Where the entry least is, from 1: parts are in the order of their starts, so as many have no later start; the last entry counts for the first."""
+        counted = F.size(F.filter(state, lambda e: e.bitwiseAND(low) <= a))
+        return F.when(F.size(state) > SEVERAL, F.array_position(state, least).cast("int")).otherwise(counted)
+
+    def merged(state: Column, a: Column, at: Column) -> Column:
+        """The part at place `at`, which starts at a, goes together with the next one: its own entry and the one before it change."""
+        before = _let(start(state, at - 2), lambda b: rank(b, start(state, at + 1)) + b)
+        return F.flatten(F.array(F.slice(state, F.lit(1), at - 2), F.array(before, rank(a, start(state, at + 2)) + a), F.slice(state, at + 2, F.size(state))))
 
     def step(state: Column, _: Column) -> Column:
-        return _let(F.array_min(state), lambda least: F.when(least < none, _let(F.array_position(state, least).cast("int"), lambda at: merged(state, at))).otherwise(state))
+        merge = lambda least: _let(least.bitwiseAND(low), lambda a: _let(place_of(state, least, a), lambda at: merged(state, a, at)))
+        return _let(F.array_min(state), lambda least: F.when(least < none, merge(least)).otherwise(state))
 
-    first = F.concat(F.array(none), F.transform(F.sequence(F.lit(0), n - 1), lambda a: F.when(a + 2 <= n, entry(a, a + 2)).otherwise(none + a)))
-    read = lambda state: F.transform(F.slice(state, F.lit(2), F.size(state) - 1), lambda _, i: rank(place(state, i + 1), place(state, i + 2)))
+    pairs = F.transform(F.sequence(F.lit(1), n), lambda a: F.when(a < n, rank(a, a + 2)).otherwise(none) + a)
+    first = F.flatten(F.array(F.array(none + low), pairs, F.array(none + n + 1, none)))
+    read = lambda state: F.transform(F.slice(state, F.lit(2), F.size(state) - 3), lambda e, i: F.shiftright(rank(e.bitwiseAND(low), start(state, i + 2)), PLACE))
     folded = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), first, step, read)
-    return _let(_rank(table, word), lambda whole: F.when(whole < NONE, F.array(whole)).otherwise(folded))
+    return _let(_rank(table, word), lambda whole: F.when(whole < none, F.array(F.shiftright(whole, PLACE))).otherwise(folded))
 
 
 def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -165,13 +180,6 @@ def pieces(text: Column, java: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java), F.lit(0))
 
 
-def _by_slot(words: DataFrame) -> DataFrame:
-    """One row: an array of WORD_SLOTS slots, each with the words of words (piece, ids) whose checksum falls into it."""
-    slots = words.groupBy(_slot(F.col("piece").cast("binary"), WORD_SLOTS).alias("slot")).agg(F.collect_list("piece").alias("w"), F.collect_list("ids").alias("i"))
-    all_ = words.sparkSession.range(WORD_SLOTS).select(F.col("id").cast("int").alias("slot")).join(slots, "slot", "left")
-    return all_.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "w", "i"))), lambda s: F.struct(s["w"].alias("w"), s["i"].alias("i"))).alias("value"))
-
-
 def word_table(docs: DataFrame, java: str, table: DataFrame, text_col: str = "text", limit: int = WORD_BYTES) -> tuple[DataFrame, bool]:
     """The word table in one row, and whether any piece is longer than LONG bytes.
 
@@ -189,7 +197,7 @@ def word_table(docs: DataFrame, java: str, table: DataFrame, text_col: str = "te
             break
         least = row["level"]
     words = _using(again.where(level >= least).select("piece"), {"ranks": table}, "ids", lambda t: fold(F.col("piece").cast("binary"), t["ranks"]))
-    return stored(_by_slot(words), "words"), long
+    return stored(_by_slot(words.select(F.col("piece").alias("key"), F.col("ids").alias("value")), WORD_SLOTS), "words"), long
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", out: str = "ids", word_bytes: int = WORD_BYTES) -> DataFrame:
@@ -209,14 +217,14 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
         one = fold(piece.cast("binary"), tables["ranks"])
         if long:
             one = F.when(F.octet_length(piece) > LONG, F.get(F.col(by_heap), F.array_position(longs, piece).cast("int") - 1)).otherwise(one)
-        slot = F.get(tables["words"], _slot(piece.cast("binary"), WORD_SLOTS))
-        return F.coalesce(_let(slot, lambda s: F.get(s["i"], F.array_position(s["w"], piece).cast("int") - 1)), one)
+        slot = F.get(tables["words"], _slot(piece, WORD_SLOTS))
+        return F.coalesce(slot[piece], one)
 
     longs = F.array_distinct(F.filter(F.col(split), lambda p: F.octet_length(p) > LONG))
     found = docs.withColumn(split, pieces(F.col(text_col), java))
     if long:
         found = found.withColumn(by_heap, heap_ids(longs))
-    return _using(found, {"words": words, "ranks": table}, out, lambda t: F.flatten(F.transform(F.col(split), lambda piece: ids(t, piece)))).drop(split, by_heap)
+    return _using(found, {"words": words, "ranks": table}, out, lambda t: F.transform(F.col(split), lambda piece: ids(t, piece))).withColumn(out, F.flatten(out)).drop(split, by_heap)
 
 
 def decode(docs: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -225,4 +233,4 @@ def decode(docs: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str
     for word, rank in ranks.items():
         hexes[rank] = word.hex()
     table = _table(docs.sparkSession, hexes, "array<string>")
-    return _using(docs, {"words": table}, out, lambda t: F.unhex(F.array_join(F.transform(F.col(ids), lambda i: F.element_at(t["words"], i + 1)), "")))
+    return _using(docs, {"words": table}, out, lambda t: F.unhex(F.array_join(F.transform(F.col(ids), lambda i: t["words"][i]), "")))

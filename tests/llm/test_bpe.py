@@ -87,3 +87,27 @@ def test_a_merge_looks_up_few_ranks(spark):
 
     seconds(20)
     assert seconds(200) < 10
+
+
+def test_lookups_in_lambdas_are_of_maps(spark):
+    """A map's key is found by a loop; array_position, which looked up every piece and pair before, throws an exception for each find."""
+    table = bpe.rank_map(spark, RANKS)
+    docs = spark.createDataFrame([("of maps of maps",)], "text string")
+    words, _ = bpe.word_table(docs, bpe.java_pattern(spark, public_tokenizers.PATTERN), table)
+    assert [t.schema["value"].dataType.simpleString() for t in (table, words)] == ["array<map<binary,int>>", "array<map<string,array<int>>>"]
+    for ranks in ({b"a": 0, b"b": bpe.NONE}, {}):
+        if ranks:
+            with pytest.raises(ValueError):
+                bpe.rank_map(spark, ranks)
+        else:
+            assert len(bpe.rank_map(spark, ranks).first()["value"]) == bpe.RANK_SLOTS
+
+
+def test_states_of_all_sizes(spark):
+    table = bpe.rank_map(spark, RANKS)
+    sizes = [1, 2, 3, *range(bpe.SEVERAL - 4, bpe.SEVERAL + 3), bpe.LONG, (1 << bpe.PLACE) - 3]
+    words = [bytes(97 + (i * i * 7 + j * 13 + i * j) % 26 for i in range(size)) for size in sizes for j in range(3)] + [b"a" * size for size in sizes]
+    rows = bpe._using(spark.createDataFrame([(w,) for w in words], "word binary"), {"ranks": table}, "ids", lambda t: bpe.fold(F.col("word"), t["ranks"])).collect()
+    assert len(rows) == len(words)
+    for r in rows:
+        assert r.ids == LIBRARY._encode_single_piece(bytes(r.word))
