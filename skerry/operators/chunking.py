@@ -31,15 +31,21 @@ def char_windows(files: DataFrame, size: int = 1000, overlap: int = 200, key: st
 
 
 def by_symbol(files: DataFrame, symbols: DataFrame, types: tuple[str, ...] | None = None, key: str = "path", text_col: str = "content") -> DataFrame:
-    """A chunk from each symbol's line to that of the next; a file without symbols of the types is one `section`."""
+    """A chunk from each symbol's line to that of the next; a file without symbols of the types is one `section`.
+
+    The symbols of a file meet its text once, in a shuffled join: files that are derived from a narrow table look small to Spark, which
+    would gather their texts in the driver to broadcast them.
+    """
     s = symbols if types is None else symbols.where(F.col("type").isin(*types))
-    s = s.withColumn("_next", F.lead("line").over(Window.partitionBy(key).orderBy("line", "name")))
-    lines = files.select(key, F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("_l"))
-    end = F.greatest(F.coalesce(F.col("_next") - 1, F.size("_l")), F.col("line"))
-    cut = F.array_join(F.slice("_l", F.greatest(F.col("line"), F.lit(1)), end - F.greatest(F.col("line"), F.lit(1)) + 1), "\n")
-    parts = lines.join(s.select(key, "type", "name", "line", "_next"), key).select(key, "type", "name", F.col("line").alias("start_line"), end.alias("end_line"), cut.alias("content"))
-    whole = lines.join(s.select(key), key, "left_anti").select(key, F.lit("section").alias("type"), F.lit(None).cast("string").alias("name"), F.lit(1).alias("start_line"), F.size("_l").alias("end_line"), F.array_join("_l", "\n").alias("content"))
-    return parts.unionByName(whole)
+    s = s.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line", "name", "type"))).alias("_s"))
+    rows = files.select(key, F.coalesce(F.col(text_col), F.lit("")).alias("_t")).hint("merge").join(s.hint("merge"), key, "left")
+    start = lambda type_, name, line, after: F.struct(type_.alias("type"), name.alias("name"), line.alias("line"), after.alias("after"))
+    own = F.transform("_s", lambda x, i: start(x["type"], x["name"], x["line"], F.get(F.col("_s"), i + 1)["line"]))
+    whole = F.array(start(F.lit("section"), F.lit(None).cast("string"), F.lit(1), F.lit(None).cast("int")))
+    rows = rows.select(key, F.split("_t", "\n").alias("_l"), F.explode(F.coalesce(own, whole)).alias("s")).select(key, "_l", "s.*")
+    end = F.greatest(F.coalesce(F.col("after") - 1, F.size("_l")), F.col("line"))
+    first = F.greatest(F.col("line"), F.lit(1))
+    return rows.select(key, "type", "name", F.col("line").alias("start_line"), end.alias("end_line"), F.array_join(F.slice("_l", first, end - first + 1), "\n").alias("content"))
 
 
 def hybrid(files: DataFrame, symbols: DataFrame, size: int = 1500, overlap: int = 200, key: str = "path", text_col: str = "content") -> DataFrame:

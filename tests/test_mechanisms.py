@@ -100,3 +100,19 @@ def test_source_files_are_dealt_to_all_cores(spark):
 
     dealt = files(spark, "/root/testdata/sf0.001")
     assert dealt.where("content is not null and path like '%1%'").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_chunks_of_derived_files_send_no_text_to_the_driver(spark):
+    from skerry.operators import chunking, extract
+
+    names = spark.range(6).select(F.concat(F.lit("f"), F.col("id").cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"), "id")
+    files = names.withColumn("content", F.when(F.col("id") == 0, "x = 1\n").when(F.col("id") == 1, None).otherwise("import os\n\ndef a():\n    pass\nclass B:\n    pass"))
+    out = chunking.by_symbol(files, extract.symbols(files), ("function", "class"))
+    got = sorted((tuple(r) for r in out.where("path < 'f3'").collect()), key=str)
+    assert got == [
+        ("f0.py", "section", None, 1, 2, "x = 1\n"), ("f1.py", "section", None, 1, 1, ""),
+        ("f2.py", "class", "B", 5, 6, "class B:\n    pass"), ("f2.py", "function", "a", 3, 4, "def a():\n    pass"),
+    ]
+    whole = chunking.as_documents(chunking.hybrid(files, extract.symbols(files)))
+    for plan in (out, whole):
+        assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
