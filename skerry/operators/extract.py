@@ -375,7 +375,7 @@ def code_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = tops.select(F.col("path").alias("source"), F.col("name").alias("target"), F.lit("defines").alias("type"))
     edges = edges.unionByName(functions.select(F.coalesce("parent", "path").alias("source"), fid.alias("target"), F.lit("defines").alias("type")))
     edges = edges.unionByName(refs.select(F.coalesce("parent", "path").alias("source"), F.col("name").alias("target"), kind.alias("type")))
-    outside = edges.select(F.col("target").alias("id")).distinct().join(nodes.select("id"), "id", "left_anti")
+    outside = edges.select(F.col("target").alias("id")).distinct().hint("merge").join(nodes.select("id").hint("merge"), "id", "left_anti")
     return nodes.unionByName(outside.select("id", F.lit("external").alias("type"), F.col("id").alias("name"))), edges
 
 

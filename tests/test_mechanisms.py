@@ -116,3 +116,43 @@ def test_chunks_of_derived_files_send_no_text_to_the_driver(spark):
     whole = chunking.as_documents(chunking.hybrid(files, extract.symbols(files)))
     for plan in (out, whole):
         assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_module_contexts_send_no_derived_table_to_the_driver(spark):
+    module = F.concat(F.lit("App.M"), F.col("id").cast("string"))
+    content = F.concat(F.lit("defmodule "), module, F.lit(" do\nend"))
+    hits = spark.range(4).select(F.col("id").alias("query_id"), content.alias("content"))
+    questions = spark.range(4).select(F.col("id").alias("query_id"), F.lit("of m2").alias("query"))
+    f = F.concat(module, F.lit(".get/1"))
+    nodes = spark.range(4).select(module.alias("id"), F.lit("module").alias("type"), module.alias("name")).union(spark.range(4).select(f, F.lit("function"), F.lit("get/1")))
+    edges = spark.range(4).select(module.alias("source"), f.alias("target"), F.lit("defines").alias("type")).union(spark.range(4).select(module, F.lit("Enum"), F.lit("imports")))
+    out = search.module_contexts(hits, questions, nodes, edges)
+    text = lambda i: f"Module App.M{i}:\n  - Imports: Enum\n  - Functions: App.M{i}.get"
+    assert {(r.query_id, r.text) for r in out.collect()} == {(i, text(i)) for i in range(4)} | {(i, text(2)) for i in range(4)}
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("kept", [0, 5, 1000])
+def test_kept_places_are_the_best_of_all(monkeypatch, kept):
+    """The best of two batches, of which the second leaves out what is worse than the best of the first."""
+    import numpy as np
+
+    monkeypatch.setattr(search, "KEPT", kept)
+    draw = np.random.default_rng(kept)
+    order = lambda x: (x[0], str(x[1]) if isinstance(x[1], str) else (bool(np.isnan(x[1])), x[1]))
+    for names in (draw.permutation(60), draw.permutation(60).astype(str), np.where(np.arange(60) % 41 == 7, np.nan, draw.permutation(60))):
+        best, every, found, sizes = search._Kept(7, 3), [], [], []
+        for batch in (names[:40], names[40:]):
+            best.begin(batch)
+            assert best.merge() is None
+            for _ in range(20):
+                part = draw.integers(0, 7, 50), draw.integers(0, len(batch), 50), draw.integers(0, 4, 50) / 2
+                best.add(*part)
+                sizes.append(best.size)
+                every += [(r, (-s, batch[c])) for r, c, s in zip(*part, strict=True)]
+            rows, cols, score = best.merge()
+            found += [(r, (-s, n)) for r, n, s in zip(rows, batch[cols], score, strict=True)]
+        for row in range(7):
+            first = lambda pairs: [str(x) for x in sorted((x for r, x in pairs if r == row), key=order)[:3]]  # noqa: B023, E731
+            assert first(found) == first(every)
+        assert kept > 100 or max(sizes) <= 150
