@@ -72,3 +72,47 @@ def test_vectors_match_brute_force(spark):
     want = [(i, sum(i in e for e in edges), part[i], part[i] == i) for i in range(len(rows))]
     assert sorted(tuple(r) for r in near_vectors(df.repartition(3)).collect()) == want
     assert near_vectors(df.where("false")).count() == 0
+
+
+def test_vectors_in_many_cells_meet_without_copies(spark, monkeypatch):
+    """Blocks of many cells, of which some are near copies of one vector: links as by brute force, and no exchange where blocks meet."""
+    from skerry.llm import vectors
+
+    monkeypatch.setattr(vectors, "PER_PIVOT", 12)
+    monkeypatch.setattr(vectors, "BLOCK", 8)
+    plans = []
+    pairs = vectors._pairs
+    monkeypatch.setattr(vectors, "_pairs", lambda *a: plans.append(out := pairs(*a)) or out)
+    rnd = np.random.default_rng(2)
+    x = np.concatenate([rnd.normal(size=(250, 6)), np.ones((60, 6)) + rnd.normal(size=(60, 6)) * 0.1])
+    x = np.concatenate([x, x[:80] * 3 + rnd.normal(size=(80, 6)) * 0.3])
+    for kind in ("float", "double"):
+        own = x.astype(np.float32 if kind == "float" else np.float64).astype(float)
+        rows = [(i, v.tolist(), i % 2) for i, v in enumerate(own)]
+        got = near_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int").repartition(3))
+        unit = own / np.linalg.norm(own, axis=1, keepdims=True)
+        edges = [(i, j) for i in range(len(x)) for j in range(i) if (i - j) % 2 == 0 and unit[i] @ unit[j] >= 0.98]
+        part, n = least_reachable(len(x), edges), np.bincount(np.array(edges).ravel(), minlength=len(x))
+        assert len(edges) > 900 and sorted(tuple(r) for r in got.collect()) == [(i, n[i], part[i], part[i] == i) for i in range(len(x))]
+    for plan in plans:
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in text and "Exchange" not in text
+
+
+def test_links_of_blocks_by_tiles(monkeypatch):
+    from skerry.llm import vectors
+
+    rnd = np.random.default_rng(3)
+    for spread in (0.05, 1.0):
+        x, y = (vectors._unit(rnd.normal(size=5) + rnd.normal(size=(n, 5)) * spread) for n in (40, 33))
+        for cells in (10, 200, 1 << 20):
+            monkeypatch.setattr(vectors, "CELLS", cells)
+            for a, b, same in ((x, y, False), (x, x, True)):
+                got = [p for i, j in vectors._links(a, b, 0.9, same) for p in zip(i.tolist(), j.tolist(), strict=True)]
+                want = [(i, j) for i in range(len(a)) for j in range(len(b)) if a[i] @ b[j] >= 0.9 and not (same and i >= j)]
+                assert sorted(got) == want
+    edges = rnd.integers(0, 200, (150, 2))
+    root = np.arange(200)
+    for some in np.array_split(edges, 5):
+        root = vectors._joined(root, some[:, 0], some[:, 1])
+    assert root.tolist() == least_reachable(200, edges.tolist())
